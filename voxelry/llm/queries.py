@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelry.llm import licenses, quality
+from voxelry.llm import decontamination, licenses, neardup, packing, pii, quality
 
 
 def table(spark, sf_dir: str, name: str):
@@ -11,7 +11,11 @@ def table(spark, sf_dir: str, name: str):
 
 QUERIES = {
     "op1_license_scan": lambda s, d: licenses.licenses(table(s, d, "documents")),
+    "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+    "op7_decontamination": lambda s, d: decontamination.find_items(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_quality_ledger": lambda s, d: quality.quality(table(s, d, "documents")),
+    "op9_personal_data": lambda s, d: pii.personal_data(table(s, d, "documents")),
+    "op10_near_duplicates": lambda s, d: neardup.near_duplicates(table(s, d, "documents"), width=2),
 }
 
 ORACLE_SQL = {
