@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelry.llm import decontamination, licenses, neardup, packing, pii, quality
+from voxelry.llm import decontamination, extraction, language, licenses, neardup, packing, pii, preferences, quality, sharding
 
 
 def table(spark, sf_dir: str, name: str):
@@ -12,6 +12,10 @@ def table(spark, sf_dir: str, name: str):
 QUERIES = {
     "op1_license_scan": lambda s, d: licenses.licenses(table(s, d, "documents")),
     "op2_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+    "op3_preferences": lambda s, d: preferences.preference_pairs(table(s, d, "conversations")),
+    "op4_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
+    "op5_language_id": lambda s, d: language.page_languages(table(s, d, "pages")),
+    "op6_main_text": lambda s, d: extraction.main_text(table(s, d, "pages")),
     "op7_decontamination": lambda s, d: decontamination.find_items(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_quality_ledger": lambda s, d: quality.quality(table(s, d, "documents")),
     "op9_personal_data": lambda s, d: pii.personal_data(table(s, d, "documents")),
@@ -20,5 +24,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_license_scan": licenses.ORACLE_SQL,
+    "op3_preferences": preferences.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
     "op8_quality_ledger": quality.ORACLE_SQL,
 }
