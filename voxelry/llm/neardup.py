@@ -7,11 +7,13 @@ some chunk but for one value at most (pigeonhole). So each signature is indexed
 its values left out, 64 keys in all, and every pair within the radius meets under a key.
 
 Equal sets are one class from the start, and only class representatives are indexed. Under each key the smallest
-member leads: all others are compared with it, by signature and, within the radius, by their full sets, and the links
-found give components. Only where a key then still holds more than one component are members compared with each
-other, in blocks of bounded size and by signature; pairs within the radius and in different components are again
-confirmed on full sets. A group of copies thus costs as many comparisons as it has members, no link between
-components is lost, and no key's members meet in one task.
+member leads: all others are compared with it, by signature and, within the radius, by their full sets. Pairs within
+the radius give families, and links components. A family that is one component is done, so a group of copies costs as
+many comparisons as it has members. In the others, members are compared on full sets in blocks of bounded size, and a
+block tells only the links that join components. Members of one key in different families are compared by signature,
+in blocks as well, each pair under its first shared key only, and pairs within the radius are confirmed on full sets.
+So every pair under a key is led, compared or already connected: no link between components is lost, no key's or
+family's members meet in one task, and none emits all its pairs.
 
 Null and empty texts have no shingles and are linked with nothing. Documents with one id are one vertex. Other columns
 are ignored by :func:`near_duplicates`; a table without rows gives none.
@@ -157,53 +159,148 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within the radius among the members of each unit that lie in different components.
+def first_shared(equal: np.ndarray) -> np.ndarray:
+    """The first key of each row of agreeing values, -1 without one: a pair is compared under that key only."""
+    chunks = equal.reshape(len(equal), CHUNKS, CHUNK)
+    good = chunks.sum(axis=2) >= CHUNK - ERRORS
+    c = good.argmax(axis=1)
+    rows = np.arange(len(equal))
+    out = (~chunks[rows, c]).argmax(axis=1)  # the value left out: the one that differs, or the first
+    return np.where(good.any(axis=1), c * CHUNK + out, -1)
 
-    ``members`` has ``unit, side, id, n, component, signature``, sorted by unit within each partition; a unit holds
-    two blocks of a key's members, or one whose side is null, and at most a few hundred rows.
+
+def _units(compare, columns: list[str]):
+    """A function over batches sorted by ``unit`` that yields the pairs which ``compare`` finds in each unit."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+
+        def closed(table: pa.Table, end: bool) -> Iterator[pa.RecordBatch]:
+            units = table.column("unit").to_numpy()
+            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1), len(units)]
+            done = edges if end else edges[:-1]
+            found = [compare(table.slice(s, e - s)) for s, e in zip(done[:-1], done[1:], strict=True)]
+            waiting[:] = [] if end else [table.slice(edges[-2])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(f[c] for f in found)])) for c in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from closed(pa.concat_tables([*waiting, pa.Table.from_batches([batch.select(columns)])]), False)
+        if waiting:
+            yield from closed(waiting[0], True)
+
+    return work
+
+
+def _sides(unit: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
+    side = unit.column("side").to_numpy()
+    return (np.arange(len(side)), None) if (side == 2).any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+
+def pairs_by_signature(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within the radius among the members of each unit that lie in different families.
+
+    ``members`` has ``unit, side, k, id, n, family, signature``, sorted by unit within each partition; a unit holds
+    two blocks of a key's members (sides 0 and 1) or one (side 2), at most a few hundred rows.
     """
 
     def compare(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side, ids, n, comp = (unit.column(c).to_numpy() for c in ("side", "id", "n", "component"))
+        k, ids, n, family = (unit.column(c).to_numpy() for c in ("k", "id", "n", "family"))
         rows = _matrix(unit.column("signature"))
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side != 2).any() else (np.arange(len(ids)), None)
+        left, right = _sides(unit)
         out_a, out_b = [], []
         for r in left:
             others = right if right is not None else np.arange(r + 1, len(ids))
             m = n[others]
-            others = others[(comp[others] != comp[r]) & (np.minimum(m, n[r]) * 100 >= np.maximum(m, n[r]) * percent)]
+            others = others[(family[others] != family[r]) & (np.minimum(m, n[r]) * 100 >= np.maximum(m, n[r]) * percent)]
             if len(others):
-                near = others[(rows[others] == rows[r]).sum(axis=1) >= VALUES - RADIUS]
+                equal = rows[others] == rows[r]
+                near = others[(equal.sum(axis=1) >= VALUES - RADIUS) & (first_shared(equal) == k[r])]
                 out_a.append(np.minimum(ids[near], ids[r]))
                 out_b.append(np.maximum(ids[near], ids[r]))
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return join(out_a), join(out_b)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_rows: pa.Table | None = None
+    return members.mapInArrow(_units(compare, ["unit", "side", "k", "id", "n", "family", "signature"]), "a long, b long")
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets, as rows of bits over slices of the shingles that occur."""
+    if len(left) * len(right) <= 256:
+        return np.array([[len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in right] for a in left], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, int(column[-1]) + 1, 1 << 15):
+        a, b = np.searchsorted(column, (first, first + (1 << 15)))
+        flags = np.zeros((len(sets), 1 << 15), bool)
+        flags[owner[a:b], column[a:b] - first] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        others = bits[right]
+        for r, at in enumerate(left):
+            total[r] += np.bitwise_count(others & bits[at]).sum(axis=1, dtype=np.int64)
+    return total
+
+
+def links_between(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) on full sets among the members of each unit that join its components: no more than it has of those.
+
+    ``members`` has ``unit, side, id, component, text``, sorted by unit within each partition.
+    """
 
-        def closed(table: pa.Table, end: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal open_rows
-            units = table.column("unit").to_numpy()
-            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1), len(units)]
-            done = edges if end else edges[:-1]
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for s, e in zip(done[:-1], done[1:], strict=True):
-                x, y = compare(table.slice(s, e - s))
-                a.append(x)
-                b.append(y)
-            open_rows = None if end else table.slice(edges[-2])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    def compare(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, component = unit.column("id").to_numpy(), unit.column("component").to_pylist()
+        sets = list(shingle_sets(unit.column("text").to_pylist(), width))
+        n = np.array([len(s) for s in sets])
+        left, right = _sides(unit)
+        right = left if right is None else right
+        common = common_counts(sets, left, right) if len(left) and len(right) else np.zeros((len(left), len(right)))
+        linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+        root = {c: c for c in component}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for r, c in zip(*np.nonzero(linked), strict=True):
+            x, y = top(component[left[r]]), top(component[right[c]])
+            if x != y:
+                root[x] = y
+                a.append(ids[left[r]])
+                b.append(ids[right[c]])
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return members.mapInArrow(_units(compare, ["unit", "side", "id", "component", "text"]), "a long, b long")
+
+
+def _dealt(members: DataFrame, kept: list[str], key: str) -> DataFrame:
+    """Deals the members of each key to units of two blocks, or one: main ones against others, and others among themselves.
+
+    ``members`` has ``main`` (boolean), ``n_main`` and ``n_rest``; without others, main ones meet each other.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    range_ = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    bm, br = blocks("n_main"), blocks("n_rest")
+    across = F.when(F.col("main"), F.transform(range_(br), lambda j: unit(0, own(bm), j, F.lit(0)))).otherwise(F.transform(range_(bm), lambda i: unit(0, i, own(br), F.lit(1))))
 
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                yield from closed(pa.concat_tables([open_rows, table]) if open_rows is not None else table, False)
-        if open_rows is not None:
-            yield from closed(open_rows, True)
+    def within(n):
+        me = own(n)
+        side = lambda o: F.when(me == o, F.lit(2)).when(me < o, F.lit(0)).otherwise(F.lit(1))
+        return F.transform(range_(n), lambda o: unit(1, F.least(me, o), F.greatest(me, o), side(o)))
 
-    return members.mapInArrow(work, "a long, b long")
+    none = F.slice(across, 1, 0)
+    inner = F.when(F.col("main") & (F.col("n_rest") > 0), none).otherwise(F.when(F.col("main"), within(bm)).otherwise(within(br)))
+    return members.select(*kept, key, F.explode(F.concat(across, inner)).alias("u")).select(F.xxhash64(key, "u.kind", "u.i", "u.j").alias("unit"), F.col("u.side").alias("side"), *kept)
+
+
+def _sorted_units(members: DataFrame) -> DataFrame:
+    return members.repartition("unit").sortWithinPartitions("unit")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -216,26 +313,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     buckets = cut(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
     met = cut(keys.join(buckets, "key").where("id <> leader"))
     led = met.where(_alike("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(within_radius(led, classes), docs, width, percent))
+    near = cut(within_radius(led, classes))
+    links = cut(confirmed(near, docs, width, percent))
     components = cut(connected_components(links, "a", "b"))
-
-    placed = met.where("members > 2").join(components, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed_keys = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    if not mixed_keys.isEmpty():
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        dealt = (
-            placed.join(mixed_keys, "key")
-            .select("key", "id", "n", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "n", "component")
-        )
-        members = dealt.join(classes.select("id", "signature"), "id").select("unit", "side", "id", "n", "component", "signature").repartition("unit").sortWithinPartitions("unit")
-        more = cut(confirmed(block_pairs(members, percent).distinct(), docs, width, percent))
-        if not more.isEmpty():
-            again = connected_components(components.select(F.col("component").alias("src"), F.col("id").alias("dst")).unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-            components = cut(again)
-        dropped(more)
+    families = cut(connected_components(near, "a", "b").select("id", F.col("component").alias("family")))
+    more = []
+
+    # Links within families that hold several components, on full sets.
+    inside = families.join(components, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
+    split = cut(inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_main")).where("lo <> hi").select("family", "n_main"))
+    if not split.isEmpty():
+        parts = inside.join(split, "family").withColumns({"main": F.lit(True), "n_rest": F.lit(0)})
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+        more.append(cut(links_between(_sorted_units(_dealt(parts, ["id", "component"], "family").join(texts, "id")), width, percent)))
+
+    # Links between families: members of one key, by signature first.
+    placed = met.where("members > 2").join(families, "id", "left").select("key", "id", "n", F.coalesce("family", "id").alias("family"))
+    counts = placed.groupBy("key", "family").agg(F.count("*").alias("n"))
+    several = counts.groupBy("key").agg(F.max(F.struct("n", "family")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("families")).where("families > 1")
+    several = cut(several.select("key", F.col("top.family").alias("main_family"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_rest")))
+    if not several.isEmpty():
+        parts = placed.join(several, "key").withColumns({"main": F.col("family") == F.col("main_family"), "k": F.shiftrightunsigned("key", 16 * (CHUNK - ERRORS))})
+        signed_parts = _dealt(parts, ["k", "id", "n", "family"], "key").join(classes.select("id", "signature"), "id")
+        more.append(cut(confirmed(pairs_by_signature(_sorted_units(signed_parts), percent), docs, width, percent)))
+
+    more = [m for m in more if not m.isEmpty()]
+    if more:
+        edges = components.select(F.col("component").alias("src"), F.col("id").alias("dst"))
+        for m in more:
+            edges = edges.unionByName(m.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        components = cut(connected_components(edges))
     named = cut(classes.join(components, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component_id")))
-    dropped(buckets, met, links, mixed_keys)
+    dropped(buckets, met, near, links, families, split, several, *more)
     on = (signed["hi"] == named["hi"]) & (signed["lo"] == named["lo"]) & (signed["n_shingles"] == named["n"])
     component = F.coalesce(named["component_id"], signed["doc_id"])
     return signed.join(named, on, "left").select(signed["doc_id"], signed["n_shingles"], component.alias("component_id"), (signed["doc_id"] == component).alias("kept"))
