@@ -135,10 +135,9 @@ def non_maximum_suppression(df: DataFrame, value: str = "s", orient: str = "o",
 
 def pixels2points(df: DataFrame, value: str = "v") -> DataFrame:
     """Places that are not zero, with their order in the image as ``idx``; the order within a slice is a window's."""
-    kept = df.where(F.col(value) != 0)
-    counts = kept.groupBy("z").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("z")) - F.col("__n")
-    return kept.join(counts.select("z", before.alias("__before")), "z").select((F.col("__before") + F.row_number().over(Window.partitionBy("z").orderBy("y", "x")) - 1).cast("long").alias("idx"), "z", "y", "x")
+    from voxelry.operators.points import ordinal
+
+    return ordinal(df.where(F.col(value) != 0), "z", "y", "x").select(F.col("ord").alias("idx"), "z", "y", "x")
 
 
 def sparsify(df: DataFrame, value: str = "v") -> DataFrame:

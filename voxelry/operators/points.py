@@ -110,3 +110,11 @@ def reference_point(points: DataFrame, dist: float | None = None) -> tuple[float
     size = dist if dist is not None else float(np.linalg.norm([r["rz"], r["ry"], r["rx"]]))
     ref = np.array([r["mz"], r["my"], r["mx"]]) + size * np.cross(pc1, [1.0, 0.0, 0.0])
     return tuple(float(v) for v in ref)
+
+
+def ordinal(df: DataFrame, outer: str, *inner: str):
+    """``df`` with ``ord``, its place from 0 in the order of ``outer`` and ``inner``: counts of the outer values, then a window in each."""
+    counts = df.groupBy(outer).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(outer)) - F.col("__n")
+    place = F.row_number().over(Window.partitionBy(outer).orderBy(*inner)) - 1
+    return df.join(counts.select(outer, before.alias("__before")), outer).withColumn("ord", (F.col("__before") + place).cast("long")).drop("__before")
