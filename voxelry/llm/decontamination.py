@@ -7,7 +7,8 @@ smallest edit distance between the item and any run of words there.
 
 Items without words match nothing. Items are handled in slices of bounded size, each broadcast to one pass over the
 documents, so their number is not limited. Null texts count as empty; repeated documents give repeated rows; items
-that repeat are matched each under its own id. Other columns are ignored, and empty tables give no rows.
+that repeat are matched each under its own id, and items without an id are left out; a document's null id stays null.
+Other columns are ignored by :func:`find_items` and kept by :func:`remove_contaminated`; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,14 +138,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: int = ERROR_SHARE,
     columns = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
 
     def one(items: list[tuple[int, str]]) -> DataFrame:
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = matcher(items, share)
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch[doc], batch[text], strict=True) for hit in search(t)]
+                rows = [(d.as_py(), *hit) for d, t in zip(batch.column(0), batch.column(1), strict=True) for hit in search(t.as_py())]
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], columns)
 
-        return docs.select(doc, text).mapInPandas(work, SCHEMA)
+        return docs.select(F.col(doc).cast("long"), text).mapInArrow(work, SCHEMA)
 
     return reduce(DataFrame.unionByName, (one(items) for items in _slices(benchmark, "item_id", "text")))
 

@@ -178,7 +178,11 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language stays unknown, all columns; ``lang`` is the language found."""
-    found = identify(document_rows(docs)).where("accepted").select(F.col("id").alias("__id"), F.col("language").alias("__language")).distinct()
-    columns = [F.col("__language").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(found, docs["doc_id"] == found["__id"]).select(*columns)
+    """``docs`` without those whose language stays unknown, all columns; ``lang`` is the language found.
+
+    Rows that share an id (or have none) are accepted together if one of them is, with its language.
+    """
+    found = identify(document_rows(docs)).where("accepted").groupBy("id").agg(F.max(F.struct("confidence", "language")).alias("best"))
+    found = found.select(F.col("id").alias("id_found"), F.col("best.language").alias("language_found")).alias("found")
+    columns = [F.col("found.language_found").alias(c) if c == "lang" else F.col(f"docs.`{c}`") for c in docs.columns]
+    return docs.alias("docs").join(found, F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.id_found"))).select(*columns)

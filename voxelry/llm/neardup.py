@@ -15,8 +15,9 @@ in blocks as well, each pair under its first shared key only, and pairs within t
 So every pair under a key is led, compared or already connected: no link between components is lost, no key's or
 family's members meet in one task, and none emits all its pairs.
 
-Null and empty texts have no shingles and are linked with nothing. Documents with one id are one vertex. Other columns
-are ignored by :func:`near_duplicates`; a table without rows gives none.
+Null and empty texts have no shingles and are linked with nothing. Documents with one id are one vertex; those without
+an id are linked with nothing and kept, with a null component. Other columns are ignored by :func:`near_duplicates`
+and kept by :func:`deduplicate`; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -305,9 +306,9 @@ def _sorted_units(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(docs, width))
-    group = signed.where("n_shingles > 0").groupBy("hi", "lo", F.col("n_shingles").alias("n"))
+    group = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", F.col("n_shingles").alias("n"))
     classes = cut(group.agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
     keys = index_keys(classes)
     buckets = cut(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
@@ -346,14 +347,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     named = cut(classes.join(components, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component_id")))
     dropped(buckets, met, near, links, families, split, several, *more)
     on = (signed["hi"] == named["hi"]) & (signed["lo"] == named["lo"]) & (signed["n_shingles"] == named["n"])
-    component = F.coalesce(named["component_id"], signed["doc_id"])
-    return signed.join(named, on, "left").select(signed["doc_id"], signed["n_shingles"], component.alias("component_id"), (signed["doc_id"] == component).alias("kept"))
+    component = F.when(signed["doc_id"].isNotNull(), F.coalesce(named["component_id"], signed["doc_id"]))
+    return signed.join(named, on, "left").select(signed["doc_id"], signed["n_shingles"], component.alias("component_id"), signed["doc_id"].eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one document of each component; of rows that repeat an id, one stays."""
     decided = cut(near_duplicates(docs, width, percent))
-    if not decided.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
+    if not decided.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
     gone = decided.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

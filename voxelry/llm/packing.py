@@ -8,7 +8,7 @@ worker's open bins at its end goes into bins of a power of two of pieces, whose
 padding either. A worker holds fewer than 2 * capacity open pieces at any time, whatever the input.
 
 Null texts count as empty and give the end token alone. Repeated rows are packed as often as they come, other columns
-are ignored, and a table without rows gives no sequences.
+are ignored, a null id stays null, and a table without rows gives no sequences.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CAPACITY = 1024
 END = 0
@@ -121,20 +122,27 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
         raise ValueError("the capacity must be a power of two")
     columns = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([(c, pa.int64()) for c in columns])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path or default_tokenizer_path())
         bins = Bins(TaskContext.get().partitionId(), capacity)
         rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
                 ids = np.append(encode(text) if text else np.empty(0, "<u4"), np.array([END], "<u4")).astype("<u4")
                 for start, size in cuts(len(ids), capacity):
-                    rows.extend(bins.add((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids)), size))
+                    rows.extend(bins.add((doc_id.as_py(), start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids)), size))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield out()
                     rows = []
         rows.extend(bins.rest())
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield out()
 
-    return docs.select("doc_id", "text").mapInPandas(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, SCHEMA)

@@ -57,8 +57,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(rows: DataFrame, key: str, shards=SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard``."""
-    return rows.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(lookup_table(rows.sparkSession, shards, slots)), "slot")
+    """``rows`` with ``slot`` and ``shard`` (in place of columns of these names)."""
+    placed = rows.withColumn("slot", slot_of(F.col(f"`{key}`"), slots)).drop("shard")
+    return placed.join(F.broadcast(lookup_table(rows.sparkSession, shards, slots)), "slot")
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
