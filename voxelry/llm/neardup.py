@@ -40,7 +40,7 @@ CHUNKS = VALUES // CHUNK
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 PERCENT = 80
 #: Members of a key that are compared in one go, against as many.
-BLOCK = 256
+BLOCK = 128
 _FACTORS = np.random.default_rng(16).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SUBSETS = [(c, [c * CHUNK + k for k in range(CHUNK) if k not in out]) for c in range(CHUNKS) for out in combinations(range(CHUNK), ERRORS)]
 _AT_ONCE = 100_000
