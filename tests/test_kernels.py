@@ -292,3 +292,64 @@ def test_erosion_counts_the_outside_as_set(spark):
 
 def test_box_mask_leaves_a_range_out():
     assert {n for n, _, _ in spatial.box_offsets((-2, 3), 1, (0, 1))} == {-2, -1, 2, 3}
+
+
+def test_outline_of_a_block_and_of_the_longer_of_two(spark):
+    from voxelry.operators.image import trace
+
+    line = trace(np.ones((3, 4), bool))
+    assert np.allclose(line[0], line[-1]) and len(line) == 15
+    assert {tuple(p) for p in line} == {(-0.5, float(x)) for x in range(4)} | {(2.5, float(x)) for x in range(4)} | {(float(y), -0.5) for y in range(3)} | {(float(y), 3.5) for y in range(3)}
+    m = np.zeros((6, 12), bool)
+    m[1, 1], m[1:5, 4:10], m[2, 6] = True, True, False
+    outer = trace(m)
+    assert len(outer) == 21 and outer[:, 1].min() == 3.5
+    px = frame(spark, [(z, y, x) for z in (0, 1) for y in range(6) for x in range(7)], "z int, y int, x int")
+    got = image.component_contour(px).groupBy("z").count().collect()
+    assert {(r.z, r["count"]) for r in got} == {(0, 2 * (4 + 5) + 1), (1, 2 * (4 + 5) + 1)}
+    assert image.component_contour(px, erode_first=False).where("y < 0").count() > 0
+
+
+def test_components_across_slices(spark):
+    px = frame(spark, [(0, 0, 0, 0), (1, 1, 1, 0), (2, 2, 1, 1), (3, 2, 5, 5), (4, 2, 5, 6)], "id long, z int, y int, x int")
+    axes = ("z", "y", "x")
+    assert {(r.id, r.size) for r in image.largest_image_components(px, 1, 2, axes, ()).collect()} == {(0, 3), (1, 3), (2, 3)}
+    assert {(r.id, r.size) for r in image.largest_image_components(px, 1, 1, axes, ()).collect()} == {(3, 2), (4, 2)}
+
+
+def test_slices_are_spread(spark):
+    assert image.spread_slices(frame(spark, [(z,) for z in range(3, 14)], "z int"), 3) == [3, 8, 13]
+
+
+def test_cubic_spline_is_exact_for_cubics_inside(spark):
+    from voxelry.operators import membranogram as mg
+
+    z, y, x = np.mgrid[0:30, 0:30, 0:30].astype(float)
+    f = lambda a, b, c: a * b - 0.02 * c**3 + 0.5 * b**2
+    c = mg.spline_coefficients(f(z, y, x))
+    at = np.array([[14.25, 15.5, 14.75], [15.0, 14.0, 15.0]])
+    assert np.allclose(mg.cubic(c, at), f(*at.T), atol=1e-3)
+    vox = frame(spark, [(a, b, d, float(a + 2 * b)) for a in range(3) for b in range(4) for d in range(5)], "z int, y int, x int, v double")
+    p = frame(spark, [(7, 1.0, 1.0, 2.0, 0.0, 1.0, 0.0)], "idx long, z double, y double, x double, nz double, ny double, nx double")
+    assert mg.sample_cubic(p, vox, 0.5).first().sample == pytest.approx(1 + 2 * 1.5, abs=0.1)
+
+
+def test_embedding_unrolls_a_cylinder(spark):
+    from voxelry.operators import membranogram as mg
+
+    a, h = (v.ravel() for v in np.meshgrid(np.linspace(0, 2, 30), np.arange(20), indexing="ij"))
+    p = np.column_stack([h, 15 * np.sin(a), 15 * np.cos(a)])
+    e = mg.tangent_embedding(p, 12)
+    fit = np.linalg.lstsq(np.column_stack([e, np.ones(len(e))]), np.column_stack([a, h]), rcond=None)
+    assert (1 - fit[1] / (np.column_stack([a, h]) - [a.mean(), h.mean()]).var(axis=0) / len(a) > 0.98).all()
+    df = frame(spark, [(k, int(q[0]), float(q[1]), float(q[2])) for k, q in enumerate(p)], "idx long, z int, y double, x double")
+    assert mg.embed(df, 2, 8).count() == len(p)
+
+
+def test_principal_components_of_boxes(spark):
+    from voxelry.operators import membranogram as mg
+
+    rows = [(k, i, j, float(k * (i + 1) + j)) for k in range(6) for i in range(2) for j in range(3)]
+    got = mg.box_components(frame(spark, rows, "idx long, i int, j int, value double")).collect()
+    c = np.array([r.components for r in sorted(got)])
+    assert abs(np.corrcoef(c[:, 0], np.arange(6))[0, 1]) > 0.999

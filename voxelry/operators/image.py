@@ -1,16 +1,21 @@
 """Images as voxels: rows of ``z, y, x`` and values.
 
 An operator that works slice by slice takes ``by``, the columns that name a slice (for many volumes at once, the
-volume and z). Dense images have a row for each place, sparse ones only for places that are not zero. Everything here
-is Spark SQL; windows and joins run on the slice and a line or place in it, so no task holds more than one line.
+volume and z). Dense images have a row for each place, sparse ones only for places that are not zero. All but the
+tracing of outlines is Spark SQL; windows and joins run on the slice and a line or place in it, so no task holds more
+than one line.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SLICE = ("z",)
@@ -180,13 +185,74 @@ def boundary(pixels: DataFrame, by: tuple[str, ...] = SLICE) -> DataFrame:
     return pixels.join(erode(pixels, by), [*by, "y", "x"], "left_anti")
 
 
-def adjacent_pairs(pixels: DataFrame, connectivity: int = 2, by: tuple[str, ...] = SLICE) -> DataFrame:
-    """Pairs of neighbouring set places by ``id``: sides (1) or corners too (2), in each slice."""
-    half = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity > 1 else [])
-    step = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in half))).alias("d")
-    to = pixels.select(*by, F.col("id").alias("dst"), "y", "x")
-    frm = pixels.select(*by, F.col("id").alias("src"), "y", "x", step).select(*by, "src", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    return frm.join(to, [*by, "y", "x"]).select("src", "dst")
+def adjacent_pairs(pixels: DataFrame, connectivity: int = 2, axes: tuple[str, ...] = ("y", "x"), by: tuple[str, ...] = SLICE) -> DataFrame:
+    """Pairs of neighbouring set places by ``id``: those that differ by one in at most ``connectivity`` axes.
+
+    With axes z, y and x (and ``by`` without z), neighbours may lie in the next slice.
+    """
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=len(axes)) if s > (0,) * len(axes) and sum(map(abs, s)) <= connectivity]
+    step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(a) for a, v in zip(axes, s, strict=True))) for s in steps))).alias("d")
+    frm = pixels.select(*by, F.col("id").alias("src"), *axes, step).select(*by, "src", *((F.col(a) + F.col(f"d.{a}")).alias(a) for a in axes))
+    return frm.join(pixels.select(*by, F.col("id").alias("dst"), *axes), [*by, *axes]).select("src", "dst")
+
+
+def largest_image_components(pixels: DataFrame, n_keep: int = 1, connectivity: int = 2, axes: tuple[str, ...] = ("y", "x"), by: tuple[str, ...] = SLICE) -> DataFrame:
+    """``pixels`` (with ``id``) of the largest components, with ``component``, ``size`` and ``place`` from 1."""
+    from voxelry.operators.division import largest
+    from voxelry.operators.graph import connected_components
+
+    found = connected_components(adjacent_pairs(pixels, connectivity, axes, by))
+    named = pixels.join(found, "id", "left").withColumn("component", F.coalesce("component", F.col("id").cast("long")))
+    return largest(named, n_keep)
+
+
+def trace(mask: np.ndarray) -> np.ndarray:
+    """The longest outline of a binary image, as (y, x) halfway between set places and those beside them, in order."""
+    a = np.pad(mask.astype(bool), 1)
+    following: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    for y, x in np.argwhere(a[:-1, :-1] | a[1:, :-1] | a[:-1, 1:] | a[1:, 1:]):
+        c = (a[y, x], a[y, x + 1], a[y + 1, x + 1], a[y + 1, x])
+        sides = ((y, x + 0.5), (y + 0.5, x + 1), (y + 1, x + 0.5), (y + 0.5, x))
+        leave = [k for k in range(4) if c[k] and not c[(k + 1) % 4]]
+        enter = [k for k in range(4) if not c[k] and c[(k + 1) % 4]]
+        for k in leave:
+            to = min(enter, key=lambda e: (k - e) % 4)
+            following.setdefault(sides[k], []).append(sides[to])
+    best: list[tuple[float, float]] = []
+    while following:
+        start = min(following)
+        line, here = [start], start
+        while following.get(here):
+            there = following[here].pop()
+            if not following[here]:
+                del following[here]
+            line.append(there)
+            here = there
+        if len(line) > len(best):
+            best = line
+    return np.array(best, float).reshape(-1, 2) - 1
+
+
+def component_contour(pixels: DataFrame, erode_first: bool = True, by: tuple[str, ...] = SLICE) -> DataFrame:
+    """``by, idx, y, x``: the longest outline of each slice's set places, eroded by one place first; a slice at a time."""
+    kept = erode(pixels.select(*by, "y", "x"), by) if erode_first else pixels.select(*by, "y", "x")
+    schema = T.StructType([kept.schema[c] for c in by] + [T.StructField("idx", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.DoubleType())])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        yx = pdf[["y", "x"]].to_numpy(int)
+        low = yx.min(axis=0)
+        mask = np.zeros(yx.max(axis=0) - low + 1, bool)
+        mask[tuple((yx - low).T)] = True
+        line = trace(mask) + low
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "idx": np.arange(len(line)), "y": line[:, 0], "x": line[:, 1]})
+
+    return kept.groupBy(*by).applyInPandas(one, schema)
+
+
+def spread_slices(df: DataFrame, n: int) -> list[int]:
+    """``n`` slices spread evenly over the range of z."""
+    r = df.agg(F.min("z"), F.max("z")).first()
+    return sorted({int(v) for v in np.linspace(r[0], r[1], n)}) if r[0] is not None else []
 
 
 def slice_value_filter(df: DataFrame, guide: DataFrame, factor: float, value: str = "v", by: tuple[str, ...] = SLICE) -> DataFrame:

@@ -218,6 +218,17 @@ def image_components(spark, sf_dir):
     return px.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").cast("int").alias("component"))
 
 
+_NEAR3 = "greatest(abs(a.z - b.z), abs(a.y - b.y), abs(a.x - b.x)) = 1 and abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 2"
+_C3 = _components(_IDS, f"select a.id src, b.id dst from ({_IDS}) a join ({_IDS}) b on a.id < b.id and {_NEAR3}")
+
+
+@query(f"""with c as materialized ({_C3}), s as (select component, count(*) size from c group by 1), k as (select *, row_number() over (order by size desc, component) place from s)
+select id, k.component::bigint component, size, place from c join k on c.component = k.component where place <= 3""")
+def image_components_3d(spark, sf_dir):
+    kept = image.largest_image_components(_ids(spark, sf_dir), 3, 2, ("z", "y", "x"), ())
+    return kept.select("id", F.col("component").cast("long").alias("component"), "size", "place")
+
+
 # --- points ---------------------------------------------------------------------------------------------------------
 
 _SPREAD = f"select idx, z, y / 7.0e0 y, x / 7.0e0 x from ({CLOUD})"

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from voxelry import fixtures as fx
 from voxelry.functions.columns import orients_absdiff
-from voxelry.operators import division, evolution, image, matching, membrane, mesh, paths, points, spatial, vote
+from voxelry.operators import division, evolution, image, matching, membrane, membranogram, mesh, paths, points, spatial, vote
 
 SHAPE = (fx.NY, fx.NX)
 
@@ -147,10 +147,27 @@ def match_candidates(spark, sf_dir):
     return matching.match_candidates(p.select("idx", "z", "y", "x"), p.where("x % 2 = 0").select("idx", "z", "y", "x"), _guide(spark, sf_dir), 3.0, SHAPE)
 
 
+def component_contour(spark, sf_dir):
+    return image.component_contour(image.dilate(fx.guide(spark, sf_dir).select("z", "y", "x")))
+
+
+def membranogram_cubic(spark, sf_dir):
+    return membranogram.sample_cubic(_grid_points(spark, sf_dir), fx.dense(spark, sf_dir), 0.5)
+
+
+def embed_surface(spark, sf_dir):
+    return membranogram.embed(_band(spark, sf_dir).where("label = 1"), 2, 12)
+
+
+def box_pca(spark, sf_dir):
+    return membranogram.box_components(spatial.box_cells(_grid_points(spark, sf_dir), fx.dense(spark, sf_dir), (-1, 3), 2))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         stick_vote, ball_vote, orientation_suppression, points_orientation, fixed_mean_em, bridge_gaps, simplify_path, contour_match, contour_spline, contour_regions,
         point_normals, convex_hull, subdivide_mesh, meshpoints_surround, refine_surface, divide_graph, components_regions, evolve_surface, surface_areas, box_classify, detect_membrane, match_candidates,
+        component_contour, membranogram_cubic, embed_surface, box_pca,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
         return set_by_cluster
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxelry-"))
+        own = tempfile.mkdtemp(prefix="voxelry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
 
