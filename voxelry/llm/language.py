@@ -168,7 +168,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
-    return identify(page_rows(pages), markup=True).withColumnRenamed("id", "page_id")
+    """``page_id``, the language found with its probability, the evidence, and ``kept``: the language is sure enough."""
+    return identify(page_rows(pages), markup=True).withColumnsRenamed({"id": "page_id", "accepted": "kept"})
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
