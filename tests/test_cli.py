@@ -13,7 +13,7 @@ def test_programs_end_to_end(spark, tmp_path, capsys):
     (tmp_path / "t.mrc").write_bytes(mrc.encode(v.astype("float32"), 10.0))
     lines = [f"1 1 {x} 20 {z}" for z in (1, 6) for x in range(4, 37, 3)] + ["2 1 20 -30 4"]
     (tmp_path / "m.txt").write_text("\n".join(lines))
-    options = "--extend 6 --detect_filt 1.2 --neigh_thresh 2 --detect_smooth 1 --detect_tv 4 --components_min 0.2 --moosac_lengrids 4 12 --moosac_popsize 8 --moosac_maxiter 6 --meshrefine_spacing 4 --membranes 1".split()
+    options = "--extend 6 --detect_filt 1.2 --neigh_thresh 2 --detect_smooth 1 --detect_tv 4 --components_min 0.2 --fit_lengrids 4 12 --fit_popsize 8 --fit_maxiter 6 --meshrefine_spacing 4 --membranes 1".split()
     out = cli.main(["segment", "run", tomo, model, "--state", folder, *options], spark)
     r = out.results.selectExpr("count(*)", "percentile(y, 0.5)", "avg(ny)").first()
     assert r[0] > 50 and abs(r[1] - 20) <= 1.5 and r[2] > 0.8

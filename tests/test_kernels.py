@@ -353,3 +353,13 @@ def test_principal_components_of_boxes(spark):
     got = mg.box_components(frame(spark, rows, "idx long, i int, j int, value double")).collect()
     c = np.array([r.components for r in sorted(got)])
     assert abs(np.corrcoef(c[:, 0], np.arange(6))[0, 1]) > 0.999
+
+
+@pytest.mark.parametrize("few", [3, 100_000])
+def test_exact_quantiles(spark, few):
+    rng = np.random.default_rng(13)
+    v = np.concatenate([rng.normal(0, 1, 900), np.full(300, 0.25), [1e6, -1e6]])
+    df = frame(spark, [(float(x),) for x in v] + [(None,)], "v double")
+    qs = (0.0, 0.02, 0.37, 0.5, 0.98, 1.0)
+    assert np.allclose(image.exact_quantiles(df, "v", qs, few, 16), np.quantile(v, qs))
+    assert image.exact_quantiles(df.limit(0), "v", (0.5,)) == [None]

@@ -34,10 +34,10 @@ def parser() -> argparse.ArgumentParser:
     seg.add_argument("--pixel", type=float, help="pixel size in nm; by default the file's")
     seg.add_argument("--seed", type=int, default=0)
     d = pipelines.SegmentArgs()
-    for name in ("extend", "neigh_thresh", "detect_smooth", "detect_tv", "detect_filt", "detect_supp", "components_min", "moosac_shrinkside", "moosac_tol", "meshrefine_spacing"):
+    for name in ("extend", "neigh_thresh", "detect_smooth", "detect_tv", "detect_filt", "detect_supp", "components_min", "fit_shrinkside", "fit_tol", "meshrefine_spacing"):
         seg.add_argument(f"--{name}", type=float, default=None if name in ONE_MEMBRANE else getattr(d, name))
-    seg.add_argument("--moosac_lengrids", type=float, nargs=2, default=list(d.moosac_lengrids))
-    for name in ("moosac_popsize", "moosac_maxiter"):
+    seg.add_argument("--fit_lengrids", type=float, nargs=2, default=list(d.fit_lengrids))
+    for name in ("fit_popsize", "fit_maxiter"):
         seg.add_argument(f"--{name}", type=int, default=getattr(d, name))
 
     sample = commands.add_parser("sample", help="sample places on a segmented membrane")
@@ -82,8 +82,8 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
     for name, value in ONE_MEMBRANE.items():
         if getattr(args, name) is None:
             setattr(args, name, value if args.membranes == 1 else getattr(pipelines.SegmentArgs(), name))
-    names = ("extend", "neigh_thresh", "detect_smooth", "detect_tv", "detect_filt", "detect_supp", "components_min", "moosac_shrinkside", "moosac_tol", "meshrefine_spacing", "moosac_popsize", "moosac_maxiter", "seed")
-    options = pipelines.SegmentArgs(pixel_nm=pixel, moosac_lengrids=tuple(args.moosac_lengrids), **{n: getattr(args, n) for n in names})
+    names = ("extend", "neigh_thresh", "detect_smooth", "detect_tv", "detect_filt", "detect_supp", "components_min", "fit_shrinkside", "fit_tol", "meshrefine_spacing", "fit_popsize", "fit_maxiter", "seed")
+    options = pipelines.SegmentArgs(pixel_nm=pixel, fit_lengrids=tuple(args.fit_lengrids), **{n: getattr(args, n) for n in names})
     model = points.read_points(spark, args.model)
     own = model.where("object = 1")
     if own.isEmpty():
@@ -92,7 +92,7 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
     reference = (float(r["z"]), float(r["y"]), float(r["x"])) if r else None
     numbered = ordinal(own.withColumn("__line", F.monotonically_increasing_id()), "z", "__line").select(F.col("ord").alias("idx"), *ZYX)
     neigh = max(options.px(options.neigh_thresh), 1.0)
-    lengths = tuple(options.px(v) for v in options.moosac_lengrids)
+    lengths = tuple(options.px(v) for v in options.fit_lengrids)
     if args.mode in ("run", "runfine"):
         size = mrc.read_slices(spark, args.tomo, (0, None, None), (1, None, None)).select("ny", "nx").first()
         voxels = mrc.read_voxels(spark, args.tomo).select(*ZYX, "v")

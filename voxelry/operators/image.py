@@ -35,9 +35,46 @@ def scale_zscore(df: DataFrame, value: str = "v", by: tuple[str, ...] = ()) -> D
     return both.withColumn(value, scaled).drop("__m", "__s")
 
 
+def exact_quantiles(df: DataFrame, value: str, qs: tuple[float, ...], few: int = 10_000, buckets: int = 1024) -> list[float | None]:
+    """Quantiles by linear interpolation of order statistics, without gathering the values.
+
+    The range that holds a rank is counted in buckets, and the bucket that holds it is counted again, until few values
+    are left or all are equal; only those reach the driver.
+    """
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+
+    def at_rank(k: int) -> float:
+        lo, hi, below, size = low, high, 0, n
+        part = x
+        while size > few and lo < hi:
+            width = (hi - lo) / buckets
+            cell = F.least(F.floor((F.col("x") - lo) / width), F.lit(buckets - 1)).alias("c")
+            counts = part.groupBy(cell).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("c").collect()
+            for r in counts:
+                if below + r["n"] > k:
+                    lo, hi, size = r["lo"], r["hi"], r["n"]
+                    break
+                below += r["n"]
+            part = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        if lo == hi:
+            return lo
+        return sorted(r["x"] for r in part.collect())[k - below]
+
+    out = []
+    for q in qs:
+        h = (n - 1) * q
+        a = at_rank(math.floor(h)) if n else None
+        out.append(a if not n or h == math.floor(h) else a + (at_rank(math.ceil(h)) - a) * (h - math.floor(h)))
+    return out
+
+
 def scale_minmax(df: DataFrame, value: str = "v", qrange=(0.0, 1.0), vrange=(0.0, 1.0), by: tuple[str, ...] = ()) -> DataFrame:
     """Clips ``value`` to two exact quantiles and maps those to ``vrange``, which may run downwards."""
-    both = _per(df, by, *(F.expr(f"percentile({value}, {q})").alias(n) for n, q in zip(("__lo", "__hi"), qrange, strict=True)))
+    if by:
+        both = _per(df, by, *(F.expr(f"percentile({value}, {q})").alias(n) for n, q in zip(("__lo", "__hi"), qrange, strict=True)))
+    else:
+        both = df.withColumns({n: F.lit(v).cast("double") for n, v in zip(("__lo", "__hi"), exact_quantiles(df, value, qrange), strict=True)})
     clipped = F.least(F.greatest(F.col(value).cast("double"), F.col("__lo")), F.col("__hi"))
     scaled = vrange[0] + (clipped - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (vrange[1] - vrange[0])
     return both.withColumn(value, F.when(F.col("__hi") == F.col("__lo"), F.col(value).cast("double")).otherwise(scaled)).drop("__lo", "__hi")
@@ -81,10 +118,10 @@ def gradient(df: DataFrame, value: str, axis: str, out: str, by: tuple[str, ...]
 def hessian(df: DataFrame, sigma: float = 0.0, value: str = "v", axes: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = SLICE) -> DataFrame:
     """Adds ``hxx, hxy, hyy`` (and with axes x, y, z the six of three dimensions): gradients of gradients."""
     df = gaussian(df, sigma, value, tuple(reversed(axes)), by)
-    for a in axes:
-        df = gradient(df, value, a, f"__{a}", by)
-    for k, a in enumerate(axes):
-        for b in axes[k:]:
+    # All differences along one axis follow each other, so its lines are shuffled together once.
+    for k, b in enumerate(axes):
+        df = gradient(df, value, b, f"__{b}", by)
+        for a in axes[: k + 1]:
             df = gradient(df, f"__{a}", b, f"h{a}{b}", by)
     return df.drop(*(f"__{a}" for a in axes))
 

@@ -5,6 +5,7 @@ Images, clouds and contours are the fixtures' (:mod:`voxelry.fixtures`); both si
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,13 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Numbers of rows and places are long, as in the SQL."""
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int" and c in ("idx", "place", "iu", "iv")})
+
+        QUERIES[f.__name__] = wide
         if sql:
             ORACLE[f.__name__] = sql
         return f

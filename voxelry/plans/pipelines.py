@@ -30,11 +30,11 @@ class SegmentArgs:
     detect_filt: float = 3.5
     detect_supp: float = 0.25
     components_min: float = 0.5
-    moosac_lengrids: tuple[float, float] = (50.0, 200.0)
-    moosac_shrinkside: float = 0.25
-    moosac_popsize: int = 80
-    moosac_tol: float = 0.005
-    moosac_maxiter: int = 200
+    fit_lengrids: tuple[float, float] = (50.0, 200.0)
+    fit_shrinkside: float = 0.25
+    fit_popsize: int = 80
+    fit_tol: float = 0.005
+    fit_maxiter: int = 200
     meshrefine_spacing: float = 20.0
     seed: int = 0
 
@@ -112,8 +112,8 @@ def segment(voxels: DataFrame, model: DataFrame, shape: tuple[int, int], args: S
 
     labels = F.explode(F.sequence(F.lit(1), F.lit(membranes))).alias("label")
     guides = guide.select("idx", *ZYX, labels)
-    lengths = tuple(args.px(v) for v in args.moosac_lengrids)
-    fitted = cut(evolution.robust_fit(parts, guides, lengths=lengths, shrink=args.moosac_shrinkside, r=neigh, pop_size=args.moosac_popsize, tol=args.moosac_tol, max_iter=args.moosac_maxiter, seed=args.seed))
+    lengths = tuple(args.px(v) for v in args.fit_lengrids)
+    fitted = cut(evolution.robust_fit(parts, guides, lengths=lengths, shrink=args.fit_shrinkside, r=neigh, pop_size=args.fit_popsize, tol=args.fit_tol, max_iter=args.fit_maxiter, seed=args.seed))
     out.steps["fit"] = fitted
 
     matched = None
