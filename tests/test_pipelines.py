@@ -21,7 +21,7 @@ def volume(spark):
 @pytest.fixture(scope="module")
 def segmented(spark, volume):
     model = spark.createDataFrame([(k, z, 20, x) for z in (1, NZ - 2) for k, x in enumerate(range(5, NX - 5, 3))], "idx long, z int, y int, x int")
-    args = pipelines.SegmentArgs(extend=10, neigh_thresh=2, detect_smooth=1, detect_tv=4, detect_filt=3.5, components_min=0.2, moosac_lengrids=(4, 12), moosac_popsize=8, moosac_maxiter=4, meshrefine_spacing=4)
+    args = pipelines.SegmentArgs(extend=10, neigh_thresh=2, detect_smooth=1, detect_tv=4, detect_filt=3.5, components_min=0.2, fit_lengrids=(4, 12), fit_popsize=8, fit_maxiter=4, meshrefine_spacing=4)
     return pipelines.segment(volume, model, (NY, NX), args, reference=(4.0, -50.0, 24.0), by_region=True)
 
 
