@@ -25,7 +25,8 @@ def _per(df: DataFrame, by: tuple[str, ...], *aggs: Column) -> DataFrame:
     """Aggregates of each group, or of all rows, joined to every row."""
     if by:
         return df.join(df.groupBy(*by).agg(*aggs), list(by))
-    return df.withColumn("__all", F.lit(1)).join(F.broadcast(df.agg(*aggs).withColumn("__all", F.lit(1))), "__all").drop("__all")
+    totals = df.agg(*aggs)
+    return df.withColumns({c: F.lit(v).cast(totals.schema[c].dataType) for c, v in totals.first().asDict().items()})
 
 
 def scale_zscore(df: DataFrame, value: str = "v", by: tuple[str, ...] = ()) -> DataFrame:

@@ -87,11 +87,11 @@ def sort_clouds_by_ref(points: DataFrame, ref: tuple[float, float, float], cloud
 
 def sort_by_pca(points: DataFrame) -> DataFrame:
     """Adds ``score``, the place along the first principal axis of all (y, x), and ``place``, the order in each slice."""
-    m = points.select(F.lit(1).alias("__k"), "y", "x").groupBy("__k").agg(*(f.alias(n) for n, f in (("my", F.avg("y")), ("mx", F.avg("x")), ("vy", F.var_pop("y")), ("vx", F.var_pop("x")), ("c", F.covar_pop("y", "x")))))
-    m = m.select("__k", "my", "mx", (0.5 * F.atan2(2 * F.col("c"), F.col("vx") - F.col("vy"))).alias("a"))
-    both = points.withColumn("__k", F.lit(1)).join(F.broadcast(m), "__k")
-    score = (F.col("x") - F.col("mx")) * F.cos("a") + (F.col("y") - F.col("my")) * F.sin("a")
-    return both.withColumn("score", score).drop("__k", "my", "mx", "a").withColumn("place", F.row_number().over(Window.partitionBy("z").orderBy(F.round("score", 6), "idx")))
+    m = points.agg(F.avg("y"), F.avg("x"), F.var_pop("y"), F.var_pop("x"), F.covar_pop("y", "x")).first()
+    my, mx, vy, vx, c = (float(v or 0) for v in m)
+    a = 0.5 * math.atan2(2 * c, vx - vy)
+    score = (F.col("x") - mx) * math.cos(a) + (F.col("y") - my) * math.sin(a)
+    return points.withColumn("score", score).withColumn("place", F.row_number().over(Window.partitionBy("z").orderBy(F.round("score", 6), "idx")))
 
 
 def covariance(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

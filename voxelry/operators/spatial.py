@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,17 +112,20 @@ def exclusion(points: DataFrame, r: float, value: str = "v") -> DataFrame:
     pairs = epsilon_join(ids, ids, r).where("a_id <> b_id").select("a_id", "b_id")
     keys = lambda n: p.select(F.col("idx").alias(n), F.col("k").alias(f"k_{n[0]}"))
     edges = cut(pairs.join(keys("a_id"), "a_id").join(keys("b_id"), "b_id"))
-    left, kept = cut(p.select("idx")), None
+    left, kept = cut(p.select("idx")), []
     while not left.isEmpty():
         beaten = edges.where("k_b < k_a").select(F.col("a_id").alias("idx")).distinct()
         won = cut(left.join(beaten, "idx", "left_anti"))
-        gone = cut(edges.join(won.select(F.col("idx").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("idx")).unionByName(won).distinct())
-        still = cut(left.join(gone, "idx", "left_anti"))
-        rest = cut(edges.join(gone.select(F.col("idx").alias("a_id")), "a_id", "left_anti").join(gone.select(F.col("idx").alias("b_id")), "b_id", "left_anti"))
-        kept = won if kept is None else cut(kept.unionByName(won))
+        lost = edges.join(won.select(F.col("idx").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("idx"))
+        still = cut(left.join(won.unionByName(lost), "idx", "left_anti"))
+        rest = edges
+        for end in ("a_id", "b_id"):
+            rest = rest.join(still.select(F.col("idx").alias(end)), end, "left_semi")
+        rest = cut(rest)
+        kept.append(won)
         dropped(edges, left)
         edges, left = rest, still
-    return points if kept is None else points.join(kept, "idx", "left_semi")
+    return points.join(reduce(DataFrame.unionByName, kept), "idx", "left_semi") if kept else points
 
 
 def trilinear(samples: DataFrame, voxels: DataFrame, value: str = "v", outside: str = "min") -> DataFrame:
@@ -220,13 +224,11 @@ def project(points: DataFrame, e2: tuple[float, float, float] = (0.0, 0.0, 1.0))
 
     The direction of e1 is turned so that its x is not negative.
     """
-    m = points.groupBy(F.lit(1).alias("__k")).agg(*(F.avg(c).alias(f"__m{c}") for c in ZYX), *(F.avg(f"n{c}").alias(f"__n{c}") for c in ZYX))
-    a, b = [F.lit(float(v)) for v in e2], [F.col(f"__n{c}") for c in ("x", "y", "z")]
-    raw = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    size = F.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2]) * F.when(raw[0] < 0, -1.0).otherwise(1.0)
-    m = m.select("__k", *(f"__m{c}" for c in ZYX), *((v / size).alias(f"__e{c}") for v, c in zip(raw, ("x", "y", "z"), strict=True)))
-    both = points.withColumn("__k", F.lit(1)).join(F.broadcast(m), "__k")
-    off = {c: F.col(c) - F.col(f"__m{c}") for c in ZYX}
-    p1 = off["x"] * F.col("__ex") + off["y"] * F.col("__ey") + off["z"] * F.col("__ez")
-    p2 = off["x"] * e2[0] + off["y"] * e2[1] + off["z"] * e2[2]
-    return both.withColumns({"p1": p1, "p2": p2}).drop("__k", *(f"__{k}{c}" for k in "me" for c in ZYX))
+    m = points.agg(*(F.avg(c) for c in ("x", "y", "z")), *(F.avg(f"n{c}") for c in ("x", "y", "z"))).first()
+    mean, n = ([float(v or 0) for v in m[k : k + 3]] for k in (0, 3))
+    raw = [e2[1] * n[2] - e2[2] * n[1], e2[2] * n[0] - e2[0] * n[2], e2[0] * n[1] - e2[1] * n[0]]
+    size = math.hypot(*raw) * (-1 if raw[0] < 0 else 1)
+    if not size:
+        raise ValueError("the mean normal is zero or along e2")
+    along = lambda e: sum(((F.col(c) - m) * v for c, m, v in zip(("y", "z"), mean[1:], e[1:], strict=True)), (F.col("x") - mean[0]) * e[0])
+    return points.withColumns({"p1": along([v / size for v in raw]), "p2": along(list(e2))})

@@ -18,8 +18,8 @@ def surface_fitness(cloud: DataFrame, fit: DataFrame, r: float) -> DataFrame:
     near = nearest(a, b, r, most_rounds=1).select(F.col("a_id").alias("idx"), "d2")
     n = F.col("n") if "n" in cloud.columns else F.lit(1)
     cover = cloud.join(near, "idx", "left").agg(F.sum(n * F.least(F.coalesce("d2", F.lit(float(r * r))), F.lit(float(r * r)))).alias("coverage"))
-    far = b.join(nearest(b, a, r, most_rounds=1).select(F.col("a_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("excess"))
-    return cover.withColumn("k", F.lit(1)).join(F.broadcast(far.withColumn("k", F.lit(1))), "k").drop("k")
+    far = b.join(nearest(b, a, r, most_rounds=1).select(F.col("a_id").alias("id")), "id", "left_anti").count()
+    return cover.withColumn("excess", F.lit(far).cast("long"))
 
 
 def pareto_front(rows: DataFrame, f1: str = "f1", f2: str = "f2") -> DataFrame:
