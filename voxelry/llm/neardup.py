@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.llm.joins import sized
 from voxelry.llm.shingles import mixed, shingle_sets
 from voxelry.operators.graph import connected_components
 from voxelry.storage import cut, dropped
@@ -127,7 +128,7 @@ def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose full shingle sets are similar enough."""
+    """The pairs (a, b), a written table, of documents whose full shingle sets are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, tuple[int, np.ndarray]] = {}
@@ -155,7 +156,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 last = {c: (ids[c][-1], sets[c][ids[c][-1]]) for c in (0, 1)}
                 yield batch.select([0, 1]).filter(pa.array(found))
 
-    side = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col("text").alias(f"text_{x}"))
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    docs = docs.join(sized(ids), "doc_id", "left_semi")
+    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
@@ -325,7 +328,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     split = cut(inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_main")).where("lo <> hi").select("family", "n_main"))
     if not split.isEmpty():
         parts = inside.join(split, "family").withColumns({"main": F.lit(True), "n_rest": F.lit(0)})
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+        ids = cut(parts.select(F.col("id").alias("doc_id")).distinct())
+        texts = docs.join(sized(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
         more.append(cut(links_between(_sorted_units(_dealt(parts, ["id", "component"], "family").join(texts, "id")), width, percent)))
 
     # Links between families: members of one key, by signature first.
@@ -336,7 +340,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     if not several.isEmpty():
         parts = placed.join(several, "key").withColumns({"main": F.col("family") == F.col("main_family"), "k": F.shiftrightunsigned("key", 16 * (CHUNK - ERRORS))})
         signed_parts = _dealt(parts, ["k", "id", "n", "family"], "key").join(classes.select("id", "signature"), "id")
-        more.append(cut(confirmed(pairs_by_signature(_sorted_units(signed_parts), percent), docs, width, percent)))
+        across = cut(pairs_by_signature(_sorted_units(signed_parts), percent))
+        more.append(cut(confirmed(across, docs, width, percent)))
+        dropped(across)
 
     more = [m for m in more if not m.isEmpty()]
     if more:
@@ -356,5 +362,5 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
     decided = cut(near_duplicates(docs, width, percent))
     if not decided.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    gone = decided.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = cut(decided.where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
