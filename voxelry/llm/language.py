@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.llm.joins import sized
 from voxelry.storage import cut
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -181,9 +182,14 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language stays unknown, all columns; ``lang`` is the language found.
 
-    Rows that share an id (or have none) are accepted together if one of them is, with its language.
+    Rows that share an id (or have none) are accepted together if one of them is, with its language. Only ids whose
+    rows are rejected or change their language are joined with the documents.
     """
-    found = identify(document_rows(docs)).where("accepted").groupBy("id").agg(F.max(F.struct("confidence", "language")).alias("best"))
-    found = found.select(F.col("id").alias("id_found"), F.col("best.language").alias("language_found")).alias("found")
-    columns = [F.col("found.language_found").alias(c) if c == "lang" else F.col(f"docs.`{c}`") for c in docs.columns]
-    return docs.alias("docs").join(found, F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.id_found"))).select(*columns)
+    found = identify(document_rows(docs)).groupBy("id").agg(
+        F.max(F.struct("accepted", "confidence", "language")).alias("best"), F.max(~F.col("declared").eqNullSafe(F.col("language"))).alias("differs"), F.min("declared").alias("low"), F.max("declared").alias("high")
+    )
+    changes = F.col("differs") | ~F.col("best.accepted") | ~F.col("low").eqNullSafe(F.col("high"))
+    odd = cut(found.where(changes).select(F.col("id").alias("id_found"), F.col("best.accepted").alias("ok"), F.col("best.language").alias("language_found")))
+    columns = [F.coalesce("odd.language_found", f"docs.`{c}`").alias(c) if c == "lang" else F.col(f"docs.`{c}`") for c in docs.columns]
+    both = docs.alias("docs").join(sized(odd).alias("odd"), F.col("docs.doc_id").cast("long").eqNullSafe(F.col("odd.id_found")), "left")
+    return both.where(F.coalesce("odd.ok", F.lit(True))).select(*columns)
