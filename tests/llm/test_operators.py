@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from voxelry.llm import decontamination, extraction, language, licenses, neardup, packing, pii, quality, queries, sharding, shingles
+from voxelry.llm import decontamination, extraction, joins, language, licenses, neardup, packing, pii, quality, queries, sharding, shingles
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -234,6 +234,7 @@ def test_near_duplicates_are_brute_force(spark, sf, texts):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_families_in_small_blocks(spark, monkeypatch, seed):
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(joins, "MOST_BROADCAST", 500_000 if seed == 1 else 0)
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(2000)]
     texts = {}
@@ -320,3 +321,20 @@ def test_pipeline_is_its_stages(spark, sf):
     assert all(not pii.find(t) for t in left.values())
     got = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == clean
+
+
+def test_shuffled_joins_give_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = sorted(r.doc_id for r in neardup.deduplicate(docs).collect())
+    langs = sorted((r.doc_id, r.lang) for r in language.accepted_documents(docs).collect())
+    monkeypatch.setattr(joins, "MOST_BROADCAST", 0)
+    assert few == sorted(r.doc_id for r in neardup.deduplicate(docs).collect())
+    assert langs == sorted((r.doc_id, r.lang) for r in language.accepted_documents(docs).collect())
+
+
+def test_language_stage_relabels_and_rejects(spark):
+    german, english = "der die das und ist nicht ein zu von mit " * 5, "the and of to in that is was for it with " * 5
+    rows = [(k, english, "en", "a", 1) for k in range(30)] + [(50 + k, german, "de", "b", 1) for k in range(30)]
+    rows += [(100, german, "en", "b", 1), (101, english, None, "a", 1), (102, "123 !!", "en", "a", 1), (103, german, "de", None, 1)]
+    out = {r.doc_id: r.lang for r in language.accepted_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert (out[100], out[101], out[103]) == ("de", "en", "de") and 102 not in out and len(out) == 63
