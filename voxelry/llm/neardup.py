@@ -300,11 +300,15 @@ def _dealt(members: DataFrame, kept: list[str], key: str) -> DataFrame:
 
     none = F.slice(across, 1, 0)
     inner = F.when(F.col("main") & (F.col("n_rest") > 0), none).otherwise(F.when(F.col("main"), within(bm)).otherwise(within(br)))
-    return members.select(*kept, key, F.explode(F.concat(across, inner)).alias("u")).select(F.xxhash64(key, "u.kind", "u.i", "u.j").alias("unit"), F.col("u.side").alias("side"), *kept)
+    number = F.when(F.col("u.kind") == 0, F.col("u.i").cast("long") * br + F.col("u.j")).otherwise(F.expr("u.j * (u.j + 1L) div 2 + u.i"))
+    turn = (F.pmod(F.xxhash64(key, "u.kind"), F.lit(1 << 30)) + number).alias("turn")
+    return members.select(*kept, key, "n_main", "n_rest", F.explode(F.concat(across, inner)).alias("u")).select(F.xxhash64(key, "u.kind", "u.i", "u.j").alias("unit"), F.col("u.side").alias("side"), turn, *kept)
 
 
 def _sorted_units(members: DataFrame) -> DataFrame:
-    return members.repartition("unit").sortWithinPartitions("unit")
+    """Units in partitions, those of one key in turn, so that a large one is spread evenly."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartitionById(n, F.pmod("turn", F.lit(n)).cast("int")).sortWithinPartitions("unit")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
