@@ -52,12 +52,12 @@ def fixed_mean_em(spark, sf_dir):
 
 
 def bridge_gaps(spark, sf_dir):
-    p = fx.vox(spark, sf_dir).where("y < 12").select(F.row_number().over(Window.partitionBy("z").orderBy("x", "y")).alias("idx"), "z", "y", "x", (F.col("v") % 314 / 100.0).alias("orient"))
+    p = fx.vox(spark, sf_dir).select(F.row_number().over(Window.partitionBy("z").orderBy("x", "y")).alias("idx"), "z", "y", "x", (F.col("v") % 314 / 100.0).alias("orient"))
     return paths.bridge_gaps(p, p.where("idx % 5 = 0"), 1.5)
 
 
 def simplify_path(spark, sf_dir):
-    p = fx.vox(spark, sf_dir).where("y < 12").select(F.row_number().over(Window.partitionBy("z").orderBy("x", "y")).alias("idx"), "z", "y", "x")
+    p = fx.vox(spark, sf_dir).select(F.row_number().over(Window.partitionBy("z").orderBy("x", "y")).alias("idx"), "z", "y", "x")
     return paths.simplify_by_path(p)
 
 
