@@ -120,6 +120,14 @@ def test_main_text_of_other_layouts():
     assert extraction.extract(f"<body><div><p>{para}</p></div><!-- c --><style>p{{}}</style>") == para
 
 
+def test_main_text_leaves_out_weak_paths_of_an_article():
+    para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
+    links = '<ul><li><a href="/x">Other story</a></li></ul>'
+    for tag in ("article", "main", "div id=main"):
+        page = f"<body><{tag}><h1>Title</h1>{links}<p>{para}</p><p>{para}</p><div>Buy now</div><p>{para}</p><p>{para}</p>{links}</{tag.split()[0]}></body>"
+        assert extraction.extract(page) == " ".join(["Title", *[para.strip()] * 4])
+
+
 def brute_distance(p, t):
     prev, best = list(range(len(p) + 1)), len(p)
     for w in t:

@@ -2,9 +2,8 @@
 
 A page is read into blocks of text, each with its path of element names from the root. For each path, text length
 and punctuation are summed and divided by its number of blocks; the ratios are smoothed along the page, multiplied,
-damped by the share of linked text, and a path counts as content if its score reaches a share of the best. What
-encloses the best path (the article element, if there is one) is the content's place: of the blocks there, those of
-content paths and headings, lists and quotations between them are kept. Parts that are never content (menus, headers,
+damped by the share of linked text, and a path counts as content if its score reaches a share of the best. The
+content's place is the article or main element around the best path or, where there is none, what encloses that path: of the blocks there, those of content paths and headings, lists and quotations are kept. Parts that are never content (menus, headers,
 footers, forms, scripts and the like, by element name or by words of class, id and role) leave before any counting.
 
 Null and empty pages, and pages without content, give an empty text. Repeated rows give repeated rows, columns other
@@ -178,6 +177,10 @@ def path_scores(found: list[tuple[str, str | None, str, int]]) -> dict[str, floa
     return {p: s * sums[p][1] ** 0.5 for p, s in scores.items()}
 
 
+def _within(path: str, above: str) -> bool:
+    return path == above or path.startswith(f"{above}/")
+
+
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     """The main text: blocks in page order, joined by one space."""
     found = blocks(page) if page else []
@@ -187,17 +190,13 @@ def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     best = max(scores, key=lambda p: (scores[p], p))
     if scores[best] <= 0:
         return ""
+    content = {p for p in scores if scores[p] >= threshold * scores[best]}
     place = next((b[1] for b in found if b[0] == best and b[1]), None)
     if place:
-        return " ".join(t for _, p, t, _ in found if p and (p == place or p.startswith(f"{place}/")))
-    above = best.rpartition("/")[0]
-    kept = []
-    for path, _, t, linked in found:
-        if path == best or path.startswith(f"{above}/"):
-            content = scores[path] >= threshold * scores[best]
-            if content or path.rpartition("/")[2] in BETWEEN and 2 * linked <= len(t):
-                kept.append(t)
-    return " ".join(kept)
+        inside = [b for b in found if b[1] and _within(b[1], place)]
+    else:
+        inside = [b for b in found if b[0] == best or b[0].startswith(f"{best.rpartition('/')[0]}/")]
+    return " ".join(t for path, _, t, linked in inside if path in content or path.rpartition("/")[2] in BETWEEN and 2 * linked <= len(t))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
