@@ -128,6 +128,13 @@ def test_main_text_leaves_out_weak_paths_of_an_article():
         assert extraction.extract(page) == " ".join(["Title", *[para.strip()] * 4])
 
 
+def test_main_text_keeps_content_beside_the_best_path():
+    para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
+    lead = "The lead, in its own words, is told here at first. " * 6
+    page = f"<html><body><div id=content><h1>Title</h1><p>{lead}</p><section>{f'<p>{para}</p>' * 5}</section></div><div>Terms</div></body></html>"
+    assert extraction.extract(page) == " ".join(["Title", lead.strip(), *[para.strip()] * 5])
+
+
 def brute_distance(p, t):
     prev, best = list(range(len(p) + 1)), len(p)
     for w in t:

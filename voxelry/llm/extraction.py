@@ -3,7 +3,8 @@
 A page is read into blocks of text, each with its path of element names from the root. For each path, text length
 and punctuation are summed and divided by its number of blocks; the ratios are smoothed along the page, multiplied,
 damped by the share of linked text, and a path counts as content if its score reaches a share of the best. The
-content's place is the article or main element around the best path or, where there is none, what encloses that path: of the blocks there, those of content paths and headings, lists and quotations are kept. Parts that are never content (menus, headers,
+content's place is the article or main element around the best path or, where there is none, the nearest element around
+all content paths: of the blocks there, those of content paths and headings, lists and quotations are kept. Parts that are never content (menus, headers,
 footers, forms, scripts and the like, by element name or by words of class, id and role) leave before any counting.
 
 Null and empty pages, and pages without content, give an empty text. Repeated rows give repeated rows, columns other
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -178,7 +180,12 @@ def path_scores(found: list[tuple[str, str | None, str, int]]) -> dict[str, floa
 
 
 def _within(path: str, above: str) -> bool:
-    return path == above or path.startswith(f"{above}/")
+    return not above or path == above or path.startswith(f"{above}/")
+
+
+def _common(paths: list[str]) -> str:
+    """The path of the nearest element above or at all of the paths."""
+    return "/".join(names[0] for names in takewhile(lambda n: len(set(n)) == 1, zip(*(p.split("/") for p in paths))))
 
 
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
@@ -195,7 +202,8 @@ def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     if place:
         inside = [b for b in found if b[1] and _within(b[1], place)]
     else:
-        inside = [b for b in found if b[0] == best or b[0].startswith(f"{best.rpartition('/')[0]}/")]
+        above = _common([p.rpartition("/")[0] for p in content])
+        inside = [b for b in found if b[0] in content or _within(b[0], above)]
     return " ".join(t for path, _, t, linked in inside if path in content or path.rpartition("/")[2] in BETWEEN and 2 * linked <= len(t))
 
 
