@@ -211,6 +211,12 @@ def test_checks_and_context():
     assert pii.redact_text("mail a.b@c.de, +1 (743) 555-3824.") == "mail <EMAIL>, <PHONE>."
 
 
+def test_long_secrets_are_found_whole():
+    for n in (20, 200, 201, 5000):
+        text = "token " + ("aB3dE6gH9_" * 500)[:n]
+        assert pii.find(text) == [("secret", 6, 6 + n, 0.8)] and pii.redact_text(text + ".") == "token <SECRET>."
+
+
 def sets_of(texts, width):
     out = {}
     for d, t in texts.items():
