@@ -253,8 +253,7 @@ def test_near_duplicates_are_brute_force(spark, sf, texts):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_families_in_small_blocks(spark, monkeypatch, seed):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+def test_families_of_several_components(spark, monkeypatch, seed):
     monkeypatch.setattr(joins, "MOST_BROADCAST", 500_000 if seed == 1 else 0)
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(2000)]
@@ -283,20 +282,46 @@ def test_shingles_in_chunks(texts, monkeypatch):
     assert [s.tolist() for s in shingles.shingle_sets(some, 5)] == whole
 
 
-def test_first_shared_key():
-    rng = np.random.default_rng(3)
-    equal = rng.random((500, neardup.VALUES)) < 0.6
-    for row, k in zip(equal, neardup.first_shared(equal), strict=True):
-        shared = [i for i, (_, places) in enumerate(neardup._SUBSETS) if row[places].all()]
-        assert k == (shared[0] if shared else -1)
-
-
 def test_pairs_within_the_radius_share_a_key():
     rng = np.random.default_rng(4)
     for _ in range(2000):
         equal = np.ones(neardup.VALUES, bool)
         equal[rng.choice(neardup.VALUES, neardup.RADIUS, replace=False)] = False
-        assert neardup.first_shared(equal[None])[0] >= 0
+        assert any(equal[places].all() for _, places in neardup._SUBSETS)
+
+
+def edited(rng, n, words=300):
+    """A base and n - 1 edits of it, most of them linked with it and some not."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(n - 1):
+        w = list(base)
+        for _ in range(rng.randint(1, max(2, words // 6))):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_rows_of_a_member_do_not_grow_with_its_group(spark):
+    made = {}
+    for n in (400, 2000):
+        docs = spark.createDataFrame(list(enumerate(edited(random.Random(n), n, 60))), "doc_id long, text string")
+        classes = neardup.signatures(docs, 2).select(F.col("doc_id").alias("id"), "hi", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") % 3 > 0, 0).otherwise(F.col("doc_id")).alias("component"))
+        rows = neardup.shingle_rows(docs, 2)
+        made[n] = rows.count(), neardup.rare_entries(rows, classes, 80).count()
+    assert made[2000][0] < 5.5 * made[400][0] and made[2000][1] < 7 * made[400][1]
+
+
+def test_rare_shingles_meet_all_links(spark):
+    rng = random.Random(7)
+    texts = dict(enumerate([*edited(rng, 60, 80), *edited(rng, 40, 30), *edited(rng, 20, 8)]))
+    sets = sets_of(texts, 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = neardup.signatures(docs, 2).select(F.col("doc_id").alias("id"), "hi", F.col("n_shingles").alias("n"), F.col("doc_id").alias("component"))
+    got = {(r.a, r.b) for r in neardup.pairs_by_rare_shingles(neardup.shingle_rows(docs, 2), members, 80).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    equal = {(a, b) for a, b in linked if sets[a] == sets[b]}
+    assert linked - equal <= got and len(linked) > 100
 
 
 def test_signatures_estimate_similarity():

@@ -7,13 +7,18 @@ some chunk but for one value at most (pigeonhole). So each signature is indexed
 its values left out, 64 keys in all, and every pair within the radius meets under a key.
 
 Equal sets are one class from the start, and only class representatives are indexed. Under each key the smallest
-member leads: all others are compared with it, by signature and, within the radius, by their full sets. Pairs within
-the radius give families, and links components. A family that is one component is done, so a group of copies costs as
-many comparisons as it has members. In the others, members are compared on full sets in blocks of bounded size, and a
-block tells only the links that join components. Members of one key in different families are compared by signature,
-in blocks as well, each pair under its first shared key only, and pairs within the radius are confirmed on full sets.
-So every pair under a key is led, compared or already connected: no link between components is lost, no key's or
-family's members meet in one task, and none emits all its pairs.
+member leads: all others are compared with it, by signature and, within the radius, by their full sets, so that a key
+costs as many comparisons as it has members. The links found give components. Nearly every group of copies is one
+component then, and only keys whose members lie in several components are still open: two members of such a key may
+be linked though neither is linked with its leader.
+
+The members of open keys meet by their rarest shingles, once each and not once a key. Shingles are ordered by their
+frequency among open members, and only as many of the rarest as any link must share one of are kept of a set (prefix
+filter). Under a shared one, members of different components whose sizes and positions allow a link are a pair, and
+members of the largest component are not compared with each other. Pairs within the signatures' radius are confirmed on
+full sets. So the rows of a member depend on its own size only, however large its keys are: a common shingle is left
+out by its order, a rare one brings few members together. No link between components is lost, and no key's members
+meet in one task or emit all their pairs.
 
 Null and empty texts have no shingles and are linked with nothing. Documents with one id are one vertex; those without
 an id are linked with nothing and kept, with a null component. Other columns are ignored by :func:`near_duplicates`
@@ -27,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.llm.joins import sized
@@ -40,8 +45,6 @@ CHUNKS = VALUES // CHUNK
 #: Signatures that differ in at most so many values meet under a key.
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 PERCENT = 80
-#: Members of a key that are compared in one go, against as many.
-BLOCK = 128
 _FACTORS = np.random.default_rng(16).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SUBSETS = [(c, [c * CHUNK + k for k in range(CHUNK) if k not in out]) for c in range(CHUNKS) for out in combinations(range(CHUNK), ERRORS)]
 _AT_ONCE = 100_000
@@ -123,7 +126,7 @@ def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(near))
 
     side = lambda x: classes.select(F.col("id").alias(x), F.col("signature").alias(f"signature_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     return both.select("a", "b", "signature_a", "signature_b").mapInArrow(work, "a long, b long")
 
 
@@ -131,184 +134,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """The pairs (a, b), a written table, of documents whose full shingle sets are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, tuple[int, np.ndarray]] = {}
+        sets: dict[str, np.ndarray] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [batch.column(c).to_pylist() for c in (0, 1)]
+                texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                new = [t for t in dict.fromkeys(texts[0] + texts[1]) if t not in sets]
+                sets |= dict(zip(new, shingle_sets(new, width), strict=True))
                 found = []
-                need: list[dict[int, None]] = [{}, {}]
-                for c in (0, 1):
-                    for r, i in enumerate(ids[c]):
-                        if last.get(c, (None,))[0] != i or r:
-                            need[c].setdefault(i, r)
-                sets = []
-                for c in (0, 1):
-                    texts = batch.column(c + 2)
-                    got = dict(zip(need[c], shingle_sets([texts[r].as_py() for r in need[c].values()], width), strict=True))
-                    if c in last:
-                        got.setdefault(*last[c])
-                    sets.append(got)
-                for a, b in zip(*ids, strict=True):
-                    x, y = sets[0][a], sets[1][b]
+                for x, y in ((sets[a], sets[b]) for a, b in zip(*texts, strict=True)):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     found.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
-                last = {c: (ids[c][-1], sets[c][ids[c][-1]]) for c in (0, 1)}
+                sets = {t[-1]: sets[t[-1]] for t in texts}
                 yield batch.select([0, 1]).filter(pa.array(found))
 
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     docs = docs.join(sized(ids), "doc_id", "left_semi")
     side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")  # leaders last: Spark splits what has their many members' texts
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def first_shared(equal: np.ndarray) -> np.ndarray:
-    """The first key of each row of agreeing values, -1 without one: a pair is compared under that key only."""
-    chunks = equal.reshape(len(equal), CHUNKS, CHUNK)
-    good = chunks.sum(axis=2) >= CHUNK - ERRORS
-    c = good.argmax(axis=1)
-    rows = np.arange(len(equal))
-    out = (~chunks[rows, c]).argmax(axis=1)  # the value left out: the one that differs, or the first
-    return np.where(good.any(axis=1), c * CHUNK + out, -1)
-
-
-def _units(compare, columns: list[str]):
-    """A function over batches sorted by ``unit`` that yields the pairs which ``compare`` finds in each unit."""
+def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
+    """``id, hi, shingle``: the distinct shingles of each document's set, whose sum is ``hi``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.Table] = []
-
-        def closed(table: pa.Table, end: bool) -> Iterator[pa.RecordBatch]:
-            units = table.column("unit").to_numpy()
-            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1), len(units)]
-            done = edges if end else edges[:-1]
-            found = [compare(table.slice(s, e - s)) for s, e in zip(done[:-1], done[1:], strict=True)]
-            waiting[:] = [] if end else [table.slice(edges[-2])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(f[c] for f in found)])) for c in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                yield from closed(pa.concat_tables([*waiting, pa.Table.from_batches([batch.select(columns)])]), False)
-        if waiting:
-            yield from closed(waiting[0], True)
-
-    return work
-
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sets = list(shingle_sets(batch.column(1).to_pylist(), width))
+                hi = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
+                coded = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi), coded], ["id", "hi", "shingles"])
 
-def _sides(unit: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-    side = unit.column("side").to_numpy()
-    return (np.arange(len(side)), None) if (side == 2).any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    sets = docs.select("doc_id", "text").mapInArrow(work, "id long, hi long, shingles array<long>")
+    return sets.dropDuplicates(["id", "hi"]).select("id", "hi", F.explode("shingles").alias("shingle"))
 
 
-def pairs_by_signature(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within the radius among the members of each unit that lie in different families.
+def _enough(common, n, m, percent: int):
+    """Whether sets of sizes n and m with so many shingles in common are linked."""
+    return common * (100 + percent) >= (n + m) * percent
 
-    ``members`` has ``unit, side, k, id, n, family, signature``, sorted by unit within each partition; a unit holds
-    two blocks of a key's members (sides 0 and 1) or one (side 2), at most a few hundred rows.
-    """
 
-    def compare(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        k, ids, n, family = (unit.column(c).to_numpy() for c in ("k", "id", "n", "family"))
-        rows = _matrix(unit.column("signature"))
-        left, right = _sides(unit)
-        out_a, out_b = [], []
-        for r in left:
-            others = right if right is not None else np.arange(r + 1, len(ids))
-            m = n[others]
-            others = others[(family[others] != family[r]) & (np.minimum(m, n[r]) * 100 >= np.maximum(m, n[r]) * percent)]
-            if len(others):
-                equal = rows[others] == rows[r]
-                near = others[(equal.sum(axis=1) >= VALUES - RADIUS) & (first_shared(equal) == k[r])]
-                out_a.append(np.minimum(ids[near], ids[r]))
-                out_b.append(np.maximum(ids[near], ids[r]))
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return join(out_a), join(out_b)
-
-    return members.mapInArrow(_units(compare, ["unit", "side", "k", "id", "n", "family", "signature"]), "a long, b long")
-
-
-def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets, as rows of bits over slices of the shingles that occur."""
-    if len(left) * len(right) <= 256:
-        return np.array([[len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in right] for a in left], np.int64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(left), len(right)), np.int64)
-    for first in range(0, int(column[-1]) + 1, 1 << 15):
-        a, b = np.searchsorted(column, (first, first + (1 << 15)))
-        flags = np.zeros((len(sets), 1 << 15), bool)
-        flags[owner[a:b], column[a:b] - first] = True
-        bits = np.packbits(flags, axis=1).view(np.uint64)
-        others = bits[right]
-        for r, at in enumerate(left):
-            total[r] += np.bitwise_count(others & bits[at]).sum(axis=1, dtype=np.int64)
-    return total
-
-
-def links_between(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) on full sets among the members of each unit that join its components: no more than it has of those.
-
-    ``members`` has ``unit, side, id, component, text``, sorted by unit within each partition.
-    """
+def rare_entries(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``shingle, id, n, component, rest``: the shingles of each member by which it may be linked.
 
-    def compare(unit: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, component = unit.column("id").to_numpy(), unit.column("component").to_pylist()
-        sets = list(shingle_sets(unit.column("text").to_pylist(), width))
-        n = np.array([len(s) for s in sets])
-        left, right = _sides(unit)
-        right = left if right is None else right
-        common = common_counts(sets, left, right) if len(left) and len(right) else np.zeros((len(left), len(right)))
-        linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
-        root = {c: c for c in component}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        a, b = [], []
-        for r, c in zip(*np.nonzero(linked), strict=True):
-            x, y = top(component[left[r]]), top(component[right[c]])
-            if x != y:
-                root[x] = y
-                a.append(ids[left[r]])
-                b.append(ids[right[c]])
-        return np.array(a, np.int64), np.array(b, np.int64)
-
-    return members.mapInArrow(_units(compare, ["unit", "side", "id", "component", "text"]), "a long, b long")
-
-
-def _dealt(members: DataFrame, kept: list[str], key: str) -> DataFrame:
-    """Deals the members of each key to units of two blocks, or one: main ones against others, and others among themselves.
-
-    ``members`` has ``main`` (boolean), ``n_main`` and ``n_rest``; without others, main ones meet each other.
+    ``rows`` has ``id, hi, shingle`` and ``members`` has ``id, hi, n, component``. In order of frequency, a set linked with
+    another shares one of its first shingles with it, those with at least ``percent`` of the set at or after them;
+    ``rest`` is how many there are. Shingles of one member only come first and match nothing.
     """
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    range_ = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
-    unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    bm, br = blocks("n_main"), blocks("n_rest")
-    across = F.when(F.col("main"), F.transform(range_(br), lambda j: unit(0, own(bm), j, F.lit(0)))).otherwise(F.transform(range_(bm), lambda i: unit(0, i, own(br), F.lit(1))))
-
-    def within(n):
-        me = own(n)
-        side = lambda o: F.when(me == o, F.lit(2)).when(me < o, F.lit(0)).otherwise(F.lit(1))
-        return F.transform(range_(n), lambda o: unit(1, F.least(me, o), F.greatest(me, o), side(o)))
-
-    none = F.slice(across, 1, 0)
-    inner = F.when(F.col("main") & (F.col("n_rest") > 0), none).otherwise(F.when(F.col("main"), within(bm)).otherwise(within(br)))
-    number = F.when(F.col("u.kind") == 0, F.col("u.i").cast("long") * br + F.col("u.j")).otherwise(F.expr("u.j * (u.j + 1L) div 2 + u.i"))
-    turn = (F.pmod(F.xxhash64(key, "u.kind"), F.lit(1 << 30)) + number).alias("turn")
-    return members.select(*kept, key, "n_main", "n_rest", F.explode(F.concat(across, inner)).alias("u")).select(F.xxhash64(key, "u.kind", "u.i", "u.j").alias("unit"), F.col("u.side").alias("side"), turn, *kept)
-
-
-def _sorted_units(members: DataFrame) -> DataFrame:
-    """Units in partitions, those of one key in turn, so that a large one is spread evenly."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartitionById(n, F.pmod("turn", F.lit(n)).cast("int")).sortWithinPartitions("unit")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("id", "hi")
+    ranked = rows.join(shared, "shingle").join(members, ["id", "hi"]).select(
+        "shingle", "id", "n", "component", F.count("*").over(own).alias("n_shared"), F.row_number().over(own.orderBy("f", "shingle")).alias("at")
+    )
+    return ranked.withColumn("rest", F.col("n_shared") - F.col("at") + 1).where(F.col("rest") * 100 >= F.col("n") * percent).select("shingle", "id", "n", "component", "rest")
+
+
+def pairs_by_rare_shingles(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that share a rare shingle and can be linked by size and position."""
+    entries = cut(rare_entries(rows, members, percent))
+    parts = entries.groupBy("shingle", "component").agg(F.count("*").alias("members"), F.min("n").alias("least"))
+    groups = parts.groupBy("shingle").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"), F.min("least").alias("least")).where("parts > 1")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    met = entries.join(groups.select("shingle", "least", F.col("top.component").alias("main")), "shingle").where(_enough(F.col("rest"), F.col("n"), smallest, percent))
+    met = cut(met.select("shingle", "id", "n", "component", "rest", (F.col("component") == F.col("main")).alias("main")))
+    a, b = met.where("not main").alias("a"), met.alias("b")
+    can = _enough(F.least("a.rest", "b.rest"), F.col("a.n"), F.col("b.n"), percent)
+    differ = (F.col("a.component") != F.col("b.component")) & (F.col("b.main") | (F.col("a.id") < F.col("b.id")))
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & differ & can).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    found = cut(pairs.distinct())
+    dropped(entries, met)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -319,43 +216,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     classes = cut(group.agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
     keys = index_keys(classes)
     buckets = cut(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").select("key", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
-    met = cut(keys.join(buckets, "key").where("id <> leader"))
-    led = met.where(_alike("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    met = cut(keys.join(buckets, "key"))
+    led = met.where("id <> leader").where(_alike("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     near = cut(within_radius(led, classes))
     links = cut(confirmed(near, docs, width, percent))
     components = cut(connected_components(links, "a", "b"))
-    families = cut(connected_components(near, "a", "b").select("id", F.col("component").alias("family")))
-    more = []
-
-    # Links within families that hold several components, on full sets.
-    inside = families.join(components, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
-    split = cut(inside.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_main")).where("lo <> hi").select("family", "n_main"))
-    if not split.isEmpty():
-        parts = inside.join(split, "family").withColumns({"main": F.lit(True), "n_rest": F.lit(0)})
-        ids = cut(parts.select(F.col("id").alias("doc_id")).distinct())
-        texts = docs.join(sized(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        more.append(cut(links_between(_sorted_units(_dealt(parts, ["id", "component"], "family").join(texts, "id")), width, percent)))
-
-    # Links between families: members of one key, by signature first.
-    placed = met.where("members > 2").join(families, "id", "left").select("key", "id", "n", F.coalesce("family", "id").alias("family"))
-    counts = placed.groupBy("key", "family").agg(F.count("*").alias("n"))
-    several = counts.groupBy("key").agg(F.max(F.struct("n", "family")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("families")).where("families > 1")
-    several = cut(several.select("key", F.col("top.family").alias("main_family"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_rest")))
-    if not several.isEmpty():
-        parts = placed.join(several, "key").withColumns({"main": F.col("family") == F.col("main_family"), "k": F.shiftrightunsigned("key", 16 * (CHUNK - ERRORS))})
-        signed_parts = _dealt(parts, ["k", "id", "n", "family"], "key").join(classes.select("id", "signature"), "id")
-        across = cut(pairs_by_signature(_sorted_units(signed_parts), percent))
-        more.append(cut(confirmed(across, docs, width, percent)))
-        dropped(across)
-
-    more = [m for m in more if not m.isEmpty()]
-    if more:
-        edges = components.select(F.col("component").alias("src"), F.col("id").alias("dst"))
-        for m in more:
-            edges = edges.unionByName(m.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        components = cut(connected_components(edges))
-    named = cut(classes.join(components, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component_id")))
-    dropped(buckets, met, near, links, families, split, several, *more)
+
+    # Keys whose members are not all connected yet.
+    placed = met.where("members > 2").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ids = placed.join(several, "key").select("id", "component").distinct()
+    members = cut(classes.join(open_ids, "id").select("id", "hi", "n", "component"))
+    open_docs = docs.join(sized(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    rows = cut(shingle_rows(open_docs, width))
+    candidates = pairs_by_rare_shingles(rows, members, percent)
+    near2 = cut(within_radius(candidates, classes))
+    more = cut(confirmed(near2, docs, width, percent))
+
+    # Components that these links join.
+    label = components.select("id", "component")
+    side = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"component_{x}"))
+    between = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    joined = cut(connected_components(between, "a", "b").select(F.col("id").alias("component_id"), F.col("component").alias("joined")))
+    named = classes.join(components, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component_id"))
+    named = cut(named.join(sized(joined), "component_id", "left").select("hi", "lo", "n", F.coalesce("joined", "component_id").alias("component_id")))
+    dropped(classes, buckets, met, near, links, components, members, rows, candidates, near2, more, joined)
     on = (signed["hi"] == named["hi"]) & (signed["lo"] == named["lo"]) & (signed["n_shingles"] == named["n"])
     component = F.when(signed["doc_id"].isNotNull(), F.coalesce(named["component_id"], signed["doc_id"]))
     return signed.join(named, on, "left").select(signed["doc_id"], signed["n_shingles"], component.alias("component_id"), signed["doc_id"].eqNullSafe(component).alias("kept"))
@@ -364,7 +249,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one document of each component; of rows that repeat an id, one stays."""
     decided = cut(near_duplicates(docs, width, percent))
-    if not decided.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    again = cut(decided.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if not again.isEmpty():
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = docs.join(sized(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+        docs = docs.join(sized(again), "doc_id", "left_anti").unionByName(one)
     gone = cut(decided.where(~F.col("kept")).select("doc_id").distinct())
     return docs.join(sized(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
