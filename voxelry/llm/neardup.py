@@ -183,7 +183,7 @@ def rare_entries(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame
     another shares one of its first shingles with it, those with at least ``percent`` of the set at or after them;
     ``rest`` is how many there are. Shingles of one member only come first and match nothing.
     """
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    shared = cut(rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1"))
     own = Window.partitionBy("id", "hi")
     ranked = rows.join(shared, "shingle").join(members, ["id", "hi"]).select(
         "shingle", "id", "n", "component", F.count("*").over(own).alias("n_shared"), F.row_number().over(own.orderBy("f", "shingle")).alias("at")
@@ -197,14 +197,15 @@ def pairs_by_rare_shingles(rows: DataFrame, members: DataFrame, percent: int) ->
     parts = entries.groupBy("shingle", "component").agg(F.count("*").alias("members"), F.min("n").alias("least"))
     groups = parts.groupBy("shingle").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"), F.min("least").alias("least")).where("parts > 1")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    met = entries.join(groups.select("shingle", "least", F.col("top.component").alias("main")), "shingle").where(_enough(F.col("rest"), F.col("n"), smallest, percent))
+    groups = cut(groups.select("shingle", "least", F.col("top.component").alias("main")))
+    met = entries.join(groups, "shingle").where(_enough(F.col("rest"), F.col("n"), smallest, percent))
     met = cut(met.select("shingle", "id", "n", "component", "rest", (F.col("component") == F.col("main")).alias("main")))
     a, b = met.where("not main").alias("a"), met.alias("b")
     can = _enough(F.least("a.rest", "b.rest"), F.col("a.n"), F.col("b.n"), percent)
     differ = (F.col("a.component") != F.col("b.component")) & (F.col("b.main") | (F.col("a.id") < F.col("b.id")))
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & differ & can).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
     found = cut(pairs.distinct())
-    dropped(entries, met)
+    dropped(entries, groups, met)
     return found
 
 
