@@ -57,6 +57,35 @@ def test_packing_round_trip(spark, sf, texts):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and at & (at - 1) == 0
+    whole = sum(r.length == 1024 for r in got)
+    assert (len(got) - whole) / len(texts) < 2.5
+
+
+def test_bins_hold_their_class():
+    rng = random.Random(8)
+    for longest in (30, 600, 3000):
+        bins, rows, tokens = packing.Bins(3), [], {}
+        for d in range(400):
+            ids = np.arange(rng.randint(1, longest), dtype="<u4")
+            tokens[d] = len(ids)
+            rows += bins.add(packing.Piece(d, 0, ids, len(ids)))
+            assert sum(len(p.ids) for ps in bins.open.values() for p in ps) < packing.CLASSES * 1024
+        full, left = rows, list(bins.rest())
+        of = {}
+        for doc, start, length, _, n, sequence, offset in full:
+            of.setdefault(sequence, []).append((doc, start, length, n, offset))
+        for pieces in of.values():
+            assert sum(p[2] for p in pieces) == 1024
+            whole = [p[2] for p in pieces if p[1] + p[2] == p[3] and p[1] % 1024 == 0]
+            kinds = {min(packing.CLASSES, 1024 // x) for x in whole if x < 1024}
+            if len(kinds) == 1 and (k := kinds.pop()) < packing.CLASSES:
+                assert len(whole) in (k, k + 1)
+        for d, n in tokens.items():
+            at = 0
+            for _, start, length in sorted(r[:3] for r in [*full, *left] if r[0] == d):
+                assert start == at
+                at += length
+            assert at == n
 
 
 def test_both_tokenizers_agree(texts):

@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
     # Keys whose members are not all connected yet.
     placed = met.where("members > 2").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    several = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
     open_ids = placed.join(several, "key").select("id", "component").distinct()
     members = cut(classes.join(open_ids, "id").select("id", "hi", "n", "component"))
     open_docs = docs.join(sized(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     joined = cut(connected_components(between, "a", "b").select(F.col("id").alias("component_id"), F.col("component").alias("joined")))
     named = classes.join(components, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component_id"))
     named = cut(named.join(sized(joined), "component_id", "left").select("hi", "lo", "n", F.coalesce("joined", "component_id").alias("component_id")))
-    dropped(classes, buckets, met, near, links, components, members, rows, candidates, near2, more, joined)
+    dropped(classes, buckets, met, several, near, links, components, members, rows, candidates, near2, more, joined)
     on = (signed["hi"] == named["hi"]) & (signed["lo"] == named["lo"]) & (signed["n_shingles"] == named["n"])
     component = F.when(signed["doc_id"].isNotNull(), F.coalesce(named["component_id"], signed["doc_id"]))
     return signed.join(named, on, "left").select(signed["doc_id"], signed["n_shingles"], component.alias("component_id"), signed["doc_id"].eqNullSafe(component).alias("kept"))

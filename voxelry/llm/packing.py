@@ -1,11 +1,13 @@
 """Harmonic packing of tokenized documents into sequences.
 
-Lengths fall into reciprocal-capacity classes: class k takes pieces of capacity / k tokens and fills each of its bins
-with exactly k of them. Documents may be cut, so each is cut into pieces whose lengths are exactly such fractions:
-first whole sequences, then the binary parts of the rest (1/2, 1/4, ... of the capacity), and every full bin is full
-to the last token. Each worker fills the bins of its own rows, without looking at those of others; what is left in a
-worker's open bins at its end goes into bins of a power of two of pieces, whose length is a power of two and needs no
-padding either. A worker holds fewer than 2 * capacity open pieces at any time, whatever the input.
+Whole sequences are cut off a document first. Its rest falls into a reciprocal-capacity class: class k holds rests
+longer than 1 / (k + 1) and at most 1 / k of the capacity, and each of its bins takes exactly k of them; rests of at
+most 1 / ``CLASSES`` of the capacity share one class, whose bins take rests until the next does not fit. What a bin
+leaves over is filled with tokens cut from one further rest, the worker's filler, so that every full bin is full to the
+last token, and only fillers are cut. Each worker fills the bins of its own rows, without looking at those of others.
+What is left in a worker's open bins at its end is laid end to end and cut into whole sequences and one of each power of
+two that the last tokens need, so that nothing is padded. A worker holds fewer than ``CLASSES`` * capacity open tokens
+at any time, whatever the input.
 
 Null texts count as empty and give the end token alone. Repeated rows are packed as often as they come, other columns
 are ignored, a null id stays null, and a table without rows gives no sequences.
@@ -17,6 +19,7 @@ import base64
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 END = 0
+#: Classes 1 to this; the last takes all shorter rests.
+CLASSES = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 TOKENIZER = "byte_bpe_50k"
 #: Code points whose classes (letter, number, space) the two libraries' regular expressions surely agree on; texts
@@ -76,44 +81,89 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return encode
 
 
-def cuts(length: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
-    """(start, size) of a document's pieces: whole sequences, then the binary parts of the rest, largest first."""
-    start = 0
-    while length - start >= capacity:
-        yield start, capacity
-        start += capacity
-    size = capacity
-    while start < length:
-        size //= 2
-        if length - start >= size:
-            yield start, size
-            start += size
+class Piece(NamedTuple):
+    """A run of a document's ids."""
 
+    doc_id: int | None
+    start: int
+    ids: np.ndarray
+    doc_tokens: int
 
-class Bins:
-    """The open bins of one worker, by piece size; full ones leave at once."""
+    def cut(self, size: int) -> tuple[Piece, Piece]:
+        return self._replace(ids=self.ids[:size]), self._replace(start=self.start + size, ids=self.ids[size:])
 
-    def __init__(self, worker: int, capacity: int = CAPACITY):
-        self.next_id, self.capacity, self.open = worker << 33, capacity, {}
 
-    def _seal(self, pieces: list[tuple], size: int) -> Iterator[tuple]:
-        for k, piece in enumerate(pieces):
-            yield (*piece, self.next_id, k * size)
+class Bins:
+    """The open bins of one worker, by class; full ones leave at once, as rows of ``SCHEMA``."""
+
+    def __init__(self, worker: int, capacity: int = CAPACITY, classes: int = CLASSES):
+        self.next_id, self.capacity, self.classes = worker << 33, capacity, classes
+        self.open: dict[int, list[Piece]] = {}
+        self.filler: Piece | None = None
+
+    def _sealed(self, pieces: list[Piece]) -> Iterator[tuple]:
+        offset = 0
+        for p in pieces:
+            yield p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.doc_tokens, self.next_id, offset
+            offset += len(p.ids)
         self.next_id += 1
 
-    def add(self, piece: tuple, size: int) -> Iterator[tuple]:
-        waiting = self.open.setdefault(size, [])
-        waiting.append(piece)
-        if len(waiting) * size == self.capacity:
-            yield from self._seal(self.open.pop(size), size)
+    def add(self, document: Piece) -> Iterator[tuple]:
+        """Whole sequences of a document, and the bins that its rest fills."""
+        rest = document
+        while len(rest.ids) >= self.capacity:
+            whole, rest = rest.cut(self.capacity)
+            yield from self._sealed([whole])
+        if len(rest.ids):
+            if self.filler is None:
+                self.filler = rest
+            else:
+                yield from self._place(rest)
+
+    def _place(self, rest: Piece) -> Iterator[tuple]:
+        k = min(self.classes, self.capacity // len(rest.ids))
+        waiting = self.open.setdefault(k, [])
+        if k == self.classes and sum(len(p.ids) for p in waiting) + len(rest.ids) > self.capacity:
+            yield from self._close(self.open.pop(k))
+            waiting = self.open.setdefault(k, [])
+        waiting.append(rest)
+        if k < self.classes and len(waiting) == k:
+            yield from self._close(self.open.pop(k))
+
+    def _close(self, pieces: list[Piece]) -> Iterator[tuple]:
+        """A bin with its class's rests, filled up from the filler, or from open bins where that is too short."""
+        left = self.capacity - sum(len(p.ids) for p in pieces)
+        while left:
+            if self.filler is None:
+                k = min((k for k in self.open if self.open[k]), default=None)
+                if k is None:
+                    break
+                self.filler = self.open[k].pop()
+            part, rest = self.filler.cut(left)
+            self.filler = rest if len(rest.ids) else None
+            pieces.append(part)
+            left -= len(part.ids)
+        if left:
+            self.open[0] = pieces  # nothing is left to fill it with: it stays for the end
+        else:
+            yield from self._sealed(pieces)
 
     def rest(self) -> Iterator[tuple]:
-        for size, waiting in sorted(self.open.items()):
-            while waiting:
-                n = 1 << (len(waiting).bit_length() - 1)
-                yield from self._seal(waiting[:n], size)
-                waiting = waiting[n:]
-        self.open = {}
+        """All that is left, end to end."""
+        line = [p for k in sorted(self.open) for p in self.open[k]] + ([self.filler] if self.filler else [])
+        self.open, self.filler = {}, None
+        total = sum(len(p.ids) for p in line)
+        while total:
+            size = min(self.capacity, 1 << (total.bit_length() - 1))
+            total -= size
+            pieces = []
+            while size:
+                part, rest = line.pop(0).cut(size)
+                if len(rest.ids):
+                    line.insert(0, rest)
+                pieces.append(part)
+                size -= len(part.ids)
+            yield from self._sealed(pieces)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
@@ -136,8 +186,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
                 ids = np.append(encode(text) if text else np.empty(0, "<u4"), np.array([END], "<u4")).astype("<u4")
-                for start, size in cuts(len(ids), capacity):
-                    rows.extend(bins.add((doc_id.as_py(), start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids)), size))
+                rows.extend(bins.add(Piece(doc_id.as_py(), 0, ids, len(ids))))
                 if len(rows) > 20_000:
                     yield out()
                     rows = []
