@@ -64,20 +64,40 @@ def test_packing(docs):
         packing.pack(docs, capacity=1000)
 
 
-def test_preferences(spark):
+def by_halves(df):
+    """Conversations 2 k and 2 k + 1 as the sides of pair k."""
+    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side")
+    return preferences.format_pairs(df.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side, "turn", "role", "text"))
+
+
+def test_pairs(spark):
     rows = [(0, None, None, None), (0, 1, "user", "a"), (0, 1, "user", "a"), (1, None, None, None), (1, 1, "user", "b"), (None, 1, "user", "z"), (4, 0, "user", "only"), (7, 0, "assistant", "late")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
-    got = {r.pair_id: r for r in preferences.preference_pairs(df).collect()}
+    got = {r.pair_id: r for r in by_halves(df).collect()}
     assert set(got) == {0, 2, 3}
     assert got[0].prompt_turns == 1 and got[0].chosen == "<|user|>\na\n" and got[0].rejected == "<|user|>\nb\n" and got[0].chosen_mask == ""
     assert got[2].status == "no rejected side" and got[3].status == "no chosen side" and got[3].rejected_mask == "14:18"
     assert got[3].rejected[14:18] == "late"
+    assert by_halves(df.limit(0)).count() == 0
+
+
+def test_preferences(spark):
+    rows = [(8, 1, "user", "q"), (8, 2, "assistant", "good"), (8, 3, "user", "bye"), (9, 1, "user", "q2"), (9, 2, "assistant", "bad"), (9, 2, "assistant", "bad"), (None, 1, "user", "z")]
+    rows += [(10, 1, "assistant", LONG), (11, None, None, None), (12, 1, "user", "u"), (14, 5, "assistant", "one"), (14, 5, "assistant", "two"), (15, 1, "assistant", "two")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
+    got = {r.pair_id: r for r in preferences.preference_pairs(df).collect()}
+    assert set(got) == {8, 9, 10, 11, 12, 14, 15}
+    assert (got[8].prompt, got[8].prompt_turns) == ("<|user|>\nq\n", 1)
+    assert (got[8].chosen, got[8].rejected) == ("<|assistant|>\ngood\n", "<|assistant|>\nbad\n") and (got[8].chosen_mask, got[8].rejected_mask) == ("14:18", "14:17")
+    assert (got[9].prompt, got[9].chosen, got[9].rejected) == ("<|user|>\nq2\n", "<|assistant|>\nbad\n", "<|assistant|>\ngood\n")
+    assert got[10].status == "no rejected side" and len(got[10].chosen) == len(LONG) + 15 and got[11].status == got[12].status == "no chosen side"
+    assert got[14].prompt == "<|assistant|>\none\n<|assistant|>\ntwo\n" and got[14].chosen == got[14].rejected == ""  # turns that share a number follow by text
     assert preferences.preference_pairs(df.limit(0)).count() == 0
 
 
 def test_equal_conversations_are_all_prompt(spark):
     df = spark.createDataFrame([(c, t, "user", f"t{t}") for c in (0, 1) for t in range(3)], "conv_id long, turn long, role string, text string")
-    r = preferences.preference_pairs(df).first()
+    r = by_halves(df).first()
     assert (r.prompt_turns, r.chosen, r.rejected) == (3, "", "") and r.prompt.count("<|user|>") == 3
 
 

@@ -126,6 +126,55 @@ def test_evidence_is_fused(spark):
     assert (got[200], got[201], got[202], got[203]) == ("de", "en", "de", "de")
 
 
+def chances(logs):
+    p = np.exp(np.array(logs) - max(logs))
+    return p / p.sum()
+
+
+def brute_fusion(rows, model):
+    """Languages, confidences and verdicts of rows (id, text, declared, address, host, suffix) in plain Python."""
+    own, n, like = {}, {}, {}
+    for k, (_, text, *_) in enumerate(rows):
+        h = [language.trigrams(b" " + (text or "").encode() + b" ")]
+        n[k] = len(h[0])
+        like[k] = model.astype(np.float32)[:, h[0]].astype(np.float64).mean(axis=1) * min(n[k], 100) if n[k] else np.zeros(4)
+        own[k] = chances(like[k]) if n[k] else np.zeros(4)
+    total = sum(own.values())
+    whole = (total + 1) / (total.sum() + 4)
+    out = {}
+    for k, (i, _, declared, address, host, suffix) in enumerate(rows):
+        at = lambda c, v: sum((own[j] for j, r in enumerate(rows) if (r[c] or "") == (v or "") and j != k), np.zeros(4))
+        s, h = at(5, suffix), at(4, host)
+        prior = (h + 10 * (s + 50 * whole) / (s.sum() + 50)) / (h.sum() + 10)
+        logs = like[k] + np.log(prior)
+        for given, right in ((declared, 0.85), (address, 0.7)):
+            if given in language.LANGUAGES:
+                logs += [np.log(right if x == given else (1 - right) / 3) for x in language.LANGUAGES]
+        p = chances(logs)
+        told = n[k] > 0 and like[k].max() >= -np.log(language.BUCKETS) * min(n[k], 100)
+        out[i] = language.LANGUAGES[int(p.argmax())], p.max(), bool(told and p.max() >= 0.6)
+    return out
+
+
+def test_fusion_is_brute_force(spark, sf):
+    docs = language.document_rows(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = language.train(docs, sample=50)
+    rows = [tuple(r) for r in docs.collect()] + [(-1, None, "de", "fr", "new", "org"), (-2, "слово и дело " * 30, "en", None, "a", None), (-3, "x", None, "es", None, "es")]
+    df = spark.createDataFrame(rows, docs.schema).withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "suffix")})
+    got = {r.id: r for r in language.fused(language.cut(language.text_evidence(df, model))).collect()}
+    expected = brute_fusion(rows, model)
+    assert set(got) == set(expected) and not got[-2].accepted
+    for i, (lang, p, ok) in expected.items():
+        assert abs(got[i].confidence - p) < 1e-5 and (got[i].language == lang or p < 0.5) and (got[i].accepted == ok or abs(p - 0.6) < 1e-4)
+
+
+def test_parts_have_the_trigrams_of_the_whole(monkeypatch):
+    text = "Der Fluß und die Brücke, wie es war. " * 40
+    whole = np.concatenate([language.trigrams(p) for p in language._parts(text, False)])
+    monkeypatch.setattr(language, "_AT_ONCE", 7)
+    assert np.array_equal(np.sort(np.concatenate([language.trigrams(p) for p in language._parts(text, False)])), np.sort(whole))
+
+
 def article(page: str) -> str:
     inner = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
     parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in re.split(r"<(?:/?h1|/?p|br)>", inner))
@@ -376,9 +425,25 @@ def test_rules_follow_labels(spark):
 
 
 def test_templates_meet_themselves(spark):
-    df = spark.createDataFrame([(k, "x " * 40 + t + " y" * 40) for k, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, "x " * 40 + t + " y" * 40) for k, (_, t, _) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
     got = {r.doc_id: r.labels.split(",") for r in licenses.licenses(df).collect()}
-    assert all(label in got[k] for k, (label, _) in enumerate(licenses.TEMPLATES))
+    assert all(label in got[k] for k, (label, *_) in enumerate(licenses.TEMPLATES))
+    assert all(set(must.split()) <= set(t.split()) for _, t, must in licenses.TEMPLATES)
+
+
+def test_sister_licenses_do_not_meet(spark):
+    told = {
+        "This work is licensed under the GNU General Public License, version 3": "gpl",
+        "under the terms of the GNU General Public License": "gpl",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "released under the Apache license": "",
+        "released under the BSD license": "",
+        "licensed under the BSD license version 2 0": "",
+        "Released under the MIT license.": "mit",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+    }
+    df = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.licenses(df).collect()} == dict(enumerate(told.values()))
 
 
 def test_pipeline_is_its_stages(spark, sf):

@@ -3,18 +3,22 @@
 Four sources are multiplied: the likelihood of the text's byte trigrams under each language, the declared language,
 a language in the address (country suffix or first path segment), and a prior for the host. Host priors come from the
 text evidence of all rows, summed by host; each host is smoothed towards its address suffix and each suffix towards
-the whole (grouped aggregation, combined before the shuffle, so one host may hold any share of the rows).
+the whole (grouped aggregation, combined before the shuffle, so one host may hold any share of the rows). A row's own
+text is left out of its host's and its suffix's sums, so that it counts once.
 
 The trigram model is fitted on a bounded sample of rows with a declared language, ``SAMPLE`` rows a language in
 expectation, taken by a hash of the id; everything else uses every row and whole texts.
 
-Null or empty texts, and texts without letters, give no text evidence and are not accepted. A null declaration or
+A text that uniform trigrams explain better than every language is in none of them and not accepted. Null or empty
+texts, and texts without letters, give no text evidence and are not accepted. Of languages with one posterior, the
+first in ``LANGUAGES`` is taken. A null declaration or
 address leaves that source out; rows with a null host share one. Repeated rows count as often as they come and give
 repeated rows. A table without rows gives none; without any declared language the model is flat.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -51,18 +55,18 @@ _AT_ONCE = 1 << 18
 
 def trigrams(text: bytes) -> np.ndarray:
     """Buckets of the byte trigrams whose middle is a letter; all that is not a letter is a space."""
-    b = _FOLD[np.frombuffer(b" " + text + b" ", np.uint8)]
+    b = _FOLD[np.frombuffer(text, np.uint8)]
     mid = b[1:-1]
     h = b[:-2].astype(np.uint32) * np.uint32(0x9E3779B1) + mid.astype(np.uint32) * np.uint32(0x85EBCA77) + b[2:].astype(np.uint32) * np.uint32(0xC2B2AE3D)
     return (h[mid != 0x20] >> np.uint32(17)).astype(np.int64)
 
 
 def _parts(text: str | None, markup: bool) -> Iterator[bytes]:
+    """The text between two spaces, in parts that overlap by two bytes: their trigrams are the text's."""
     data = (text or "").encode()
-    if markup:
-        data = _MARKUP.sub(b" ", data)
-    for at in range(0, len(data), _AT_ONCE):
-        yield data[at : at + _AT_ONCE]
+    data = b" " + (_MARKUP.sub(b" ", data) if markup else data) + b" "
+    for at in range(0, len(data) - 2, _AT_ONCE):
+        yield data[at : at + _AT_ONCE + 2]
 
 
 def train(rows: DataFrame, languages=LANGUAGES, markup: bool = False, sample: int = SAMPLE) -> np.ndarray:
@@ -120,41 +124,57 @@ def _softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def host_priors(evidence: DataFrame, languages=LANGUAGES) -> DataFrame:
-    """``host, prior``: smoothed log-probabilities of the languages for each host."""
-    own = F.when(F.col("n_trigrams") > 0, _softmax(F.col("likelihood")))
+def _own(languages) -> Column:
+    """What a row's text alone says: chances of the languages, or zeros without a text."""
+    return F.when(F.col("n_trigrams") > 0, _softmax(F.col("likelihood"))).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
+
+
+def _without(sums: Column, own: Column, weight: float, towards: Column) -> Column:
+    """Sums of all rows as chances without this row's share, smoothed."""
+    left = F.zip_with(sums, own, lambda s, o: F.greatest(s - o, F.lit(0.0)))
+    total = F.aggregate(left, F.lit(0.0), lambda a, b: a + b)
+    return F.zip_with(left, towards, lambda x, t: (x + weight * t) / (total + weight))
+
+
+def host_sums(evidence: DataFrame, languages=LANGUAGES) -> tuple[DataFrame, list[float]]:
+    """``host, suffix, by_host, by_suffix``: sums of the rows' chances of the languages; and their shares in the whole."""
     names = [f"n{k}" for k in range(len(languages))]
-    sums = [F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names]
+    sums = [F.sum(n).alias(n) for n in names]
+    own = _own(languages)
     by_host = cut(evidence.select("host", "suffix", *(F.get(own, F.lit(k)).alias(n) for k, n in enumerate(names))).groupBy("host", "suffix").agg(*sums))
     by_suffix = by_host.groupBy("suffix").agg(*sums)
-    total = by_suffix.agg(*sums).first()
-    whole = [(total[n] + 1.0) / (sum(total) + len(names)) for n in names]
-
-    def smoothed(n: str, towards: Column, weight: float, table: str) -> Column:
-        return (F.col(f"{table}.{n}") + weight * towards) / (sum((F.col(f"{table}.{x}") for x in names[1:]), F.col(f"{table}.{names[0]}")) + weight)
-
-    suffixes = by_suffix.alias("s").select("suffix", *(smoothed(n, F.lit(w), SUFFIX_SMOOTHING, "s").alias(f"of_{n}") for n, w in zip(names, whole, strict=True)))
-    both = by_host.alias("h").join(suffixes, "suffix")
-    return both.select("host", F.array(*(F.log(smoothed(n, F.col(f"of_{n}"), HOST_SMOOTHING, "h")) for n in names)).alias("prior"))
+    total = [x or 0.0 for x in by_suffix.agg(*sums).first()]
+    whole = [(n + 1.0) / (sum(total) + len(names)) for n in total]
+    both = by_host.select("host", "suffix", F.array(*names).alias("by_host")).join(by_suffix.select("suffix", F.array(*names).alias("by_suffix")), "suffix")
+    return both, whole
 
 
 def identify(rows: DataFrame, languages=LANGUAGES, markup: bool = False, sample: int = SAMPLE) -> DataFrame:
     """``id, language, confidence, declared, address, n_trigrams, accepted`` from ``id, text, declared, address, host, suffix``."""
     rows = rows.withColumns({"host": F.coalesce("host", F.lit("")), "suffix": F.coalesce("suffix", F.lit(""))})
     model = train(rows, languages, markup, sample)
-    evidence = cut(text_evidence(rows, model, markup))
-    priors = cut(host_priors(evidence, languages))
+    return fused(cut(text_evidence(rows, model, markup)), languages)
+
+
+def fused(evidence: DataFrame, languages=LANGUAGES) -> DataFrame:
+    """The result of :func:`identify` from the written evidence of the texts."""
+    sums, whole = host_sums(evidence, languages)
 
     def channel(given: str, right: float) -> list[Column]:
         wrong = (1 - right) / (len(languages) - 1)
         known = F.col(given).isin(*languages)
         return [F.when(known, F.when(F.col(given) == lang, F.log(F.lit(right))).otherwise(F.log(F.lit(wrong)))).otherwise(F.lit(0.0)) for lang in languages]
 
-    logs = F.array(*(F.get("likelihood", F.lit(k)) + F.get("prior", F.lit(k)) + d + a for k, (d, a) in enumerate(zip(channel("declared", DECLARED), channel("address", ADDRESS), strict=True))))
-    fused = evidence.join(priors, "host").select("id", "declared", "address", "n_trigrams", _softmax(logs).alias("posterior"))
+    both = evidence.join(cut(sums), ["host", "suffix"]).withColumn("own", _own(languages))
+    both = both.withColumn("towards", _without(F.col("by_suffix"), F.col("own"), SUFFIX_SMOOTHING, F.array(*map(F.lit, whole))))
+    both = both.withColumn("prior", _without(F.col("by_host"), F.col("own"), HOST_SMOOTHING, F.col("towards")))
+    logs = F.array(*(F.get("likelihood", F.lit(k)) + F.log(F.get("prior", F.lit(k))) + d + a for k, (d, a) in enumerate(zip(channel("declared", DECLARED), channel("address", ADDRESS), strict=True))))
+    uniform = -math.log(BUCKETS) * F.least("n_trigrams", F.lit(EFFECTIVE))
+    told = (F.col("n_trigrams") > 0) & (F.array_max("likelihood") >= uniform)
+    fused = both.select("id", "declared", "address", "n_trigrams", told.alias("told"), _softmax(logs).alias("posterior"))
     best = F.array_max("posterior")
     language = F.get(F.array(*map(F.lit, languages)), (F.array_position("posterior", best) - 1).cast("int"))
-    return fused.select("id", language.alias("language"), best.alias("confidence"), "declared", "address", "n_trigrams", ((F.col("n_trigrams") > 0) & (best >= ACCEPT)).alias("accepted"))
+    return fused.select("id", language.alias("language"), best.alias("confidence"), "declared", "address", "n_trigrams", (F.col("told") & (best >= ACCEPT)).alias("accepted"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
