@@ -213,6 +213,26 @@ def test_main_text_keeps_content_beside_the_best_path():
     assert extraction.extract(page) == " ".join(["Title", lead.strip(), *[para.strip()] * 5])
 
 
+def test_main_text_in_wrappers_and_beside_other_articles():
+    para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
+    body = f"<header><h1>Title</h1></header><p>{para}</p><p>{para}</p>"
+    want = " ".join(["Title", para.strip(), para.strip()])
+    foot, nav = "<footer>Imprint, and so on.</footer>", "<nav><a href=/>Home</a></nav>"
+    for before, after in (("<div class=has-sidebar>", "</div>"), ("<div class=social-science>", "</div>"), ("<form id=aspnetForm>", "</form>"), ("<div class='page no-comments'>", "</div>"), ("<main>", "</main>")):
+        assert extraction.extract(f"<body>{nav}{before}<article>{body}</article>{after}{foot}</body>") == want
+    teaser = "<article><h2>Related</h2><p>A teaser, short as it is, of another story.</p></article>"
+    assert extraction.extract(f"<body>{nav}<article>{body}</article>{teaser}{foot}</body>") == want
+    assert extraction.extract(f"<body><main><article>{body}</article>{teaser}</main></body>") == want
+    comments = "<div class=comments>" + "<p>I like it, very much, and said so at length, thanks.</p>" * 40 + "</div>"
+    assert extraction.extract(f"<body><article>{body}{comments}</article>{comments}</body>") == want
+
+
+def test_threshold_decides():
+    para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
+    page = f"<body><div><p>{para}</p><p>{para}</p><div>Some words, not many</div><p>{para}</p></div></body>"
+    assert "Some words" not in extraction.extract(page) and "Some words" in extraction.extract(page, threshold=0.0001)
+
+
 def brute_distance(p, t):
     prev, best = list(range(len(p) + 1)), len(p)
     for w in t:

@@ -3,9 +3,13 @@
 A page is read into blocks of text, each with its path of element names from the root. For each path, text length
 and punctuation are summed and divided by its number of blocks; the ratios are smoothed along the page, multiplied,
 damped by the share of linked text, and a path counts as content if its score reaches a share of the best. The
-content's place is the article or main element around the best path or, where there is none, the nearest element around
-all content paths: of the blocks there, those of content paths and headings, lists and quotations are kept. Parts that are never content (menus, headers,
-footers, forms, scripts and the like, by element name or by words of class, id and role) leave before any counting.
+content's place is the article or main element with most text of content paths or, where there is none, the nearest
+element around all content paths: of the blocks there, those of content paths and headings, lists and quotations are
+kept. A second article beside or inside the place stays out unless it takes turns with others of its size.
+
+Parts that are never content (menus, footers, scripts and the like, by element name or by words of class, id and role)
+leave before any counting. Names that may also stand for a wrapper (a form, a header, a social or related section) give
+way if their element holds most of the page's text, and headers inside an article belong to it.
 
 Null and empty pages, and pages without content, give an empty text. Repeated rows give repeated rows, columns other
 than ``page_id``, ``url`` and ``html`` are ignored by :func:`main_text`, and a table without rows gives none.
@@ -15,8 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from itertools import takewhile
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +44,10 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist respond reply replies discussion disqus share sharing social related recommended "
     "recommendations widget pagination pager toolbar login signup signin register skip hidden copyright legal disclaimer alert complementary contentinfo search".split()
 )
+#: Of these names, those whose element stays if it holds most of the page's text.
+WRAPPERS = frozenset("form header masthead social share sharing related recommended widget search legal copyright notice alert promotion skip login signup toolbar".split())
+#: Class names that start with these tell a state of the page, not what the element is.
+STATES = ("has-", "no-", "not-", "with-", "without-", "is-", "js-", "hide-", "show-", "has_", "no_", "with_", "without_", "is_")
 CONTENT_ROLES = frozenset("article main articlebody".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
@@ -49,32 +57,41 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "place")
+    __slots__ = ("path", "parts", "linked", "places", "wrappers")
+
+    def __init__(self, path: str, places: tuple[int, ...], wrappers: tuple[int, ...]):
+        self.path, self.places, self.wrappers, self.parts, self.linked = path, places, wrappers, [], 0
+
+
+class Element(NamedTuple):
+    name: str
+    never: bool
+    #: Number of an article or main element, or 0.
+    place: int
+    #: Number of an element that is content only if it holds most of the text, or 0.
+    wrapper: int
+
 
-    def __init__(self, path: str, place: str | None):
-        self.path, self.place, self.parts, self.linked = path, place, [], 0
+def described(attributes: str) -> set[str]:
+    """The words of an element's class, id and role, without names of states."""
+    names = (n.lower() for g in _NAMED.findall(attributes) for n in "".join(g).split())
+    return {w for n in names if not n.startswith(STATES) for w in re.split(r"[^a-z]+", n)}
 
 
-def blocks(page: str) -> list[tuple[str, str | None, str, int]]:
-    """(path, path of the enclosing article or main element, text, linked characters) in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # name, never content, article
+def blocks(page: str) -> list[tuple[str, tuple[int, ...], str, int]]:
+    """(path, numbers of the enclosing article and main elements, text, linked characters) in page order."""
+    stack: list[Element] = []
     out: list[Block] = []
     block: Block | None = None
-    links = skipped = 0
+    links = skipped = number = 0
 
-    def names() -> str:
-        return "/".join(s[0] for s in stack)
-
-    def place() -> str | None:
-        for k, s in enumerate(stack):
-            if s[2]:
-                return "/".join(x[0] for x in stack[: k + 1])
-        return None
+    def opened() -> Block:
+        return Block("/".join(s.name for s in stack), tuple(s.place for s in stack if s.place), tuple(s.wrapper for s in stack if s.wrapper))
 
     def pop_to(k: int) -> None:
         nonlocal skipped
         while len(stack) > k:
-            skipped -= stack.pop()[1]
+            skipped -= stack.pop().never
 
     def text(s: str) -> None:
         nonlocal block
@@ -82,7 +99,7 @@ def blocks(page: str) -> list[tuple[str, str | None, str, int]]:
             if block is None:
                 if s.isspace():
                     return
-                block = Block(names(), place())
+                block = opened()
                 out.append(block)
             s = html.unescape(s) if "&" in s else s
             block.parts.append(s)
@@ -115,7 +132,7 @@ def blocks(page: str) -> list[tuple[str, str | None, str, int]]:
         block = None
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     pop_to(k)
                     links = 0
                     break
@@ -128,33 +145,39 @@ def blocks(page: str) -> list[tuple[str, str | None, str, int]]:
             continue
         if name == "body":
             for k, s in enumerate(stack):
-                if s[0] == "head":
+                if s.name == "head":
                     pop_to(k)
                     break
         if name in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
+                if stack[k].name == "p":
                     pop_to(k)
                     break
-                if stack[k][0] in ("td", "th", "button", "body", "table"):
+                if stack[k].name in ("td", "th", "button", "body", "table"):
                     break
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in SIBLINGS.get(name, ()):
+            if stack[k].name in SIBLINGS.get(name, ()):
                 pop_to(k)
                 if name != "tr":
                     break
-            elif stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "div", "body", "select") or not SIBLINGS.get(name):
+            elif stack[k].name in ("ul", "ol", "dl", "table", "tbody", "thead", "div", "body", "select") or not SIBLINGS.get(name):
                 break
-        given = {w for g in _NAMED.findall(attributes) for w in re.split(r"[^a-z]+", "".join(g).lower())} if attributes else set()
-        never = name in NEVER or name not in ("html", "body") and bool(given & BOILERPLATE or (attributes and _HIDDEN.search(attributes)))
-        stack.append((name, never, name in ("article", "main") or bool(given & CONTENT_ROLES) and name not in ("html", "body")))
+        given = described(attributes) if attributes and name not in ("html", "body") else set()
+        inside = any(e.place for e in stack)
+        told = (given & BOILERPLATE | {name} & NEVER) - ({"header"} if inside else set())
+        hidden = name not in ("html", "body") and bool(attributes and _HIDDEN.search(attributes))
+        number += 1
+        never = hidden or bool(told - WRAPPERS)
+        is_place = name in ("article", "main") or bool(given & CONTENT_ROLES)
+        stack.append(Element(name, never, number if is_place else 0, number if told and not never else 0))
         skipped += never
-    found = []
-    for b in out:
-        t = " ".join("".join(b.parts).split())
-        if t:
-            found.append((b.path, b.place, t, min(b.linked, len(t))))
-    return found
+    texts = [" ".join("".join(b.parts).split()) for b in out]
+    held: dict[int, int] = {}
+    for b, t in zip(out, texts, strict=True):
+        for w in b.wrappers:
+            held[w] = held.get(w, 0) + len(t)
+    most = sum(map(len, texts)) / 2
+    return [(b.path, b.places, t, min(b.linked, len(t))) for b, t in zip(out, texts, strict=True) if t and all(held[w] > most for w in b.wrappers)]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -162,7 +185,7 @@ def _smooth(values: list[float]) -> list[float]:
     return [0.25 * values[max(0, k - 1)] + 0.5 * v + 0.25 * values[min(last, k + 1)] for k, v in enumerate(values)]
 
 
-def path_scores(found: list[tuple[str, str | None, str, int]]) -> dict[str, float]:
+def path_scores(found: list[tuple[str, tuple[int, ...], str, int]]) -> dict[str, float]:
     """The fused ratios of each path."""
     sums: dict[str, list[float]] = {}
     for path, _, t, linked in found:
@@ -172,9 +195,9 @@ def path_scores(found: list[tuple[str, str | None, str, int]]) -> dict[str, floa
     length = _smooth([sums[p][1] / sums[p][0] for p, *_ in found])
     marks = _smooth([1 + sums[p][2] / sums[p][0] for p, *_ in found])
     scores: dict[str, float] = {}
-    for (path, place, _, _), a, b in zip(found, length, marks, strict=True):
+    for (path, places, _, _), a, b in zip(found, length, marks, strict=True):
         n, chars, _, linked = sums[path]
-        value = a * b / n * (1 - linked / chars) * (ARTICLE_FACTOR if place else 1)
+        value = a * b / n * (1 - linked / chars) * (ARTICLE_FACTOR if places else 1)
         scores[path] = scores.get(path, 0) + value
     return {p: s * sums[p][1] ** 0.5 for p, s in scores.items()}
 
@@ -198,15 +221,30 @@ def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     if scores[best] <= 0:
         return ""
     content = {p for p in scores if scores[p] >= threshold * scores[best]}
-    place = next((b[1] for b in found if b[0] == best and b[1]), None)
-    if place:
-        inside = [b for b in found if b[1] and _within(b[1], place)]
+    if any(b[1] for b in found if b[0] == best):
+        inside = [b for b in found if b[1]]
+        depth = 0
+        while held := _held(inside, content, depth):
+            place = max(held, key=lambda p: (held[p], -p))
+            if depth and 2 * held[place] <= sum(len(b[2]) for b in inside if b[0] in content):
+                break
+            inside = [b for b in inside if len(b[1]) > depth and b[1][depth] == place]
+            depth += 1
     else:
         above = _common([p.rpartition("/")[0] for p in content])
         inside = [b for b in found if b[0] in content or _within(b[0], above)]
     return " ".join(t for path, _, t, linked in inside if path in content or path.rpartition("/")[2] in BETWEEN and 2 * linked <= len(t))
 
 
+def _held(inside: list[tuple[str, tuple[int, ...], str, int]], content: set[str], depth: int) -> dict[int, int]:
+    """Characters of content paths in each article or main element at this depth."""
+    held: dict[int, int] = {}
+    for path, places, t, _ in inside:
+        if len(places) > depth and path in content:
+            held[places[depth]] = held.get(places[depth], 0) + len(t)
+    return held
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each page."""
 
@@ -216,6 +254,3 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     return pages.select("page_id", "url", texts("html").alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
-
-def main_texts(htmls: Iterator[str | None]) -> list[str]:
-    return [extract(h) for h in htmls]
