@@ -1,7 +1,9 @@
-"""Command line: ``python -m voxelry.cli segment|sample|membranogram ...``.
+"""Command line: ``python -m voxelry.cli segment|batch|sample|membranogram|show ...``.
 
 Volumes are MRC files, guides are point texts (object 1: guide lines, object 2: a reference point), states are folders
-(:mod:`voxelry.sources.state`). Lengths are in nm.
+(:mod:`voxelry.sources.state`). Lengths are in nm. ``batch`` segments many volumes, each with its own guide and state.
+A run that begins anew renames a state that is there. With ``--outputs``, a point model of the result (``.mod`` text)
+and the points on a few slices (``.slices``) are written too.
 """
 
 from __future__ import annotations
@@ -13,23 +15,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelry.operators import matching, spatial
+from voxelry.operators.points import normals_tangent, ordinal
 from voxelry.plans import pipelines
 from voxelry.sources import mrc, points, state
+from voxelry.storage import cut
 
 ZYX = ["z", "y", "x"]
 #: Defaults for one membrane where they differ from those for two.
 ONE_MEMBRANE = {"extend": 20.0, "detect_filt": 1.75}
 
 
-def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="voxelry", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    commands = top.add_subparsers(dest="command", required=True)
-
-    seg = commands.add_parser("segment", help="find one or two membranes")
-    seg.add_argument("mode", choices=("run", "runfine", "contresults", "contrefine"))
-    seg.add_argument("tomo")
-    seg.add_argument("model")
-    seg.add_argument("--state", required=True, help="folder of the results")
+def _segment_options(seg: argparse.ArgumentParser) -> None:
+    seg.add_argument("-o", "--outputs", help="also write OUTPUTS.mod and OUTPUTS.slices")
     seg.add_argument("--membranes", type=int, choices=(1, 2), default=2)
     seg.add_argument("--pixel", type=float, help="pixel size in nm; by default the file's")
     seg.add_argument("--seed", type=int, default=0)
@@ -40,8 +38,26 @@ def parser() -> argparse.ArgumentParser:
     for name in ("fit_popsize", "fit_maxiter"):
         seg.add_argument(f"--{name}", type=int, default=getattr(d, name))
 
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="voxelry", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = top.add_subparsers(dest="command", required=True)
+
+    seg = commands.add_parser("segment", help="find one or two membranes")
+    seg.add_argument("mode", choices=("run", "runfine", "contresults", "contrefine"))
+    seg.add_argument("tomo")
+    seg.add_argument("model")
+    seg.add_argument("--state", required=True, help="folder of the results")
+    _segment_options(seg)
+
+    many = commands.add_parser("batch", help="segment many volumes: the guide of NAME.mrc is NAME.mod, its state STATES/NAME")
+    many.add_argument("mode", choices=("run", "runfine"))
+    many.add_argument("tomos", nargs="+")
+    many.add_argument("--states", required=True, help="folder of the states")
+    _segment_options(many)
+
     sample = commands.add_parser("sample", help="sample places on a segmented membrane")
-    sample.add_argument("method", choices=("localmax", "classify", "strided", "excluded"))
+    sample.add_argument("method", choices=("localmax", "classify", "boxes", "strided", "excluded"))
     sample.add_argument("tomo")
     sample.add_argument("--state", required=True)
     sample.add_argument("--label", type=int, default=1)
@@ -51,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     sample.add_argument("--spacing_z", type=float, default=3.0)
     sample.add_argument("--seed", type=int, default=0)
     sample.add_argument("--pixel", type=float)
+    sample.add_argument("-o", "--outputs", help="with classify or boxes: OUTPUTS.mrc, a slice for each box; with classify also OUTPUTS.classes")
 
     view = commands.add_parser("membranogram", help="project the density beside a membrane")
     view.add_argument("tomo")
@@ -76,8 +93,6 @@ def _near(spark: SparkSession, tomo: str, cloud: DataFrame, margin: float) -> Da
 
 
 def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmentation:
-    from voxelry.operators.points import ordinal
-
     pixel = _pixel(spark, args)
     for name, value in ONE_MEMBRANE.items():
         if getattr(args, name) is None:
@@ -94,6 +109,8 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
     neigh = max(options.px(options.neigh_thresh), 1.0)
     lengths = tuple(options.px(v) for v in options.fit_lengrids)
     if args.mode in ("run", "runfine"):
+        if mrc.count_files(spark, args.tomo) != 1:
+            raise SystemExit("segment takes one volume; use batch for many")
         size = mrc.read_slices(spark, args.tomo, (0, None, None), (1, None, None)).select("ny", "nx").first()
         voxels = mrc.read_voxels(spark, args.tomo).select(*ZYX, "v")
         out = pipelines.segment(voxels, numbered, (size["ny"], size["nx"]), options, args.membranes, reference, args.mode == "runfine")
@@ -101,10 +118,29 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
         guide, matched = (state.load_step(spark, args.state, s) for s in ("guide", "match"))
         out = pipelines.finish(pipelines.Segmentation(), matched, guide, lengths, options, neigh, None, reference, simplify=args.mode == "contrefine")
     tables = out.steps | {"results": out.results, "areas": out.areas} | ({"distances": out.distances} if out.distances is not None else {})
+    if args.mode in ("run", "runfine"):
+        state.backup(spark, args.state)
     state.save(spark, args.state, vars(args) | {"pixel_nm": pixel}, tables)
+    if args.outputs:
+        bound = state.load_step(spark, args.state, "bound")
+        points.write_points(pipelines.output_model(bound, out.results, 2 * neigh), f"{args.outputs}.mod")
+        pipelines.output_slices(bound, out.results).write.mode("overwrite").parquet(f"{args.outputs}.slices")
     return out
 
 
+def batch(spark: SparkSession, args: argparse.Namespace) -> dict[str, pipelines.Segmentation]:
+    """Each volume's segmentation, by name."""
+    done = {}
+    for tomo in args.tomos:
+        stem = tomo.removesuffix(".mrc")
+        name = stem.rpartition("/")[2]
+        if name in done:
+            raise SystemExit(f"two volumes are named {name}")
+        own = {"tomo": tomo, "model": f"{stem}.mod", "state": f"{args.states}/{name}", "outputs": args.outputs and f"{args.outputs}{name}"}
+        done[name] = segment(spark, argparse.Namespace(**vars(args) | own))
+    return done
+
+
 def _surface(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     surface = state.load_step(spark, args.state, "results").where(F.col("label") == args.label)
     return surface.select("idx", *ZYX, *(f"n{c}" for c in ZYX))
@@ -119,8 +155,16 @@ def sample(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     else:
         voxels = _near(spark, args.tomo, surface, (2 + max(map(abs, args.box))) / pixel)
         out = pipelines.sampling_localmax(surface, voxels, pixel, tuple(args.box), args.r_exclude or 2.0)
+        if args.method in ("classify", "boxes") and args.outputs:
+            lo, hi, rt = (v / pixel for v in args.box)
+            cells = cut(spatial.box_cells(normals_tangent(out), voxels, (lo, hi), rt))
+            size = cells.agg(F.countDistinct("idx"), F.max("i") + 1, F.max("j") + 1).first()
+            mrc.write_volume(pipelines.box_stack(cells), f"{args.outputs}.mrc", tuple(size), pixel * 10)
         if args.method == "classify":
-            out = pipelines.sampling_classify(out, voxels, pixel, tuple(args.box)).where("class = 0")
+            classed = cut(pipelines.sampling_classify(out, voxels, pixel, tuple(args.box)))
+            if args.outputs:
+                matching.class_averages(cells, classed.select("idx", "class")).write.mode("overwrite").parquet(f"{args.outputs}.classes")
+            out = classed.where("class = 0")
     state.save(spark, args.state, state.load_args(spark, args.state), {f"sample_{args.method}_{args.label}": out})
     return out
 
@@ -144,7 +188,7 @@ def show(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("voxelry").getOrCreate()
-    return {"segment": segment, "sample": sample, "membranogram": membranogram, "show": show}[args.command](spark, args)
+    return {"segment": segment, "batch": batch, "sample": sample, "membranogram": membranogram, "show": show}[args.command](spark, args)
 
 
 if __name__ == "__main__":

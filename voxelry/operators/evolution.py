@@ -3,14 +3,19 @@
 The cloud of one component, in order along a guide, is divided into a grid; an individual picks a point of each cell,
 and a spline surface through the picks is judged by the cloud it leaves uncovered and by its own excess over the cloud.
 Generations alternate crossover and mutation and keep the best by non-dominated rank and crowding. A component is one
-group of rows and evolves within one task; many components and volumes evolve beside each other.
+group of rows and evolves within one task; many components and volumes evolve beside each other. An evolution's state
+is one text (JSON) that holds the grid, the cloud, the population and the log of fronts; it can be stored, looked into
+and gone on with.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxelry.functions.splines import Surface, wire_length
 
@@ -58,12 +63,44 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(points: np.ndarray) -> np.ndarray:
+    """Rounded points, each once, in the order in which they come first."""
+    p, first = np.unique(np.rint(points), axis=0, return_index=True)
+    return p[np.argsort(first, kind="stable")]
+
+
+def downscaled(grid: list[list[np.ndarray]], downscale: float) -> tuple[list[list[np.ndarray]], float]:
+    """The grid in units of ``downscale``, and that factor: 1 at least, and no more than the least gap in z between cells."""
+    gaps = [grid[k + 1][0][:, 0].min() - grid[k][0][:, 0].max() for k in range(len(grid) - 1) if len(grid[k][0]) and len(grid[k + 1][0])]
+    factor = float(max(1.0, min([max(downscale, 1.0), *gaps])))
+    return [[_distinct(c / factor) if len(c) else c for c in row] for row in grid], factor
+
+
 class Evolution:
     def __init__(self, grid: list[list[np.ndarray]], cloud: np.ndarray, counts: np.ndarray, r: float, seed: int = 0):
         self.grid, self.cloud, self.counts, self.r2 = grid, cloud, counts, r * r
         self.sizes = np.array([[len(c) for c in row] for row in grid])
         self.rng = np.random.default_rng(seed)
+        self.pop: list[np.ndarray] = []
+        self.fit: list[tuple[float, int]] = []
+        #: Coverage loss of each generation, and its front: (coverage loss, excess, picks).
         self.log: list[float] = []
+        self.fronts: list[list[tuple[float, int, list]]] = []
+
+    def state(self) -> str:
+        """All that is needed to go on, as JSON."""
+        plain = {"grid": [[c.tolist() for c in row] for row in self.grid], "cloud": self.cloud.tolist(), "counts": self.counts.tolist(), "r2": self.r2, "rng": self.rng.bit_generator.state}
+        return json.dumps(plain | {"pop": [p.tolist() for p in self.pop], "fit": self.fit, "log": self.log, "fronts": self.fronts})
+
+    @classmethod
+    def from_state(cls, state: str) -> Evolution:
+        s = json.loads(state)
+        points = lambda c: np.array(c, float).reshape(-1, 3)
+        out = cls([[points(c) for c in row] for row in s["grid"]], points(s["cloud"]), np.array(s["counts"]), 0.0)
+        out.r2, out.rng.bit_generator.state = s["r2"], s["rng"]
+        out.pop, out.fit = [np.array(p, int) for p in s["pop"]], [tuple(f) for f in s["fit"]]
+        out.log, out.fronts = s["log"], [[tuple(i) for i in front] for front in s["fronts"]]
+        return out
 
     def net(self, picks: np.ndarray) -> np.ndarray:
         return np.array([[c[min(k, len(c) - 1)] if len(c) else row[0][0] for c, k in zip(row, ks, strict=True)] for row, ks in zip(self.grid, picks, strict=True)])
@@ -81,8 +118,20 @@ class Evolution:
     def random(self) -> np.ndarray:
         return (self.rng.random(self.sizes.shape) * np.maximum(self.sizes, 1)).astype(int)
 
-    def middle(self) -> np.ndarray:
-        return np.maximum(self.sizes - 1, 0) // 2
+    def uniform(self, index: int = 0) -> np.ndarray:
+        """The point of this number in each cell, or the cell's last."""
+        return np.clip(index, 0, np.maximum(self.sizes - 1, 0))
+
+    def middle(self, pin_side: bool = False) -> np.ndarray:
+        """The middle point of each cell; with ``pin_side`` the outer ones of the side columns."""
+        out = np.maximum(self.sizes - 1, 0) // 2
+        if pin_side:
+            out[:, 0], out[:, -1] = 0, np.maximum(self.sizes[:, -1] - 1, 0)
+        return out
+
+    def surfaces(self, picks: list[np.ndarray], factor: float = 1.0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The picked points and the surface of each individual."""
+        return [(self.net(p).reshape(-1, 3), self.surface(p, factor)) for p in picks]
 
     def mutated(self, picks: np.ndarray) -> np.ndarray:
         out = picks.copy()
@@ -96,33 +145,56 @@ class Evolution:
         x[i:j], y[i:j] = b.ravel()[i:j], a.ravel()[i:j]
         return x.reshape(a.shape), y.reshape(a.shape)
 
+    def _logged(self) -> None:
+        front = [k for k, r in enumerate(ranks(self.fit)) if r == 0]
+        front.sort(key=lambda k: self.fit[k])
+        self.fronts.append([(*self.fit[k], self.pop[k].tolist()) for k in front])
+        self.log.append(self.fit[front[0]][0])
+
+    def ratios(self) -> list[float]:
+        """By how much each generation's coverage loss is less than the one's before, as a share."""
+        return [1 - b / a if a else 0.0 for a, b in zip(self.log, self.log[1:], strict=False)]
+
     def run(self, pop_size: int = 80, tol: float = 0.005, back: int = 10, max_iter: int = 200) -> np.ndarray:
-        """The individual with the least coverage loss of the last front."""
+        """The individual with the least coverage loss of the last front; goes on from a population that is there."""
         size = -(-pop_size // 4) * 4
-        pop = [self.middle(), *(self.random() for _ in range(size - 1))]
-        fit = [self.fitness(p) for p in pop]
-        self.log = [min(f[0] for f in fit)]
-        ratios: list[float] = []
-        for gen in range(max_iter):
-            parents = self._tournament(pop, fit)
+        if not self.pop:
+            self.pop = [self.middle(), *(self.random() for _ in range(size - 1))]
+            self.fit = [self.fitness(p) for p in self.pop]
+            self._logged()
+        size = len(self.pop)
+        for gen in range(len(self.log) - 1, max_iter):
+            parents = self._tournament(self.pop, self.fit)
             if gen % 2 == 0:
                 children = [c for k in range(0, size, 2) for c in self.crossed(parents[k], parents[k + 1])]
             else:
                 children = [self.mutated(p) for p in parents]
-            pop, fit = pop + children, fit + [self.fitness(c) for c in children]
+            pop, fit = self.pop + children, self.fit + [self.fitness(c) for c in children]
             keep = select(fit, size)
-            pop, fit = [pop[k] for k in keep], [fit[k] for k in keep]
-            best = min(f[0] for f in fit)
-            ratios.append(1 - best / self.log[-1] if self.log[-1] else 0.0)
-            self.log.append(best)
+            self.pop, self.fit = [pop[k] for k in keep], [fit[k] for k in keep]
+            self._logged()
+            ratios = self.ratios()
             if len(ratios) > back and max(ratios[-back:]) < tol:
                 break
-        return pop[min(range(len(pop)), key=lambda k: fit[k])]
+        return np.array(self.fronts[-1][0][2], int)
 
     def _tournament(self, pop: list[np.ndarray], fit: list[tuple[float, int]]) -> list[np.ndarray]:
-        r = ranks(fit)
+        """Winners of pairs: the one that dominates, else the one in the emptier place of its front, else either."""
+        f, r = np.array(fit, float), ranks(fit)
+        space = np.zeros(len(f))
+        for k in range(r.max() + 1):
+            own = np.flatnonzero(r == k)
+            space[own] = crowding(f[own])
         a, b = self.rng.permutation(len(pop)), self.rng.permutation(len(pop))
-        return [pop[i if (r[i], fit[i]) <= (r[j], fit[j]) else j] for i, j in zip(a, b, strict=True)]
+        toss = self.rng.random(len(pop)) < 0.5
+
+        def first(i: int, j: int, heads: bool) -> bool:
+            for x, y, wins in ((i, j, True), (j, i, False)):
+                if (f[x] <= f[y]).all() and (f[x] < f[y]).any():
+                    return wins
+            return heads if space[i] == space[j] else space[i] > space[j]
+
+        return [pop[i if first(i, j, h) else j] for i, j, h in zip(a, b, toss, strict=True)]
 
 
 def ranks(fit: list[tuple[float, int]]) -> np.ndarray:
@@ -162,36 +234,77 @@ def select(fit: list[tuple[float, int]], n: int) -> list[int]:
     return out
 
 
-def robust_surface(points: np.ndarray, guide: np.ndarray, lengths=(50.0, 100.0), shrink: float = 0.25, r: float = 1.0, downscale: float = 1.0, pop_size: int = 80, tol: float = 0.005, max_iter: int = 200, seed: int = 0) -> tuple[np.ndarray, Evolution]:
-    """Rounded points of the fitted surface, over the cloud's whole range of z, and the evolution."""
-    small, counts = np.unique(np.rint(points / downscale), axis=0, return_counts=True)
-    grid = [[c / downscale for c in row] for row in cells(points, guide, lengths, shrink)]
-    evolution = Evolution(grid, small, counts, r, seed)
-    fit = evolution.surface(evolution.run(pop_size, tol, max_iter=max_iter), 4.0) * downscale
+def evolution_of(points: np.ndarray, guide: np.ndarray, lengths=(50.0, 100.0), shrink: float = 0.25, r: float = 1.0, downscale: float = 1.0, seed: int = 0) -> tuple[Evolution, float]:
+    """An evolution at its start, in units of the second result: the cloud and grid are rounded there, and so is ``r``."""
+    grid, factor = downscaled(cells(points, guide, lengths, shrink), downscale)
+    small, counts = np.unique(np.rint(points / factor), axis=0, return_counts=True)
+    return Evolution(grid, small, counts, r / factor, seed), factor
+
+
+def best_surface(evolution: Evolution, factor: float, z_range: tuple[float, float]) -> np.ndarray:
+    """Rounded points of the best individual's surface at full size, over the cloud's whole range of z."""
+    fit = evolution.surface(np.array(evolution.fronts[-1][0][2], int), 4.0 * factor) * factor
     lo, hi = fit[:, 0].min(), fit[:, 0].max()
-    z0, z1 = points[:, 0].min(), points[:, 0].max()
+    z0, z1 = z_range
     fit[:, 0] = z0 + (fit[:, 0] - lo) * ((z1 - z0) / (hi - lo) if hi > lo else 1)
-    return np.unique(np.rint(fit), axis=0), evolution
+    return np.unique(np.rint(fit), axis=0)
 
 
-def robust_fit(points: DataFrame, guide: DataFrame, by: str = "label", **params) -> DataFrame:
-    """``by, z, y, x`` of the surface fitted to each component; ``params`` are those of :func:`robust_surface`."""
+def robust_surface(points: np.ndarray, guide: np.ndarray, lengths=(50.0, 100.0), shrink: float = 0.25, r: float = 1.0, downscale: float = 1.0, pop_size: int = 80, tol: float = 0.005, max_iter: int = 200, seed: int = 0) -> tuple[np.ndarray, Evolution]:
+    """Rounded points of the fitted surface and the evolution; lengths are in the points' units at any ``downscale``."""
+    evolution, factor = evolution_of(points, guide, lengths, shrink, r, downscale, seed)
+    evolution.run(pop_size, tol, max_iter=max_iter)
+    return best_surface(evolution, factor, (points[:, 0].min(), points[:, 0].max())), evolution
+
+
+def robust_states(points: DataFrame, guide: DataFrame, by: str = "label", lengths=(50.0, 100.0), shrink: float = 0.25, r: float = 1.0, downscale: float = 1.0, pop_size: int = 80, tol: float = 0.005, max_iter: int = 200, seed: int = 0) -> DataFrame:
+    """``by, downscale, z_low, z_high, state`` of each component's evolution; lengths are in the points' units."""
 
     def one(key: tuple, cloud: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
         columns = ["z", "y", "x"]
         if not len(cloud) or not len(line):
-            return pd.DataFrame({by: [], **{c: [] for c in columns}})
-        fit, _ = robust_surface(cloud[columns].to_numpy(float), line.sort_values("idx")[columns].to_numpy(float), **params)
-        return pd.DataFrame({by: key[0], **{c: fit[:, k].astype(int) for k, c in enumerate(columns)}})
+            return pd.DataFrame({by: [], "downscale": [], "z_low": [], "z_high": [], "state": []})
+        p = cloud[columns].to_numpy(float)
+        evolution, factor = evolution_of(p, line.sort_values("idx")[columns].to_numpy(float), lengths, shrink, r, downscale, seed)
+        evolution.run(pop_size, tol, max_iter=max_iter)
+        return pd.DataFrame({by: [key[0]], "downscale": [factor], "z_low": [p[:, 0].min()], "z_high": [p[:, 0].max()], "state": [evolution.state()]})
 
     kind = points.schema[by].dataType.simpleString()
-    return points.groupBy(by).cogroup(guide.groupBy(by)).applyInPandas(one, f"{by} {kind}, z int, y int, x int")
+    return points.groupBy(by).cogroup(guide.groupBy(by)).applyInPandas(one, f"{by} {kind}, downscale double, z_low double, z_high double, state string")
+
+
+def surfaces_of(states: DataFrame, by: str = "label") -> DataFrame:
+    """``by, z, y, x`` of the best surface of each state."""
+
+    def work(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                fit = best_surface(Evolution.from_state(row.state), row.downscale, (row.z_low, row.z_high))
+                yield pd.DataFrame({by: getattr(row, by), **{c: fit[:, k].astype(int) for k, c in enumerate(("z", "y", "x"))}})
+
+    return states.mapInPandas(work, f"{by} {states.schema[by].dataType.simpleString()}, z int, y int, x int")
+
+
+def evolution_log(states: DataFrame, by: str = "label") -> DataFrame:
+    """``by, gen, coverage, front_size, change_ratio``: the best of each generation's front."""
+    log = F.from_json("state", "log array<double>").getField("log")
+    sizes = F.from_json("state", "fronts array<array<string>>").getField("fronts")
+    row = F.posexplode(F.arrays_zip(log.alias("coverage"), F.transform(sizes, F.size).alias("front_size"))).alias("gen", "g")
+    rows = states.select(by, log.alias("all"), row)
+    before = F.get("all", F.col("gen") - 1)
+    return rows.select(by, "gen", F.col("g.coverage").alias("coverage"), F.col("g.front_size").alias("front_size"), F.when(before > 0, 1 - F.col("g.coverage") / before).alias("change_ratio"))
+
+
+def robust_fit(points: DataFrame, guide: DataFrame, by: str = "label", **params) -> DataFrame:
+    """``by, z, y, x`` of the surface fitted to each component; ``params`` are those of :func:`robust_states`."""
+    return surfaces_of(robust_states(points, guide, by, **params), by)
 
 
 def surface_area(points: np.ndarray, guide: np.ndarray, lengths: tuple[float, float]) -> float:
     """The area of the surface through the middle point of each cell, side columns pinned to their outer points."""
     grid = cells(points, guide, lengths)
-    net = np.array([[c[0] if j == 0 else c[-1] if j == len(row) - 1 else c[(len(c) - 1) // 2] for j, c in enumerate(row)] for row in grid])
+    evolution = Evolution(grid, points, np.ones(len(points)), 1.0)
+    net = evolution.net(evolution.middle(pin_side=True))
     return Surface(net).area()
 
 

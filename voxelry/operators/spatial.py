@@ -131,8 +131,9 @@ def exclusion(points: DataFrame, r: float, value: str = "v") -> DataFrame:
 def trilinear(samples: DataFrame, voxels: DataFrame, value: str = "v", outside: str = "min") -> DataFrame:
     """``samples`` (any columns with z, y, x) with ``sample``, the dense volume's value there by linear interpolation.
 
-    Each sample meets the voxels at the corners of its cell that have a weight. Outside the volume it gets the
-    volume's least value (``min``), null (``null``), or an error (``raise``).
+    Each sample meets the voxels at the corners of its cell that have a weight, and its columns tell it from others, so
+    that no row needs a number; equal samples are counted and come as often as they were. Outside the volume a sample
+    gets the volume's least value (``min``), null (``null``), or an error (``raise``).
     """
     if outside not in ("min", "null", "raise"):
         raise ValueError("outside must be min, null or raise")
@@ -144,11 +145,13 @@ def trilinear(samples: DataFrame, voxels: DataFrame, value: str = "v", outside:
         for s, c in zip(shift, ZYX, strict=True):
             w = w * (frac[c] if s else 1 - frac[c])
         corners.append(F.struct(*((lo[c] + s).alias(f"v{c}") for s, c in zip(shift, ZYX, strict=True)), w.alias("w")))
-    s = samples.withColumn("__id", F.monotonically_increasing_id())
-    spread = s.select("__id", F.explode(F.filter(F.array(*corners), lambda k: k["w"] > 0)).alias("k")).select("__id", "k.*")
-    v = voxels.select(*(F.col(c).cast("int").alias(f"v{c}") for c in ZYX), F.col(value).cast("double").alias("__v"))
-    met = spread.join(v, ["vz", "vy", "vx"]).groupBy("__id").agg(F.sum(F.col("w") * F.col("__v")).alias("__s"), F.sum("w").alias("__w"))
-    out = s.join(met.where("__w > 1 - 1e-9"), "__id", "left")
+    own = [F.col(f"`{c}`") for c in samples.columns]
+    spread = samples.select(*own, F.explode_outer(F.filter(F.array(*corners), lambda k: k["w"] > 0)).alias("__k")).select(*own, *(F.col(f"__k.v{c}").alias(f"__{c}") for c in ZYX), F.col("__k.w").alias("__w"))
+    v = voxels.select(*(F.col(c).cast("int").alias(f"__{c}") for c in ZYX), F.col(value).cast("double").alias("__v"))
+    met = spread.join(v, [f"__{c}" for c in ZYX], "left").groupBy(*own).agg(F.sum(F.col("__w") * F.col("__v")).alias("__s"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__w"))).alias("__in"), F.sum("__w").alias("__n"))
+    times = F.greatest(F.round(F.coalesce("__n", F.lit(1.0))).cast("int"), F.lit(1))
+    whole = F.when(F.col("__in") > F.col("__n") - 1e-9, F.col("__s") / times)
+    out = met.select(*own, whole.alias("__s"), F.explode(F.sequence(F.lit(1), times)).alias("__k"))
     if outside == "min":
         least = voxels.agg(F.min(F.col(value).cast("double"))).first()[0]
         sample = F.coalesce("__s", F.lit(least))
@@ -156,7 +159,7 @@ def trilinear(samples: DataFrame, voxels: DataFrame, value: str = "v", outside:
         sample = F.when(F.col("__s").isNull(), F.raise_error(F.lit("a sample lies outside the volume"))).otherwise(F.col("__s"))
     else:
         sample = F.col("__s")
-    return out.withColumn("sample", sample).drop("__id", "__s", "__w")
+    return out.withColumn("sample", sample).drop("__s", "__k")
 
 
 def box_offsets(rn: tuple[float, float], rt: float, ignore: tuple[float, float] | None = None) -> list[tuple[int, int, int]]:

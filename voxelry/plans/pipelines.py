@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelry.operators import division, evolution, image, matching, membrane, mesh, paths, points, spatial
+from voxelry.sources.points import clouds_to_model
 from voxelry.storage import cut
 
 ZYX = ["z", "y", "x"]
@@ -113,8 +114,9 @@ def segment(voxels: DataFrame, model: DataFrame, shape: tuple[int, int], args: S
     labels = F.explode(F.sequence(F.lit(1), F.lit(membranes))).alias("label")
     guides = guide.select("idx", *ZYX, labels)
     lengths = tuple(args.px(v) for v in args.fit_lengrids)
-    fitted = cut(evolution.robust_fit(parts, guides, lengths=lengths, shrink=args.fit_shrinkside, r=neigh, pop_size=args.fit_popsize, tol=args.fit_tol, max_iter=args.fit_maxiter, seed=args.seed))
-    out.steps["fit"] = fitted
+    states = cut(evolution.robust_states(parts, guides, lengths=lengths, shrink=args.fit_shrinkside, r=neigh, downscale=args.px(args.detect_smooth), pop_size=args.fit_popsize, tol=args.fit_tol, max_iter=args.fit_maxiter, seed=args.seed))
+    fitted = cut(evolution.surfaces_of(states))
+    out.steps |= {"fit": fitted, "fit_state": states, "bound": cut(bound)}
 
     matched = None
     for label in range(1, membranes + 1):
@@ -180,14 +182,19 @@ def sampling_boxes(sampled: DataFrame, voxels: DataFrame, pixel_nm: float, box:
 
 
 def sampling_strided(surface: DataFrame, pixel_nm: float, spacing_xy: float = 5.0, spacing_z: float = 3.0, seed: int = 0) -> DataFrame:
-    """Points at regular steps along z and along each slice (in order of ``idx``), from random offsets given by the seed."""
+    """Points at regular steps along z and along each slice (in order of ``idx``), from random offsets given by the seed.
+
+    Of points within 1 of each other in a slice, one stays: the greatest of values given by the seed.
+    """
     step_z, step_xy = (max(1, round(v / pixel_nm)) for v in (spacing_z, spacing_xy))
     zs = surface.select("z").distinct().withColumn("__r", F.row_number().over(Window.orderBy("z")) - 1)
     first = F.pmod(F.xxhash64(F.lit(seed)), F.lit(step_z))
     kept = zs.where(F.pmod("__r", F.lit(step_z)) == first).select("z")
     place = F.row_number().over(Window.partitionBy("z").orderBy("idx")) - 1
     offset = F.pmod(F.xxhash64(F.lit(seed), "z"), F.lit(step_xy))
-    return surface.join(F.broadcast(kept), "z").withColumn("__p", place).where(F.pmod("__p", F.lit(step_xy)) == offset).drop("__p")
+    taken = cut(surface.join(F.broadcast(kept), "z").withColumn("__p", place).where(F.pmod("__p", F.lit(step_xy)) == offset).drop("__p"))
+    valued = taken.withColumn("v", F.xxhash64(F.lit(seed), "z", "idx"))
+    return spatial.local_maxima(valued, 1.0, include_eq=False, per_slice=True).drop("v")
 
 
 def sampling_excluded(surface: DataFrame, pixel_nm: float, r_exclude: float = 10.0) -> DataFrame:
@@ -195,6 +202,29 @@ def sampling_excluded(surface: DataFrame, pixel_nm: float, r_exclude: float = 10
     return spatial.exclusion(surface.withColumn("v", F.lit(0)), r_exclude / pixel_nm).drop("v")
 
 
+def output_model(bound: DataFrame, clouds: DataFrame, gap: float) -> DataFrame:
+    """A point model of a segmentation: object 1 is the outline of its bounding region, the others its membranes by label.
+
+    A contour holds one slice, split where neighbours lie more than ``gap`` apart.
+    """
+    outline = image.component_contour(bound).select(F.lit(1).alias("object"), "idx", *ZYX)
+    parts = clouds.select((F.col("label") + 1).cast("int").alias("object"), "idx", *ZYX)
+    return clouds_to_model(outline.unionByName(parts), gap)
+
+
+def output_slices(bound: DataFrame, clouds: DataFrame, n: int = 5) -> DataFrame:
+    """``object, z, y, x`` of the same on ``n`` slices spread evenly over the bounding region."""
+    outline = image.component_contour(bound).select(F.lit(1).alias("object"), *ZYX)
+    parts = clouds.select((F.col("label") + 1).cast("int").alias("object"), *ZYX)
+    return outline.unionByName(parts).where(F.col("z").isin(image.spread_slices(bound, n)))
+
+
+def box_stack(cells: DataFrame) -> DataFrame:
+    """Averaged boxes (``idx, i, j, value``) as the slices ``z, y, x, v`` of one volume, in order of ``idx``."""
+    place = cells.select("idx").distinct().withColumn("__block", F.floor(F.col("idx") / 1024))
+    return cells.join(points.ordinal(place, "__block", "idx").select("idx", F.col("ord").cast("int").alias("z")), "idx").select("z", F.col("i").cast("int").alias("y"), F.col("j").cast("int").alias("x"), F.col("value").alias("v"))
+
+
 def membranogram(surface: DataFrame, voxels: DataFrame, dists: list[float], outside: str = "raise") -> DataFrame:
     """``idx, v, p1, p2``: the volume's mean over distances along each normal, laid out on the surface's plane.
 

@@ -43,17 +43,23 @@ def stored(volume: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(volume, dtype=volume.dtype if volume.dtype == np.int8 else kinds[volume.dtype.kind])
 
 
+def header(shape: tuple[int, int, int], kind: np.dtype, pixel: float, stats: tuple[float, float, float, float]) -> bytes:
+    """The bytes before a volume's numbers: sizes, number type, voxel size, and least, greatest, mean and deviation."""
+    mode = next(k for k, t in MODES.items() if np.dtype(t) == np.dtype(kind).newbyteorder("="))
+    nz, ny, nx = shape
+    low, high, mean, deviation = stats
+    out = struct.pack("<10i6f3i3f2i", nx, ny, nz, mode, 0, 0, 0, nx, ny, nz, nx * pixel, ny * pixel, nz * pixel, 90, 90, 90, 1, 2, 3, low, high, mean, 1, 0)
+    out = out.ljust(104, b"\0") + b"\0\0\0\0" + struct.pack("<i", 20140)
+    out = out.ljust(208, b"\0") + b"MAP " + bytes([0x44, 0x44, 0, 0]) + struct.pack("<fi", deviation, 0)
+    return out.ljust(HEADER, b"\0")
+
+
 def encode(volume: np.ndarray, pixel: float = 1.0) -> bytes:
     """The bytes of a file with the volume and a voxel size."""
     v = stored(volume)
-    mode = next(k for k, t in MODES.items() if np.dtype(t) == v.dtype.newbyteorder("="))
-    nz, ny, nx = v.shape
     real = np.abs(v) if v.dtype.kind == "c" else v
-    low, high, mean, deviation = (float(f(real)) if v.size else 0.0 for f in (np.min, np.max, np.mean, np.std))
-    header = struct.pack("<10i6f3i3f2i", nx, ny, nz, mode, 0, 0, 0, nx, ny, nz, nx * pixel, ny * pixel, nz * pixel, 90, 90, 90, 1, 2, 3, low, high, mean, 1, 0)
-    header = header.ljust(104, b"\0") + b"\0\0\0\0" + struct.pack("<i", 20140)
-    header = header.ljust(208, b"\0") + b"MAP " + bytes([0x44, 0x44, 0, 0]) + struct.pack("<fi", deviation, 0)
-    return header.ljust(HEADER, b"\0") + v.tobytes()
+    stats = tuple(float(f(real)) if v.size else 0.0 for f in (np.min, np.max, np.mean, np.std))
+    return header(v.shape, v.dtype, pixel, stats) + v.tobytes()
 
 
 def _clipped(content: bytes, low, high) -> tuple[np.ndarray, float, tuple[int, int, int]]:
@@ -63,6 +69,11 @@ def _clipped(content: bytes, low, high) -> tuple[np.ndarray, float, tuple[int, i
     return data, pixel, tuple(first)
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """The number of files at ``path``."""
+    return spark.read.format("binaryFile").load(path).select("path").count()
+
+
 def read_slices(spark: SparkSession, path: str, low=(None, None, None), high=(None, None, None)) -> DataFrame:
     """``vol, pixel, z, ny, nx, v`` (a slice's values, row by row) of the files at ``path``, within a box [low, high)."""
 
@@ -93,10 +104,33 @@ def read_near(spark: SparkSession, path: str, points: DataFrame, margin: float =
 
 
 def write_volume(voxels: DataFrame, path: str, shape: tuple[int, int, int], pixel: float = 1.0, value: str = "v", kind: str = "float32") -> None:
-    """Writes one volume; places without a row are 0. Slices are brought to the driver one after the other."""
-    volume = np.zeros(shape, kind)
-    for z in range(shape[0]):
-        pdf = voxels.where(F.col("z") == z).select("y", "x", value).toPandas()
-        volume[z, pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = pdf[value].to_numpy()
+    """Writes one volume (whole, unsigned or real numbers); places without a row are 0.
+
+    Tasks encode slices, and the driver writes them in order, holding one partition of slices at a time.
+    """
+    nz, ny, nx = shape
+    slice_kind = stored(np.zeros((1, 1, 1), kind)).dtype
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.zeros((ny, nx), slice_kind)
+        s[pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = pdf["v"].to_numpy()
+        return pd.DataFrame({"z": [key[0]], "data": [s.tobytes()]})
+
+    inside = voxels.select(F.col("z").cast("int").alias("z"), "y", "x", F.col(value).alias("v")).where((F.col("z") >= 0) & (F.col("z") < nz))
+    n = nz * ny * nx
+    sums = inside.agg(F.count("*"), F.min("v"), F.max("v"), F.sum(F.col("v").cast("double")), F.sum(F.col("v").cast("double") ** 2)).first()
+    rows, low, high, total, squares = (float(x or 0) for x in sums)
+    low, high = (min(low, 0.0), max(high, 0.0)) if rows < n else (low, high)
+    mean = total / n if n else 0.0
+    head = header(shape, slice_kind, pixel, (low, high, mean, max(squares / n - mean * mean, 0.0) ** 0.5 if n else 0.0))
+    slices = inside.groupBy("z").applyInPandas(one, "z int, data binary").orderBy("z")
+    empty, at = bytes(ny * nx * slice_kind.itemsize), 0
     with open(path, "wb") as f:
-        f.write(encode(volume, pixel))
+        f.write(head)
+        for r in slices.toLocalIterator():
+            for _ in range(r["z"] - at):
+                f.write(empty)
+            f.write(r["data"])
+            at = r["z"] + 1
+        for _ in range(nz - at):
+            f.write(empty)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,13 +12,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of this process's tables, in the shared one; it is deleted when the process ends, if Spark still runs.
+_RUN = f"voxelry-{uuid.uuid4().hex}"
+_open: dict[str, tuple[SparkSession, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _closed() -> None:
+    for spark, path in _open.values():
+        with contextlib.suppress(Exception):  # a stopped session has nothing to delete with
+            _delete(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a new local one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on one machine, a new local one.
+
+    On a cluster, executors cannot read a local folder of the driver, so an unset folder is an error there.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="voxelry-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -30,7 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
     The result has no lineage before the written files, so a lost executor costs no recomputation of what led here.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelry-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_RUN}/{uuid.uuid4().hex}"
+    if not _open:
+        atexit.register(_closed)
+    _open[spark.sparkContext.applicationId] = spark, path.rpartition("/")[0]
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,7 +64,5 @@ def cut(df: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables made by :func:`cut`, when nothing reads them any more."""
     for table in tables:
-        spark = table.sparkSession
         for path in {name.rpartition("/")[0] for name in table.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(table.sparkSession, path)
