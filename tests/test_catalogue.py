@@ -13,9 +13,9 @@ def duck(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE | kernels.ORACLE))
 def test_same_as_sql(spark, sf, duck, name):
-    same(catalogue.QUERIES[name](spark, sf), duck, catalogue.ORACLE[name])
+    same((catalogue.QUERIES | kernels.QUERIES)[name](spark, sf), duck, (catalogue.ORACLE | kernels.ORACLE)[name])
 
 
 def test_entry(spark):

@@ -202,11 +202,13 @@ def densify(spark, sf_dir):
     return image.densify(fx.vox(spark, sf_dir), (8, fx.NY, fx.NX))
 
 
-_IDS = f"select z * 10000 + y * 100 + x as id, z, y, x from ({fx.VOX}) where v > 12000000 and z <= 3"
+#: Places brighter than their slice's mean by half of it: a mask, with components of all sizes.
+_IDS = f"select z * 10000 + y * 100 + x as id, z, y, x from ({fx.VOX}) qualify v > 1.5e0 * avg(v) over (partition by z)"
 
 
 def _ids(spark, sf_dir):
-    return fx.vox(spark, sf_dir).where("v > 12000000 and z <= 3").select((F.col("z") * 10000 + F.col("y") * 100 + F.col("x")).alias("id"), "z", "y", "x")
+    means = fx.vox(spark, sf_dir).groupBy("z").agg(F.avg("v").alias("mean"))
+    return fx.vox(spark, sf_dir).join(means, "z").where("v > 1.5 * mean").select((F.col("z") * 10000 + F.col("y") * 100 + F.col("x")).alias("id"), "z", "y", "x")
 
 
 def _components(nodes: str, edges: str) -> str:
@@ -425,11 +427,13 @@ def localmax_exclusion(spark, sf_dir):
 
 # --- sampling volumes -----------------------------------------------------------------------------------------------
 
-_PTS = f"select row_number() over (order by y, x) idx, 4 z, y + 0.5e0 y, x + 0.25e0 x from ({DENSE}) where z = 4 and y % 10 = 3 and x % 10 = 5"
+#: A place for each slice and column: the guide's row, between places along y and x.
+_PTS = f"select row_number() over (order by z, x) idx, z, y + 0.5e0 y, x * 0.9375e0 + 0.25e0 x from ({fx.GUIDE})"
 
 
 def _pts(spark, sf_dir):
-    p = fx.dense(spark, sf_dir).where("z = 4 and y % 10 = 3 and x % 10 = 5").select(F.row_number().over(Window.orderBy("y", "x")).alias("idx"), F.lit(4).alias("z"), (F.col("y") + 0.5).alias("y"), (F.col("x") + 0.25).alias("x"))
+    p = points.ordinal(fx.guide(spark, sf_dir), "z", "x")
+    p = p.select((F.col("ord") + 1).cast("int").alias("idx"), "z", (F.col("y") + 0.5).alias("y"), (F.col("x") * 0.9375 + 0.25).alias("x"))
     return points.normals_tangent(p.withColumns({"nz": F.lit(0.0), "ny": F.lit(0.0), "nx": F.lit(1.0)}))
 
 

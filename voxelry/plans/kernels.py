@@ -1,17 +1,27 @@
-"""Queries whose kernels SQL can't express: held against numpy, closed forms and invariants in the tests."""
+"""Queries whose kernels are not SQL: those of ``ORACLE`` have a plain SQL twin all the same, as sums over all pairs of
+places, recursion or closed forms; the others are held against numpy, closed forms and invariants in the tests."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelry import fixtures as fx
 from voxelry.functions.columns import orients_absdiff
+from voxelry.plans.catalogue import _D2, _RIDGE, r, rounded
 from voxelry.operators import division, evolution, image, matching, membrane, membranogram, mesh, paths, points, spatial, vote
 
 SHAPE = (fx.NY, fx.NX)
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f):
+        ORACLE[f.__name__] = sql
+        return f
+
+    return register
 
 
 def _ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,22 +32,51 @@ def _guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.guide(spark, sf_dir).withColumn("idx", F.row_number().over(Window.partitionBy("z").orderBy("x")))
 
 
-def _band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of two sheets: rows near a third and two thirds of the image."""
-    p = fx.vox(spark, sf_dir).where("abs(y - 16) <= 1 or abs(y - 33) <= 1")
-    return p.select(F.row_number().over(Window.orderBy("z", "y", "x")).alias("idx"), F.when(F.col("y") < 25, 1).otherwise(2).alias("label"), "z", "y", "x")
+#: Two sheets: for each slice and column the mean row of the voxels in either half of the image.
+SHEETS = f"select z, x, case when y < 25 then 1 else 2 end as label, cast(floor(avg(y)) as int) y from ({fx.VOX}) vox group by 1, 2, 3"
+#: The rows in the middle of the two.
+ROWS = {1: 12, 2: 37}
+_RIDGES = f"select z, y, x, s, o from ({_RIDGE}) where s > 0"
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.load(spark, sf_dir, "lineitem")
+    return points.ordinal(spark.sql(SHEETS), "z", "x", "label").select((F.col("ord") + 1).cast("int").alias("idx"), "label", "z", "y", "x")
+
 
+def _sheet_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.explode(F.array(*map(F.lit, ROWS))).alias("label")
+    row = F.element_at(F.create_map(*(F.lit(v) for pair in ROWS.items() for v in pair)), F.col("label"))
+    return _guide(spark, sf_dir).select("idx", "z", "x", label).select("idx", "label", "z", row.alias("y"), "x")
 
+
+def _votes(circle: str, wide: float, pixels: str, weight: str) -> str:
+    """Sums over all pairs of places of a slice, on the torus: the closed form of the sums of Fourier terms.
+
+    A vote from orientation o along the angle a is cos(a - o)^4 exp(i (4 a - 2 o)), damped with the distance.
+    """
+    return f"""with p as materialized ({pixels}), t as (select a.z::int z, b.y::int y, c.x::int x from range(1, 8) a(z), range(0, {fx.NY}) b(y), range(0, {fx.NX}) c(x)),
+  d as (select t.z, t.y, t.x, p.o, {weight} w, (t.y - p.y + {fx.NY // 2 + fx.NY}) % {fx.NY} - {fx.NY // 2} dy, (t.x - p.x + {fx.NX // 2 + fx.NX}) % {fx.NX} - {fx.NX // 2} dx from t join p on t.z = p.z),
+  e as (select *, atan2(dy, dx) a, w * exp(-(dy * dy + dx * dx) / {2 * wide * wide}e0) * pow(cos(atan2(dy, dx) - o), 4) c from d where {circle}),
+  f as (select z, y, x, sum(c * cos(4 * a - 2 * o)) re, sum(c * sin(4 * a - 2 * o)) im, sum(c) c from e group by 1, 2, 3)"""
+
+
+@query(_votes("dy <> 0 or dx <> 0", 5, _RIDGES, "p.s") + f" select z, y, x, {r('sqrt(re * re + im * im) / 1000', 3)} s, {r('re / 1000', 3)} re, {r('im / 1000', 3)} im from f")
 def stick_vote(spark, sf_dir):
-    return vote.vote(_ridges(spark, sf_dir), 5.0, SHAPE)
+    v = vote.vote(_ridges(spark, sf_dir), 5.0, SHAPE)
+    return rounded(v.select("z", "y", "x", F.col("s") / 1000, (F.col("s") * F.cos(2 * F.col("o")) / 1000).alias("re"), (F.col("s") * F.sin(2 * F.col("o")) / 1000).alias("im")).withColumnRenamed("(s / 1000)", "s"), 3, "s", "re", "im")
 
 
+@query(_votes("dy * dy + dx * dx >= 3", 5, _RIDGES, "p.s") + f" select z, y, x, {r('c / 1000', 3)} s from f")
 def ball_vote(spark, sf_dir):
-    return vote.vote(_ridges(spark, sf_dir), 5.0, SHAPE, kind="ball")
+    v = vote.vote(_ridges(spark, sf_dir), 5.0, SHAPE, kind="ball")
+    return rounded(v.select("z", "y", "x", (F.col("s") / 1000).alias("s")), 3, "s")
 
 
+@query(_votes("dy <> 0 or dx <> 0", 10, _RIDGES, "1.0e0") + """, g as (select p.z, p.y, p.x, abs(p.o - 0.5e0 * atan2(im, re)) u from p join f using (z, y, x))
+select z, y, x from g where least(u - pi() * floor(u / pi()), pi() - (u - pi() * floor(u / pi()))) < pi() / 4""")
 def orientation_suppression(spark, sf_dir):
-    return membrane.suppress_by_orientation(_ridges(spark, sf_dir).where("s > 0").select("z", "y", "x", "o"), 10.0, SHAPE)
+    return membrane.suppress_by_orientation(_ridges(spark, sf_dir).where("s > 0").select("z", "y", "x", "o"), 10.0, SHAPE).select("z", "y", "x")
 
 
 def points_orientation(spark, sf_dir):
@@ -45,6 +84,17 @@ def points_orientation(spark, sf_dir):
     return image.ridge(matching._padded(placed, SHAPE), 1.5).select("z", "y", "x", "o").join(placed, ["z", "y", "x"], "left_semi")
 
 
+#: A value's chance to belong to the first of the two Gaussians with means 0 and pi / 2.
+_POST = "coalesce(({w0} / {s0} * exp(-d * d / (2 * {s0} * {s0}))) / nullif({w0} / {s0} * exp(-d * d / (2 * {s0} * {s0})) + {w1} / {s1} * exp(-(d - pi() / 2) * (d - pi() / 2) / (2 * {s1} * {s1})), 0), 0)"
+_OLD, _NEW = ({k: f"{t}.{k}" for k in ("w0", "w1", "s0", "s1")} for t in ("o", "n"))
+
+
+@query(f"""with recursive a as materialized (select least(abs(o), pi() - abs(o)) d from ({_RIDGES})),
+em(k, w0, w1, s0, s1, grown) as (select 0, 0.5e0, 0.5e0, 0.1e0, 0.1e0, 1e0 union all
+  select n.k, n.w0, n.w1, n.s0, n.s1, (select max({_POST.format(**_NEW)} - {_POST.format(**_OLD)}) from a) from (
+    select o.k + 1 k, sum(p) / count(*) w0, 1 - sum(p) / count(*) w1, sqrt(sum(p * d * d) / sum(p)) s0, sqrt(sum((1 - p) * (d - pi() / 2) * (d - pi() / 2)) / sum(1 - p)) s1, any_value(o.w0) v0, any_value(o.w1) v1, any_value(o.s0) t0, any_value(o.s1) t1
+    from (select em.*, d, {_POST.format(w0="w0", w1="w1", s0="s0", s1="s1")} p from em, a where grown >= 1e-3 and k < 100) o group by o.k) n, lateral (select n.v0 w0, n.v1 w1, n.t0 s0, n.t1 s1) o)
+select max(d)::double threshold from a, (select * from em order by k desc limit 1) l where {_POST.format(w0="w0", w1="w1", s0="s0", s1="s1")} > 0.5""")
 def fixed_mean_em(spark, sf_dir):
     angles = _ridges(spark, sf_dir).where("s > 0").select(orients_absdiff(F.col("o"), F.lit(0.0)).alias("d"))
     limit = matching.fixed_mean_threshold(angles, "d")
@@ -62,21 +112,28 @@ def simplify_path(spark, sf_dir):
 
 
 def contour_match(spark, sf_dir):
-    return paths.interpolate_along_z(_guide(spark, sf_dir).where("z % 3 = 1").withColumn("object", F.lit(1)))
+    return paths.interpolate_along_z(_guide(spark, sf_dir).withColumns({"object": F.lit(1), "z": F.col("z") * 3}))
 
 
 def contour_spline(spark, sf_dir):
     return paths.interpolate_along_xy(_guide(spark, sf_dir))
 
 
+@query(f"""with c as (select row_number() over (partition by z order by x) idx, z, y, x from ({fx.GUIDE})), h as (select a.v dy, b.v dx from range(-7, 8) a(v), range(-7, 8) b(v) where a.v * a.v + b.v * b.v <= 49),
+n as (select z, idx, c.y cy, c.y + dy y, c.x + dx x, dy * dy + dx * dx d2 from c, h where c.y + dy >= 0 and c.x + dx >= 0 qualify row_number() over (partition by z, c.y + dy, c.x + dx order by dy * dy + dx * dx, idx) = 1),
+s as (select *, case when y > cy and d2 <= 36 then 1 when y < cy and d2 <= 16 then -1 end side from n),
+e as (select z, min(idx) a, max(idx) b, least(min(idx) + 5, max(idx)) pa, greatest(max(idx) - 5, min(idx)) pb from c group by z),
+f as (select e.*, ca.x xa, cpa.x xpa, cb.x xb, cpb.x xpb from e join c ca on ca.z = e.z and ca.idx = a join c cpa on cpa.z = e.z and cpa.idx = pa join c cb on cb.z = e.z and cb.idx = b join c cpb on cpb.z = e.z and cpb.idx = pb)
+select s.z, s.y::int y, s.x::int x, s.side::int side from s join f on s.z = f.z where side is not null and not ((x - xa) * (xa - xpa) >= 0 and idx < pa) and not ((x - xb) * (xb - xpb) >= 0 and idx > pb)""")
 def contour_regions(spark, sf_dir):
     return paths.regions_beside_contour(_guide(spark, sf_dir).withColumns({"ny": F.lit(1.0), "nx": F.lit(0.0)}), (6.0, 4.0))
 
 
 def point_normals(spark, sf_dir):
-    return mesh.normals(_band(spark, sf_dir), 4.0, (0.0, -100.0, 0.0))
+    return mesh.normals(_sheets(spark, sf_dir), 4.0, (0.0, -100.0, 0.0))
 
 
+@query(fx.CLOUD_DUCK)
 def convex_hull(spark, sf_dir):
     facets = mesh.convex_hull(fx.cloud(spark, sf_dir))
     return points.in_hull(fx.cloud(spark, sf_dir), facets, 1e-6)
@@ -100,7 +157,7 @@ def meshpoints_surround(spark, sf_dir):
 
 
 def refine_surface(spark, sf_dir):
-    return mesh.refine_surface(_band(spark, sf_dir), 4.0, 6.0, 2.0)
+    return mesh.refine_surface(_sheets(spark, sf_dir), 4.0, 6.0, 2.0)
 
 
 def divide_graph(spark, sf_dir):
@@ -109,27 +166,29 @@ def divide_graph(spark, sf_dir):
     return division.divide(top, 12.0).select("idx", "part")
 
 
+@query(f"""with recursive p as materialized (select row_number() over (order by z, x, label) idx, * from ({SHEETS})),
+b as materialized (select a.label, a.idx src, b.idx dst from p a join p b on a.label = b.label and a.idx <> b.idx and abs(a.z - b.z) <= 1 and {_D2} <= 2.25e0),
+reach(label, id, to_id) as (select label, idx, idx from p union select reach.label, reach.id, b.dst from reach join b on b.src = reach.to_id),
+c as (select label, id, min(to_id) low from reach group by 1, 2), n as (select label, low from c group by 1, 2 qualify row_number() over (partition by label order by count(*) desc, low) = 1)
+select c.label::int region, id::int idx from c join n on c.label = n.label and c.low = n.low""")
 def components_regions(spark, sf_dir):
-    p = _band(spark, sf_dir)
+    p = _sheets(spark, sf_dir)
     regions = p.select(F.col("label").alias("region"), "z", "y", "x")
-    return division.region_components(p.drop("label"), regions, 1.5).select("region", "idx", "component")
+    return division.region_components(p.drop("label"), regions, 1.5).select("region", "idx")
 
 
 def evolve_surface(spark, sf_dir):
-    g = _guide(spark, sf_dir).withColumn("y", F.lit(16)).select("idx", "z", "y", "x")
-    guides = g.withColumn("label", F.lit(1)).unionByName(g.withColumn("label", F.lit(2)).withColumn("y", F.lit(33)))
-    return evolution.robust_fit(_band(spark, sf_dir), guides, lengths=(3.0, 16.0), pop_size=8, max_iter=6, seed=1)
+    return evolution.robust_fit(_sheets(spark, sf_dir), _sheet_guides(spark, sf_dir), lengths=(3.0, 16.0), seed=1)
 
 
 def surface_areas(spark, sf_dir):
-    g = _guide(spark, sf_dir).withColumn("y", F.lit(16)).select("idx", "z", "y", "x")
-    guides = g.withColumn("label", F.lit(1)).unionByName(g.withColumn("label", F.lit(2)).withColumn("y", F.lit(33)))
-    return evolution.areas(_band(spark, sf_dir), guides, (3.0, 16.0))
+    return evolution.areas(_sheets(spark, sf_dir), _sheet_guides(spark, sf_dir), (3.0, 16.0))
 
 
 def _grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.dense(spark, sf_dir).where("z = 4 and y % 5 = 3 and x % 5 = 2 and y > 3 and y < 46 and x > 3 and x < 60")
-    return points.normals_tangent(p.select(F.row_number().over(Window.orderBy("y", "x")).alias("idx"), "z", "y", "x").withColumns({"nz": F.lit(0.0), "ny": F.lit(1.0), "nx": F.lit(0.0)}))
+    """The guide's points, with normals along y."""
+    p = points.ordinal(fx.guide(spark, sf_dir), "z", "x").select((F.col("ord") + 1).cast("int").alias("idx"), "z", "y", "x")
+    return points.normals_tangent(p.withColumns({"nz": F.lit(0.0), "ny": F.lit(1.0), "nx": F.lit(0.0)}))
 
 
 def box_classify(spark, sf_dir):
@@ -143,7 +202,7 @@ def detect_membrane(spark, sf_dir):
 
 
 def match_candidates(spark, sf_dir):
-    p = _band(spark, sf_dir).where("label = 1")
+    p = _sheets(spark, sf_dir).where("label = 1")
     return matching.match_candidates(p.select("idx", "z", "y", "x"), p.where("x % 2 = 0").select("idx", "z", "y", "x"), _guide(spark, sf_dir), 3.0, SHAPE)
 
 
@@ -156,7 +215,7 @@ def membranogram_cubic(spark, sf_dir):
 
 
 def embed_surface(spark, sf_dir):
-    return membranogram.embed(_band(spark, sf_dir).where("label = 1"), 2, 12)
+    return membranogram.embed(_sheets(spark, sf_dir).where("label = 1"), 2, 12)
 
 
 def box_pca(spark, sf_dir):
