@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxelry.functions import splines
 from voxelry.functions.columns import orients_absdiff
 from voxelry.operators import division, evolution, image, matching, mesh, paths, points, spatial, surface, vote
+from voxelry.operators import graph
 from voxelry.operators.graph import connected_components
 
 
@@ -97,7 +98,9 @@ def test_orientations(spark):
     assert got[0] == pytest.approx(got[1]) and got[0] == pytest.approx(math.pi - 3.0) and got[2] == pytest.approx(math.pi / 2)
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("at_once", [0, 100_000])
+def test_components_of_random_graphs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
     rng = random.Random(5)
     for n, m in ((40, 25), (60, 90), (30, 0)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(5)]
@@ -119,7 +122,9 @@ def cloud(spark, p):
     return frame(spark, [(k, *map(float, q), int(k * 7 % 13)) for k, q in enumerate(p)], "idx long, z double, y double, x double, v int")
 
 
-def test_exclusion_is_the_greedy_sweep(spark):
+@pytest.mark.parametrize("at_once", [0, 40, 200_000])
+def test_exclusion_is_the_greedy_sweep(spark, monkeypatch, at_once):
+    monkeypatch.setattr(spatial, "AT_ONCE", at_once)
     rng = np.random.default_rng(6)
     p = rng.integers(0, 12, (80, 3))
     left, kept = sorted(range(80), key=lambda k: (-(k * 7 % 13), k)), []
@@ -130,6 +135,43 @@ def test_exclusion_is_the_greedy_sweep(spark):
     assert {r.idx for r in spatial.exclusion(cloud(spark, p), 3.0).collect()} == set(kept)
 
 
+def test_samples_keep_their_values_when_dealt_anew(spark):
+    v = spark.range(1000).select((F.col("id") / 100).cast("int").alias("z"), (F.col("id") / 10 % 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"), F.col("id").cast("double").alias("v"))
+    p = spark.range(300).select("id", (F.col("id") % 9).cast("double").alias("z"), (F.col("id") % 8 + 0.5).alias("y"), (F.col("id") % 7 + 0.25).alias("x"))
+    p = p.unionByName(p.where("id < 5")).unionByName(p.where("id = 7").withColumn("z", F.lit(20.0))).repartition(7, F.xxhash64("id"))
+    got = spatial.trilinear(p, v).collect()
+    assert len(got) == 306 and sum(r.sample == 0 and r.z == 20 for r in got) == 1
+    assert all(abs(r.sample - (100 * r.z + 10 * r.y + r.x)) < 1e-9 for r in got if r.z < 20)
+
+
+def test_division_above_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.normal((0, 0, 0), 1.5, (60, 3)), rng.normal((0, 0, 14), 1.5, (40, 3)), [[0, 0, x] for x in range(2, 13)]])
+    df = frame(spark, [(k, *map(float, q), 0.0) for k, q in enumerate(p)], "idx long, z double, y double, x double, orient double")
+    top = division.largest(division.point_components(df, 2.5)).drop("component", "size", "place")
+    monkeypatch.setattr(division, "MOST_COMMUNITIES", 6)
+    assert {r.part for r in division.divide(top, 2.5).collect()} == {0, 1}
+
+
+def test_evolution_goes_on_from_its_state():
+    rng = np.random.default_rng(9)
+    sheet = np.array([[z, 10 + rng.integers(-1, 2), x] for z in range(12) for x in range(40)], float)
+    guide = np.array([[z, 10, x] for z in range(12) for x in range(40)], float)
+    one, factor = evolution.evolution_of(sheet, guide, (4.0, 12.0), downscale=3.0, r=2.0)
+    assert factor == 1.0 and one.r2 == 4.0  # neighbouring cells lie one slice apart, so that nothing is scaled
+    wide, factor = evolution.downscaled([[np.array([[z, 0.0, 0.0]])] for z in (0, 2, 5)], 3.0)
+    assert factor == 2.0 and [c[0][0][0] for c in wide] == [0, 1, 2]
+    assert one.uniform(3).max() == 3 and (one.middle(True)[:, 0] == 0).all() and (one.middle(True)[:, -1] == one.sizes[:, -1] - 1).all()
+    one.run(8, max_iter=4)
+    state = one.state()
+    again = evolution.Evolution.from_state(state)
+    one.run(max_iter=9)
+    again.run(max_iter=9)
+    assert one.log == again.log and len(one.log) == 10 and one.fronts == again.fronts
+    picked, surface = one.surfaces(again.pop[:1])[0]
+    assert picked.shape[1] == surface.shape[1] == 3
+
+
 def test_exclusion_includes_its_radius(spark):
     assert spatial.exclusion(cloud(spark, [(0, 0, 0), (0, 0, 3), (0, 0, 6)]), 3.0).count() in (1, 2)
     assert spatial.exclusion(cloud(spark, [(0, 0, 0), (0, 0, 3)]), 3.0).count() == 1

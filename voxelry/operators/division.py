@@ -12,7 +12,7 @@ from voxelry.operators.graph import connected_components
 from voxelry.operators.spatial import neighbor_edges
 from voxelry.storage import cut, dropped
 
-#: Communities that reach the driver for the spectral cut; above it the largest are kept apart first.
+#: Communities that reach the driver for the spectral cut; more are joined to communities of communities first.
 MOST_COMMUNITIES = 2000
 
 
@@ -46,19 +46,26 @@ def weighted_edges(points: DataFrame, r: float, sigma: float = np.pi / 4) -> Dat
     return edges.withColumns({"dorient": d, "weight": neighbour_weight(d, sigma)}).drop("o_src", "o_dst")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``id, community`` by label propagation: each vertex takes the label of most weight around it (ties: the smallest)."""
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """``id, community`` by label propagation: each vertex takes the label of most weight around it (ties: the smallest).
+
+    Ends when two rounds in a row move none, or after ``rounds``.
+    """
     both = cut(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
     labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    still = 0
     for k in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m"))
         moves = best.select(F.col("src").alias("id"), (-F.col("m.c")).alias("__new"))
         # Every other vertex moves in a round, so that neighbours don't swap labels for ever.
         turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
-        new = cut(labels.join(moves, "id").select("id", F.when(turn, F.col("__new")).otherwise(F.col("community")).alias("community")))
+        moved = cut(labels.join(moves, "id").select("id", F.when(turn, F.col("__new")).otherwise(F.col("community")).alias("community"), (turn & (F.col("__new") != F.col("community"))).alias("moved")))
+        still = still + 1 if moved.where("moved").isEmpty() else 0
         dropped(labels)
-        labels = new
+        labels = moved.select("id", "community")
+        if still == 2:
+            break
     dropped(both)
     return labels
 
@@ -77,10 +84,18 @@ def divide(points: DataFrame, r: float, sigma: float = np.pi / 4) -> DataFrame:
     """
     edges = cut(weighted_edges(points, r, sigma))
     labels = communities(edges)
-    small = contract(edges, labels).limit(MOST_COMMUNITIES * MOST_COMMUNITIES).toPandas()
+    between = cut(contract(edges, labels))
+    number = lambda e: e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
+    n = number(between)
+    while n > MOST_COMMUNITIES:
+        wider = communities(between)
+        labels = cut(labels.join(wider.select(F.col("id").alias("community"), F.col("community").alias("wider")), "community", "left").select("id", F.coalesce("wider", "community").alias("community")))
+        between, before = cut(contract(between, wider)), n
+        n = number(between)
+        if n == before:
+            raise ValueError("the communities don't join any further")
+    small = between.toPandas()
     names = sorted({*small["src"], *small["dst"]})
-    if len(names) > MOST_COMMUNITIES:
-        raise ValueError("too many communities for one cut")
     if len(names) < 2:
         return points.withColumn("part", F.lit(0))
     at = {n: k for k, n in enumerate(names)}

@@ -10,6 +10,7 @@ import itertools
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,34 +24,39 @@ def _cells(axes: tuple[str, ...], r: float) -> list[Column]:
     return [F.floor(F.col(c) / float(r)).cast("long").alias(f"c{c}") for c in axes]
 
 
-def _around(axes: tuple[str, ...], r: float) -> Column:
-    """The cells that touch a point's cell, with its own."""
-    shifts = itertools.product((-1, 0, 1), repeat=len(axes))
+def _around(axes: tuple[str, ...], r: float, half: bool = False) -> Column:
+    """The cells that touch a point's cell, with its own; with ``half`` only one of each opposite two."""
+    shifts = [s for s in itertools.product((-1, 0, 1), repeat=len(axes)) if not half or s >= (0,) * len(axes)]
     cells = [F.floor(F.col(c) / float(r)).cast("long") for c in axes]
     return F.explode(F.array(*(F.struct(*((c + s).alias(f"c{a}") for c, s, a in zip(cells, shift, axes, strict=True))) for shift in shifts))).alias("cell")
 
 
-def epsilon_join(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (``a_id, b_id, d2``) of points (``id`` and coordinates) at most ``r`` apart, within equal ``by``."""
-    left = a.select(*by, F.col("id").alias("a_id"), *(F.col(c).cast("double").alias(f"a_{c}") for c in axes), _around(axes, r))
+def epsilon_join(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by: tuple[str, ...] = (), half: bool = False) -> DataFrame:
+    """Pairs (``a_id, b_id, d2``) of points (``id`` and coordinates) at most ``r`` apart, within equal ``by``.
+
+    With ``half``, of a table with itself, points of different cells meet one way only.
+    """
+    left = a.select(*by, F.col("id").alias("a_id"), *(F.col(c).cast("double").alias(f"a_{c}") for c in axes), _around(axes, r, half))
     left = left.select(*by, "a_id", *(f"a_{c}" for c in axes), *(F.col(f"cell.c{c}") for c in axes))
     right = b.select(*by, F.col("id").alias("b_id"), *(F.col(c).cast("double").alias(f"b_{c}") for c in axes), *_cells(axes, r))
     d2 = distance2(tuple(F.col(f"a_{c}") for c in axes), tuple(F.col(f"b_{c}") for c in axes))
-    return left.join(right, [*by, *(f"c{c}" for c in axes)]).withColumn("d2", d2).where(F.col("d2") <= float(r) * float(r)).select(*by, "a_id", "b_id", "d2")
+    both = left.join(right, [*by, *(f"c{c}" for c in axes)]).withColumn("d2", d2).where(F.col("d2") <= float(r) * float(r))
+    return both if half else both.select(*by, "a_id", "b_id", "d2")
 
 
 def neighbor_edges(points: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by: tuple[str, ...] = ()) -> DataFrame:
     """Each pair of points at most ``r`` apart once, as ``src < dst`` with ``dist``."""
     p = points.select(*by, F.col("idx").alias("id"), *axes)
-    pairs = epsilon_join(p, p, r, axes, by).where("a_id < b_id")
-    return pairs.select(*by, F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.sqrt("d2").alias("dist"))
+    same_cell = [F.floor(F.col(f"a_{c}") / float(r)) == F.floor(F.col(f"b_{c}") / float(r)) for c in axes]
+    pairs = epsilon_join(p, p, r, axes, by, half=True).where((F.col("a_id") != F.col("b_id")) & (~reduce(Column.__and__, same_cell) | (F.col("a_id") < F.col("b_id"))))
+    return pairs.select(*by, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst"), F.sqrt("d2").alias("dist"))
 
 
 def nearest(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by: tuple[str, ...] = (), most_rounds: int = 40) -> DataFrame:
     """For each point of ``a`` the nearest of ``b``: ``a_id, b_id, d2``; ties go to the smallest ``b_id``.
 
     Points are joined within ``r`` first; those that find none try twice the distance, and so on, so each join stays
-    as selective as the data allow. Ends when all have one, or ``b`` is too far away for the given rounds.
+    as selective as the data allow. Ends when all have one; an error if ``b`` is too far away for the given rounds.
     """
     from voxelry.storage import cut
 
@@ -67,6 +73,8 @@ def nearest(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, b
         if left.isEmpty():
             break
         r *= 2
+    else:
+        raise ValueError("points lie too far from the others for the given rounds")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -98,11 +106,38 @@ def local_maxima(points: DataFrame, r: float, value: str = "v", include_eq: bool
     return both.where(F.col("__top").isNull() | wins).drop("__top")
 
 
+#: Pairs of neighbours up to which one task sweeps through them.
+AT_ONCE = 200_000
+
+
+def _swept(edges: DataFrame) -> DataFrame:
+    """``idx`` of the points that the sweep keeps, of those with neighbours: for tables of a checked size only."""
+
+    def work(batches):
+        beside: dict[tuple, list] = {}
+        for pdf in batches:
+            for v, i, b in pdf.itertuples(index=False):
+                beside.setdefault((v, i), []).append(b)
+        gone: set[int] = set()
+        kept = []
+        for (_, i), others in sorted(beside.items()):
+            if i not in gone:
+                kept.append(i)
+                gone.update(others)
+        yield pd.DataFrame({"idx": kept}, dtype="int64")
+
+    kind = edges.schema["a_id"].dataType.simpleString()
+    value = "double" if edges.schema["k_a"].dataType["v"].dataType.simpleString() in ("float", "double") else "long"
+    rows = edges.select(F.col("k_a.v").cast(value), F.col("a_id").cast("long"), F.col("b_id").cast("long"))
+    return rows.coalesce(1).mapInPandas(work, "idx long").select(F.col("idx").cast(kind))
+
+
 def exclusion(points: DataFrame, r: float, value: str = "v") -> DataFrame:
     """Points that a greedy sweep keeps: the greatest value first (ties: smallest ``idx``), dropping all within ``r``.
 
     Done in rounds: whoever beats all neighbours left is kept, and its neighbours leave. Each round is a join and an
-    anti-join; the result is that of the sweep.
+    anti-join; the result is that of the sweep. At most ``AT_ONCE`` pairs of neighbours, counted in each round, are left
+    to one task.
     """
     from voxelry.storage import cut, dropped
 
@@ -114,6 +149,10 @@ def exclusion(points: DataFrame, r: float, value: str = "v") -> DataFrame:
     edges = cut(pairs.join(keys("a_id"), "a_id").join(keys("b_id"), "b_id"))
     left, kept = cut(p.select("idx")), []
     while not left.isEmpty():
+        if edges.count() <= AT_ONCE:
+            ends = cut(edges.select(F.col("a_id").alias("idx")).distinct())
+            kept += [left.join(ends, "idx", "left_anti"), cut(_swept(edges))]
+            break
         beaten = edges.where("k_b < k_a").select(F.col("a_id").alias("idx")).distinct()
         won = cut(left.join(beaten, "idx", "left_anti"))
         lost = edges.join(won.select(F.col("idx").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("idx"))
