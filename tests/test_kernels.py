@@ -158,7 +158,8 @@ def test_evolution_goes_on_from_its_state():
     sheet = np.array([[z, 10 + rng.integers(-1, 2), x] for z in range(12) for x in range(40)], float)
     guide = np.array([[z, 10, x] for z in range(12) for x in range(40)], float)
     one, factor = evolution.evolution_of(sheet, guide, (4.0, 12.0), downscale=3.0, r=2.0)
-    assert factor == 1.0 and one.r2 == 4.0  # neighbouring cells lie one slice apart, so that nothing is scaled
+    assert factor == 3.0 and one.r2 == (2 / 3) ** 2  # rows of cells begin at slices 0, 4, 8 and 11: the least gap is 3
+    assert evolution.evolution_of(sheet, guide, (4.0, 12.0), downscale=9.0)[1] == 3.0
     wide, factor = evolution.downscaled([[np.array([[z, 0.0, 0.0]])] for z in (0, 2, 5)], 3.0)
     assert factor == 2.0 and [c[0][0][0] for c in wide] == [0, 1, 2]
     assert one.uniform(3).max() == 3 and (one.middle(True)[:, 0] == 0).all() and (one.middle(True)[:, -1] == one.sizes[:, -1] - 1).all()

@@ -30,7 +30,7 @@ def _joined(edges: DataFrame) -> DataFrame:
                 root[max(a, b)] = min(a, b)
         yield pd.DataFrame({"id": list(root), "component": [top(v) for v in root]}, dtype="int64")
 
-    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInPandas(work, "id long, component long")
+    return edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).coalesce(1).mapInPandas(work, "id long, component long")
 
 
 def _state(edges: DataFrame) -> tuple:

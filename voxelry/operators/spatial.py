@@ -52,6 +52,12 @@ def neighbor_edges(points: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by:
     return pairs.select(*by, F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst"), F.sqrt("d2").alias("dist"))
 
 
+def nearest_within(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by: tuple[str, ...] = ()) -> DataFrame:
+    """For each point of ``a`` that has points of ``b`` within ``r``, the nearest: ``a_id, b_id, d2``; ties go to the smallest ``b_id``."""
+    best = epsilon_join(a, b, r, axes, by).groupBy(*by, "a_id").agg(F.min(F.struct("d2", "b_id")).alias("n"))
+    return best.select(*by, "a_id", F.col("n.b_id").alias("b_id"), F.col("n.d2").alias("d2"))
+
+
 def nearest(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, by: tuple[str, ...] = (), most_rounds: int = 40) -> DataFrame:
     """For each point of ``a`` the nearest of ``b``: ``a_id, b_id, d2``; ties go to the smallest ``b_id``.
 
@@ -66,8 +72,7 @@ def nearest(a: DataFrame, b: DataFrame, r: float, axes: tuple[str, ...] = ZYX, b
     elif b.isEmpty():
         left = left.limit(0)
     for _ in range(most_rounds):
-        pairs = epsilon_join(left, b, r, axes, by)
-        best = cut(pairs.groupBy(*by, "a_id").agg(F.min(F.struct("d2", "b_id")).alias("n")).select(*by, "a_id", F.col("n.b_id").alias("b_id"), F.col("n.d2").alias("d2")))
+        best = cut(nearest_within(left, b, r, axes, by))
         found.append(best)
         left = cut(left.join(best.select(*by, F.col("a_id").alias("id")), [*by, "id"], "left_anti"))
         if left.isEmpty():
@@ -128,7 +133,7 @@ def _swept(edges: DataFrame) -> DataFrame:
 
     kind = edges.schema["a_id"].dataType.simpleString()
     value = "double" if edges.schema["k_a"].dataType["v"].dataType.simpleString() in ("float", "double") else "long"
-    rows = edges.select(F.col("k_a.v").cast(value), F.col("a_id").cast("long"), F.col("b_id").cast("long"))
+    rows = edges.select(F.col("k_a.v").cast(value).alias("v"), F.col("a_id").cast("long").alias("a_id"), F.col("b_id").cast("long").alias("b_id"))
     return rows.coalesce(1).mapInPandas(work, "idx long").select(F.col("idx").cast(kind))
 
 

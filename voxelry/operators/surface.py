@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelry.operators.spatial import nearest
+from voxelry.operators.spatial import nearest_within
 
 ZYX = ("z", "y", "x")
 
@@ -15,10 +15,10 @@ def surface_fitness(cloud: DataFrame, fit: DataFrame, r: float) -> DataFrame:
     """One row ``coverage, excess``: the cloud's counted squared distances to the fit, each at most r, and the fit's points further than r from the cloud."""
     a = cloud.select(F.col("idx").alias("id"), *ZYX)
     b = fit.select(F.col("idx").alias("id"), *ZYX)
-    near = nearest(a, b, r, most_rounds=1).select(F.col("a_id").alias("idx"), "d2")
+    near = nearest_within(a, b, r).select(F.col("a_id").alias("idx"), "d2")
     n = F.col("n") if "n" in cloud.columns else F.lit(1)
     cover = cloud.join(near, "idx", "left").agg(F.sum(n * F.least(F.coalesce("d2", F.lit(float(r * r))), F.lit(float(r * r)))).alias("coverage"))
-    far = b.join(nearest(b, a, r, most_rounds=1).select(F.col("a_id").alias("id")), "id", "left_anti").count()
+    far = b.join(nearest_within(b, a, r).select(F.col("a_id").alias("id")), "id", "left_anti").count()
     return cover.withColumn("excess", F.lit(far).cast("long"))
 
 
