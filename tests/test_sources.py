@@ -27,6 +27,29 @@ def test_reads_clipped_voxels(spark, tmp_path):
     assert np.array_equal(data, v) and pixel == pytest.approx(1.5)
 
 
+@pytest.mark.parametrize("partial", [True, False])
+def test_reads_parts_of_files(spark, tmp_path, monkeypatch, partial):
+    """Runs of slices and bands of lines, by parts and from whole files, clipped or not, give the files' numbers."""
+    monkeypatch.setattr(mrc, "RUN", 90)
+    monkeypatch.setattr(mrc, "BAND", 11)
+    if not partial:
+        monkeypatch.setattr(mrc, "PARTIAL", frozenset())
+    many = {}
+    for k, (name, kind) in enumerate((("a b", "int16"), ("c", "float32"), ("d", "complex64"))):
+        v = (np.arange(7 * 5 * (4 + k)).reshape(7, 5, 4 + k) % 90).astype(kind)
+        (tmp_path / f"{name}.mrc").write_bytes(mrc.encode(v, k + 1.0))
+        many[f"{name}.mrc"] = v
+    at = {r.vol.rpartition("/")[2]: (r.nz, r.ny, r.nx, r.pixel) for r in mrc.read_layouts(spark, str(tmp_path)).collect()}
+    assert at == {name: (*v.shape, pytest.approx(k + 1.0)) for k, (name, v) in enumerate(many.items())}
+    for low, high in (((None,) * 3, (None,) * 3), ((2, 1, 1), (6, 4, 3)), ((-3, 0, 0), (1, 99, 99)), ((9, 0, 0), (12, 2, 2)), ((0, 3, 0), (2, 3, 2))):
+        got = {(r.vol.rpartition("/")[2], r.z, r.y, r.x): r.v for r in mrc.read_voxels(spark, str(tmp_path), low, high).collect()}
+        inside = lambda p: all((a is None or i >= a) and (b is None or i < b) for i, a, b in zip(p, low, high, strict=True))  # noqa: B023,E731
+        assert got == {(name, *p): float(v[p].real) for name, v in many.items() for p in np.ndindex(v.shape) if inside(p)}
+    (tmp_path / "short.mrc").write_bytes(mrc.encode(many["c.mrc"])[:-4])
+    with pytest.raises(Exception, match="buffer is smaller"):
+        mrc.read_voxels(spark, str(tmp_path / "short.mrc")).collect()
+
+
 def test_points_round_trip(spark, tmp_path):
     (tmp_path / "p.txt").write_text("1 1 3.5 4 2\n  2 1   7 8.25 3.9 \n\n")
     df = points.read_points(spark, str(tmp_path / "p.txt"))

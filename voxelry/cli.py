@@ -84,7 +84,7 @@ def parser() -> argparse.ArgumentParser:
 def _pixel(spark: SparkSession, args: argparse.Namespace) -> float:
     if args.pixel:
         return args.pixel
-    first = mrc.read_slices(spark, args.tomo, (0, None, None), (1, None, None)).select("pixel").first()
+    first = mrc.read_layouts(spark, args.tomo).select("pixel").first()
     return (first["pixel"] / 10) if first and first["pixel"] else 1.0
 
 
@@ -111,8 +111,11 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
     if args.mode in ("run", "runfine"):
         if mrc.count_files(spark, args.tomo) != 1:
             raise SystemExit("segment takes one volume; use batch for many")
-        size = mrc.read_slices(spark, args.tomo, (0, None, None), (1, None, None)).select("ny", "nx").first()
-        voxels = mrc.read_voxels(spark, args.tomo).select(*ZYX, "v")
+        size = mrc.read_layouts(spark, args.tomo).select("ny", "nx").first()
+
+        def voxels(low: tuple[int, ...], high: tuple[int, ...]) -> DataFrame:
+            return mrc.read_voxels(spark, args.tomo, low, high).select(*ZYX, "v")
+
         out = pipelines.segment(voxels, numbered, (size["ny"], size["nx"]), options, args.membranes, reference, args.mode == "runfine")
     else:
         guide, matched = (state.load_step(spark, args.state, s) for s in ("guide", "match"))

@@ -6,6 +6,7 @@ Lengths are in nm and are divided by the volume's pixel size; clouds come back i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -76,11 +77,12 @@ def guide_normals(guide: DataFrame, reference: tuple[float, float, float] | None
     return t.withColumns({c: F.when(away < 0, -F.col(c)).otherwise(F.col(c)) for c in ("ny", "nx")}).drop("ty", "tx")
 
 
-def segment(voxels: DataFrame, model: DataFrame, shape: tuple[int, int], args: SegmentArgs, membranes: int = 2, reference: tuple[float, float, float] | None = None, by_region: bool = False) -> Segmentation:
-    """One or two membranes near a guide.
+def segment(voxels: DataFrame | Callable[[tuple[int, ...], tuple[int, ...]], DataFrame], model: DataFrame, shape: tuple[int, int], args: SegmentArgs, membranes: int = 2, reference: tuple[float, float, float] | None = None, by_region: bool = False) -> Segmentation:
+    """One or two membranes near a guide, in the box around the regions beside it.
 
-    ``membranes`` 2 takes the two largest components, dividing the largest while the second is too small, or with
-    ``by_region`` the largest on either side of the guide. Labels follow the distance to the reference point.
+    ``voxels`` is a table or a function that reads the box [low, high). ``membranes`` 2 takes the two largest
+    components, dividing the largest while the second is too small, or with ``by_region`` the largest on either side of
+    the guide. Labels follow the distance to the reference point.
     """
     out = Segmentation()
     neigh = max(args.px(args.neigh_thresh), 1.0)
@@ -89,10 +91,18 @@ def segment(voxels: DataFrame, model: DataFrame, shape: tuple[int, int], args: S
     reach = args.px(args.extend)
     regions = cut(paths.regions_beside_contour(lined, (reach, reach)).where(f"y < {shape[0]} and x < {shape[1]}"))
     bound = regions.select(*ZYX).unionByName(guide.select(*ZYX)).distinct()
-    volume = voxels.join(guide.select("z").distinct(), "z", "left_semi")
     out.steps |= {"guide": guide, "regions": regions}
 
-    found, first = membrane.detect(volume, guide, bound, shape, args.px(args.detect_smooth), args.px(args.detect_tv), args.detect_filt, args.detect_supp)
+    r = bound.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ZYX)).first()
+    low = tuple(max(0, int(r[f"lo_{c}"])) for c in ZYX)
+    high = tuple(min(int(r[f"hi_{c}"]) + 1, n) for c, n in zip(ZYX, (2**31 - 1, *shape), strict=True))
+    if callable(voxels):
+        volume = voxels(low, high)
+    else:
+        volume = voxels.where(" and ".join(f"{c} >= {a} and {c} < {b}" for c, a, b in zip(ZYX, low, high, strict=True)))
+    moved = lambda df, sign: df.withColumns({c: (F.col(c) + sign * a).cast("int") for c, a in zip(ZYX[1:], low[1:], strict=True)})
+    size = (high[1] - low[1], high[2] - low[2])
+    found, first = (moved(df, 1) for df in membrane.detect(moved(volume, -1), moved(guide, -1), moved(bound, -1), size, args.px(args.detect_smooth), args.px(args.detect_tv), args.detect_filt, args.detect_supp))
     found = cut(found)
     out.steps |= {"detect": found, "detect_nofilter": cut(first)}
 
