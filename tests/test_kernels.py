@@ -377,6 +377,24 @@ def test_cubic_spline_is_exact_for_cubics_inside(spark):
     assert mg.sample_cubic(p, vox, 0.5).first().sample == pytest.approx(1 + 2 * 1.5, abs=0.1)
 
 
+def test_cubic_samples_by_cubes_equal_those_of_the_whole_volume(spark, monkeypatch):
+    from voxelry.operators import membranogram as mg
+
+    monkeypatch.setattr(mg, "CUBE", 30)
+    monkeypatch.setattr(mg, "AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3, 8, 130))
+    vox = frame(spark, [(a + 2, b - 4, d, float(v[a, b, d])) for a, b, d in np.ndindex(v.shape)], "z int, y int, x int, v double")
+    at = rng.uniform((0, -8, -40), (8, 8, 170), (90, 3))
+    rows = [(k, *map(float, q), 0.0, 1.0, 0.0) for k, q in enumerate(at)]
+    p = frame(spark, [*rows, (90, 1.0, 1.0, 1.0, None, None, None)], "idx long, z double, y double, x double, nz double, ny double, nx double")
+    got = {r.idx: r.sample for r in mg.sample_cubic(p, vox, 0.5).collect()}
+    want = mg.cubic(mg.spline_coefficients(v), at + (0, 0.5, 0) - (2, -4, 0))
+    assert len(got) == 91 and (got[90] is None or np.isnan(got[90]))
+    assert np.allclose([got[k] for k in range(90)], want, atol=1e-10)
+    assert mg.sample_cubic(p, vox.limit(0), 0.5).where("sample is null").count() == 91
+
+
 def test_embedding_unrolls_a_cylinder(spark):
     from voxelry.operators import membranogram as mg
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ZYX = ["z", "y", "x"]
-#: Voxels of a volume that is sent to all workers, at most (8 bytes each).
-MOST_VOXELS = 32_000_000
+#: Sides of the cubes in which a volume is worked on, and the voxels around one on which it depends: a coefficient's
+#: share of a value falls by 0.27 a voxel, to 1e-14 of it at ``REACH`` less the two voxels of the spline itself.
+CUBE, REACH = 64, 26
+AT_ONCE = 1_000_000
 _POLE = np.sqrt(3) - 2
 
 
@@ -48,26 +50,39 @@ def cubic(coefficients: np.ndarray, at: np.ndarray, margin: int = 24) -> np.ndar
 def sample_cubic(points: DataFrame, voxels: DataFrame, dist: float, value: str = "v") -> DataFrame:
     """``idx, sample``: the dense volume at ``dist`` along each point's normal, by cubic splines.
 
-    The volume (clip it to the points first) is collected and sent to all workers; larger ones are an error.
+    The volume is worked on in cubes, each with the voxels around it on which its values depend; only cubes with samples
+    are read. A task holds one cube, however large the volume is, and more than ``AT_ONCE`` samples of a cube are dealt to
+    several. Places outside the volume go on from its edge. Points without a place or normal, and all of a volume without
+    voxels, have no sample.
     """
     box = voxels.agg(F.count("*"), *(F.min(c) for c in ZYX), *(F.max(c) for c in ZYX)).first()
+    kind = points.schema["idx"].dataType.simpleString()
     if not box[0]:
         return points.select("idx", F.lit(None).cast("double").alias("sample"))
-    low, shape = np.array(box[1:4]), np.array(box[4:7]) - np.array(box[1:4]) + 1
-    if max(box[0], int(np.prod(shape))) > MOST_VOXELS:
-        raise ValueError(f"the volume has more than {MOST_VOXELS} voxels")
-    pdf = voxels.select(*ZYX, value).toPandas()
-    v = np.zeros(shape)
-    v[tuple((pdf[ZYX].to_numpy(int) - low).T)] = pdf[value]
-    sent = points.sparkSession.sparkContext.broadcast(spline_coefficients(v))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            at = p[ZYX].to_numpy(float) + dist * p[[f"n{c}" for c in ZYX]].to_numpy(float) - low
-            yield pd.DataFrame({"idx": p["idx"], "sample": cubic(sent.value, at)})
-
-    kind = points.schema["idx"].dataType.simpleString()
-    return points.select("idx", *ZYX, *(f"n{c}" for c in ZYX)).mapInPandas(work, f"idx {kind}, sample double")
+    low, high = box[1:4], box[4:7]
+    cube = [f"c{c}" for c in ZYX]
+    place = lambda c, a, b: F.greatest(F.lit(float(a)), F.least(F.lit(float(b)), c))
+    at = points.select("idx", *((F.col(c) + dist * F.col(f"n{c}")).cast("double").alias(c) for c in ZYX))
+    at = at.withColumns({f"c{c}": F.floor(place(F.col(c), a, b) / CUBE).cast("int") for c, a, b in zip(ZYX, low, high, strict=True)})
+    used = at.groupBy(*cube).agg(F.ceil(F.count("*") / AT_ONCE).cast("int").alias("parts"))
+    samples = at.join(used, cube).withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int")).drop("parts")
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - REACH) / CUBE).cast("int"), F.floor((F.col(c) + REACH) / CUBE).cast("int"))).alias(f"c{c}")
+    around = voxels.select(*(F.col(c).cast("int").alias(c) for c in ZYX), F.col(value).cast("double").alias("v"))
+    for c in ZYX:
+        around = around.select("*", near(c))
+    around = around.join(used, cube).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+
+    def one(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        first = [max(a, k * CUBE - REACH) for a, k in zip(low, key, strict=False)]
+        last = [min(b, (k + 1) * CUBE - 1 + REACH) for b, k in zip(high, key, strict=False)]
+        v = np.zeros([b - a + 1 for a, b in zip(first, last, strict=True)])
+        v[tuple((q[ZYX].to_numpy(int) - first).T)] = q["v"]
+        at = p[ZYX].to_numpy(float) - first
+        known = np.isfinite(at).all(axis=1)
+        return pd.DataFrame({"idx": p["idx"], "sample": np.where(known, cubic(spline_coefficients(v), np.where(known[:, None], at, 0.0)), np.nan)})
+
+    by = [*cube, "part"]
+    return samples.groupBy(*by).cogroup(around.groupBy(*by)).applyInPandas(one, f"idx {kind}, sample double")
 
 
 def tangent_embedding(p: np.ndarray, neighbours: int = 20) -> np.ndarray:
