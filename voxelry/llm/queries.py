@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelry.llm import decontamination, extraction, language, licenses, neardup, packing, pii, preferences, quality, sharding
+from voxelry.llm import clustering, collocations, decontamination, extraction, language, licenses, neardup, neighbours, packing, pii, preferences, quality, sharding
 
 
 def table(spark, sf_dir: str, name: str):
@@ -20,6 +20,9 @@ QUERIES = {
     "op8_quality_ledger": lambda s, d: quality.quality(table(s, d, "documents")),
     "op9_personal_data": lambda s, d: pii.personal_data(table(s, d, "documents")),
     "op10_near_duplicates": lambda s, d: neardup.near_duplicates(table(s, d, "documents"), width=2),
+    "op11_nearest_vectors": lambda s, d: neighbours.nearest_vectors(table(s, d, "embeddings")),
+    "op12_cluster_vectors": lambda s, d: clustering.cluster_vectors(table(s, d, "embeddings")),
+    "op13_collocations": lambda s, d: collocations.collocations(table(s, d, "documents")),
 }
 
 ORACLE_SQL = {
@@ -27,4 +30,7 @@ ORACLE_SQL = {
     "op3_preferences": preferences.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op8_quality_ledger": quality.ORACLE_SQL,
+    "op11_nearest_vectors": neighbours.ORACLE_SQL,
+    "op12_cluster_vectors": clustering.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
