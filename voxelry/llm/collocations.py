@@ -68,7 +68,7 @@ class _Counts:
     def flushed(self) -> Iterator[pa.RecordBatch]:
         for lang, counts in self.by.items():
             keys = list(counts)
-            columns = [pa.array([lang.decode()] * len(keys)), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64())]
+            columns = [pa.array([lang.decode()] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64())]
             if self.extra:
                 columns.append(pa.array([self.extra(lang, k) for k in keys], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=self.names)
