@@ -3,7 +3,7 @@ import pytest
 
 from voxelry import cli
 from voxelry.operators import evolution
-from voxelry.sources import mrc, points, state
+from voxelry.sources import models, mrc, points, state
 
 
 def test_programs_end_to_end(spark, tmp_path, capsys):
@@ -28,6 +28,9 @@ def test_programs_end_to_end(spark, tmp_path, capsys):
     assert set(done) == {"t"} and done["t"].results.count() == r[0]
     written = points.read_points(spark, str(tmp_path / "out_t.mod"), "double")
     assert {x.object for x in written.select("object").distinct().collect()} == {1, 2} and written.where("object = 2").count() == r[0]
+    binary = models.read_model(spark, str(tmp_path / "out_t.models"), "double")
+    same = lambda m: {(x.object, x.contour, round(x.x, 1), round(x.y, 1), x.z) for x in m.collect()}
+    assert binary.count() == written.count() and same(binary) == same(written)
     assert 0 < spark.read.parquet(str(tmp_path / "out_t.slices")).select("z").distinct().count() <= 5
     log = evolution.evolution_log(state.load_step(spark, folder, "fit_state")).orderBy("gen").collect()
     assert len(log) == 7 and all(a.coverage >= b.coverage for a, b in zip(log, log[1:], strict=False)) and log[0].change_ratio is None

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from voxelry.operators import matching, spatial
 from voxelry.operators.points import normals_tangent, ordinal
 from voxelry.plans import pipelines
-from voxelry.sources import mrc, points, state
+from voxelry.sources import models, mrc, points, state
 from voxelry.storage import cut
 
 ZYX = ["z", "y", "x"]
@@ -99,7 +99,7 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
             setattr(args, name, value if args.membranes == 1 else getattr(pipelines.SegmentArgs(), name))
     names = ("extend", "neigh_thresh", "detect_smooth", "detect_tv", "detect_filt", "detect_supp", "components_min", "fit_shrinkside", "fit_tol", "meshrefine_spacing", "fit_popsize", "fit_maxiter", "seed")
     options = pipelines.SegmentArgs(pixel_nm=pixel, fit_lengrids=tuple(args.fit_lengrids), **{n: getattr(args, n) for n in names})
-    model = points.read_points(spark, args.model)
+    model = models.read_model(spark, args.model)
     own = model.where("object = 1")
     if own.isEmpty():
         raise SystemExit("the model has no guide lines (object 1)")
@@ -126,7 +126,9 @@ def segment(spark: SparkSession, args: argparse.Namespace) -> pipelines.Segmenta
     state.save(spark, args.state, vars(args) | {"pixel_nm": pixel}, tables)
     if args.outputs:
         bound = state.load_step(spark, args.state, "bound")
-        points.write_points(pipelines.output_model(bound, out.results, 2 * neigh), f"{args.outputs}.mod")
+        model = cut(pipelines.output_model(bound, out.results, 2 * neigh))
+        points.write_points(model, f"{args.outputs}.mod")
+        models.write_models(model.withColumn("vol", F.lit("segments")), f"{args.outputs}.models", "idx")
         pipelines.output_slices(bound, out.results).write.mode("overwrite").parquet(f"{args.outputs}.slices")
     return out
 

@@ -17,6 +17,14 @@ DENSE_SPARK = f"""select g.z, g.y, g.x, coalesce(vox.v div 10000, 0) v from
 DENSE_DUCK = f"""select g.z, g.y, g.x, coalesce(vox.v // 10000, 0)::bigint v from
   (select a.z::int z, b.y::int y, c.x::int x from range(1, 8) a(z), range(0, {NY}) b(y), range(0, {NX}) c(x)) g
   left join ({VOX}) vox on g.z = vox.z and g.y = vox.y and g.x = vox.x"""
+#: The same by volume; the number of volumes grows with the table.
+VOL_VOX = VOX.replace("select ", "select cast(floor(l_orderkey / 4000.0e0) as int) vol, ").replace("group by 1, 2, 3", "group by 1, 2, 3, 4")
+VOL_DENSE_SPARK = f"""select g.vol, g.z, g.y, g.x, coalesce(v.v div 10000, 0) v from
+  (select vol, z, y, explode(sequence(0, {NX - 1})) x from (select vol, z, explode(sequence(0, {NY - 1})) y from (select vol, explode(sequence(1, 7)) z from (select distinct vol from ({VOL_VOX}))))) g
+  left join ({VOL_VOX}) v on g.vol = v.vol and g.z = v.z and g.y = v.y and g.x = v.x"""
+VOL_DENSE_DUCK = f"""select g.vol, g.z, g.y, g.x, coalesce(v.v // 10000, 0)::bigint v from
+  (select vol, a.z::int z, b.y::int y, c.x::int x from (select distinct vol from ({VOL_VOX})), range(1, 8) a(z), range(0, {NY}) b(y), range(0, {NX}) c(x)) g
+  left join ({VOL_VOX}) v on g.vol = v.vol and g.z = v.z and g.y = v.y and g.x = v.x"""
 #: A cloud of points; arrays start at 0 in Spark and at 1 in DuckDB.
 CLOUD_SPARK = "select vec_id idx, label z, cast(floor(100 * cast(embedding[0] as double)) as int) y, cast(floor(100 * cast(embedding[1] as double)) as int) x from embeddings"
 CLOUD_DUCK = CLOUD_SPARK.replace("[1]", "[2]").replace("[0]", "[1]")
@@ -47,6 +55,16 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DENSE_SPARK)
 
 
+def vol_vox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "lineitem")
+    return spark.sql(VOL_VOX)
+
+
+def vol_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "lineitem")
+    return spark.sql(VOL_DENSE_SPARK)
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "embeddings")
     return spark.sql(CLOUD_SPARK)

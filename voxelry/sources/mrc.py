@@ -198,33 +198,12 @@ def read_near(spark: SparkSession, path: str, points: DataFrame, margin: float =
 
 
 def write_volume(voxels: DataFrame, path: str, shape: tuple[int, int, int], pixel: float = 1.0, value: str = "v", kind: str = "float32") -> None:
-    """Writes one volume (whole, unsigned or real numbers); places without a row are 0.
+    """Writes one volume (whole, unsigned or real numbers); places without a row are 0, those outside the shape are left out.
 
-    Tasks encode slices, and the driver writes them in order, holding one partition of slices at a time.
+    Tasks write their numbers to their own bytes of the file: see :mod:`voxelry.sources.mrc_source`.
     """
-    nz, ny, nx = shape
-    slice_kind = stored(np.zeros((1, 1, 1), kind)).dtype
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.zeros((ny, nx), slice_kind)
-        s[pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = pdf["v"].to_numpy()
-        return pd.DataFrame({"z": [key[0]], "data": [s.tobytes()]})
-
-    inside = voxels.select(F.col("z").cast("int").alias("z"), "y", "x", F.col(value).alias("v")).where((F.col("z") >= 0) & (F.col("z") < nz))
-    n = nz * ny * nx
-    sums = inside.agg(F.count("*"), F.min("v"), F.max("v"), F.sum(F.col("v").cast("double")), F.sum(F.col("v").cast("double") ** 2)).first()
-    rows, low, high, total, squares = (float(x or 0) for x in sums)
-    low, high = (min(low, 0.0), max(high, 0.0)) if rows < n else (low, high)
-    mean = total / n if n else 0.0
-    head = header(shape, slice_kind, pixel, (low, high, mean, max(squares / n - mean * mean, 0.0) ** 0.5 if n else 0.0))
-    slices = inside.groupBy("z").applyInPandas(one, "z int, data binary").orderBy("z")
-    empty, at = bytes(ny * nx * slice_kind.itemsize), 0
-    with open(path, "wb") as f:
-        f.write(head)
-        for r in slices.toLocalIterator():
-            for _ in range(r["z"] - at):
-                f.write(empty)
-            f.write(r["data"])
-            at = r["z"] + 1
-        for _ in range(nz - at):
-            f.write(empty)
+    from voxelry.sources import mrc_source
+
+    mrc_source.register(voxels.sparkSession)
+    rows = voxels.select(*(F.col(c).cast("int").alias(c) for c in "zyx"), F.col(value).alias("v"))
+    rows.write.format("mrc").option("shape", ",".join(map(str, shape))).option("pixel", str(pixel)).option("kind", kind).mode("overwrite").save(path)

@@ -47,20 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one, deleted with this process's tables."""
+    if not _open:
+        atexit.register(_closed)
+    path = f"{shared_dir(spark)}/{_RUN}/{uuid.uuid4().hex}"
+    _open[spark.sparkContext.applicationId] = spark, path.rpartition("/")[0]
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and returns the table read back.
 
     The result has no lineage before the written files, so a lost executor costs no recomputation of what led here.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{_RUN}/{uuid.uuid4().hex}"
-    if not _open:
-        atexit.register(_closed)
-    _open[spark.sparkContext.applicationId] = spark, path.rpartition("/")[0]
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """As :func:`cut`, with the rows bucketed by ``keys``: joins and groups by these keys don't shuffle the table again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    name = f"voxelry_{path.rpartition('/')[2]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt as the buckets are, so that a task writes its own buckets only.
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables made by :func:`cut`, when nothing reads them any more."""
     for table in tables:
