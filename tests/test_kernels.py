@@ -144,15 +144,6 @@ def test_samples_keep_their_values_when_dealt_anew(spark):
     assert all(abs(r.sample - (100 * r.z + 10 * r.y + r.x)) < 1e-9 for r in got if r.z < 20)
 
 
-def test_division_above_the_bound(spark, monkeypatch):
-    rng = np.random.default_rng(12)
-    p = np.concatenate([rng.normal((0, 0, 0), 1.5, (60, 3)), rng.normal((0, 0, 14), 1.5, (40, 3)), [[0, 0, x] for x in range(2, 13)]])
-    df = frame(spark, [(k, *map(float, q), 0.0) for k, q in enumerate(p)], "idx long, z double, y double, x double, orient double")
-    top = division.largest(division.point_components(df, 2.5)).drop("component", "size", "place")
-    monkeypatch.setattr(division, "MOST_COMMUNITIES", 6)
-    assert {r.part for r in division.divide(top, 2.5).collect()} == {0, 1}
-
-
 def test_evolution_goes_on_from_its_state():
     rng = np.random.default_rng(9)
     sheet = np.array([[z, 10 + rng.integers(-1, 2), x] for z in range(12) for x in range(40)], float)

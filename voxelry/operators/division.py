@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelry.functions.columns import neighbour_weight, orients_absdiff
+from voxelry.operators.communities import communities
 from voxelry.operators.graph import connected_components
+from voxelry.operators.spectral import spectral_parts
 from voxelry.operators.spatial import neighbor_edges
-from voxelry.storage import cut, dropped
-
-#: Communities that reach the driver for the spectral cut; more are joined to communities of communities first.
-MOST_COMMUNITIES = 2000
+from voxelry.storage import cut
 
 
 def point_components(points: DataFrame, r: float) -> DataFrame:
@@ -46,77 +45,30 @@ def weighted_edges(points: DataFrame, r: float, sigma: float = np.pi / 4) -> Dat
     return edges.withColumns({"dorient": d, "weight": neighbour_weight(d, sigma)}).drop("o_src", "o_dst")
 
 
-def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``id, community`` by label propagation: each vertex takes the label of most weight around it (ties: the smallest).
+def divide_graph(edges: DataFrame, n: int = 2) -> DataFrame:
+    """``id, part`` of the vertices of a connected graph ``src, dst, weight``: n parts, numbered by decreasing size.
 
-    Ends when two rounds in a row move none, or after ``rounds``.
-    """
-    both = cut(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
-    still = 0
-    for k in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m"))
-        moves = best.select(F.col("src").alias("id"), (-F.col("m.c")).alias("__new"))
-        # Every other vertex moves in a round, so that neighbours don't swap labels for ever.
-        turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
-        moved = cut(labels.join(moves, "id").select("id", F.when(turn, F.col("__new")).otherwise(F.col("community")).alias("community"), (turn & (F.col("__new") != F.col("community"))).alias("moved")))
-        still = still + 1 if moved.where("moved").isEmpty() else 0
-        dropped(labels)
-        labels = moved.select("id", "community")
-        if still == 2:
-            break
-    dropped(both)
-    return labels
-
-
-def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges between communities with summed weights."""
-    of = lambda k: labels.select(F.col("id").alias(k), F.col("community").alias(f"c_{k}"))
-    e = edges.join(of("src"), "src").join(of("dst"), "dst")
-    return e.where("c_src <> c_dst").groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
-
-
-def divide(points: DataFrame, r: float, sigma: float = np.pi / 4) -> DataFrame:
-    """``points`` (one component) with ``part`` 0 or 1: communities, cut in two by the contracted graph's second eigenvector.
-
-    The cut is where the eigenvector's order gives the least normalised cut, and part 0 is the larger one.
+    Communities by modularity become the vertices of a smaller graph with summed weights, which is cut by its eigenvectors.
+    Equal sizes are ordered by least id. With fewer communities than parts, each is a part.
     """
-    edges = cut(weighted_edges(points, r, sigma))
-    labels = communities(edges)
-    between = cut(contract(edges, labels))
-    number = lambda e: e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
-    n = number(between)
-    while n > MOST_COMMUNITIES:
-        wider = communities(between)
-        labels = cut(labels.join(wider.select(F.col("id").alias("community"), F.col("community").alias("wider")), "community", "left").select("id", F.coalesce("wider", "community").alias("community")))
-        between, before = cut(contract(between, wider)), n
-        n = number(between)
-        if n == before:
-            raise ValueError("the communities don't join any further")
-    small = between.toPandas()
-    names = sorted({*small["src"], *small["dst"]})
-    if len(names) < 2:
-        return points.withColumn("part", F.lit(0))
-    at = {n: k for k, n in enumerate(names)}
-    w = np.zeros((len(names), len(names)))
-    for s, d, x in small.itertuples(index=False):
-        w[at[s], at[d]] = w[at[d], at[s]] = x
-    degree = w.sum(axis=1)
-    scaled = np.eye(len(w)) - w / np.sqrt(np.outer(degree, degree))
-    order = np.argsort(np.linalg.eigh(scaled)[1][:, 1] / np.sqrt(degree), kind="stable")
-
-    def cost(k: int) -> float:
-        a, b = order[:k], order[k:]
-        crossing = w[np.ix_(a, b)].sum()
-        return crossing / degree[a].sum() + crossing / degree[b].sum()
-
-    k = min(range(1, len(order)), key=cost)
-    first = [int(names[i]) for i in order[:k]]
-    parted = cut(labels.withColumn("part", F.col("community").isin(first).cast("int")))
-    n = {row["part"]: row["count"] for row in parted.groupBy("part").count().collect()}
-    flip = n.get(0, 0) < n.get(1, 0)
-    return points.join(parted.select(F.col("id").alias("idx"), "part"), "idx").withColumn("part", 1 - F.col("part") if flip else F.col("part"))
+    own = cut(edges.select("src", "dst", "weight"))
+    members, _ = communities(own)
+    of = lambda x: members.select(F.col("id").alias(x), F.col("community").alias(f"c_{x}"))
+    e = own.join(of("src"), "src").join(of("dst"), "dst").where("c_src <> c_dst")
+    between = cut(e.groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
+    if between.isEmpty():
+        return members.select("id", F.lit(0).alias("part"))
+    parts = members.join(spectral_parts(between, n).withColumnRenamed("id", "community"), "community")
+    sizes = parts.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("low"))
+    # A row for each of the n parts.
+    order = sizes.select("label", (F.row_number().over(Window.orderBy(F.desc("size"), "low")) - 1).alias("part"))
+    return cut(parts.join(F.broadcast(order), "label").select("id", "part"))
+
+
+def divide(points: DataFrame, r: float, sigma: float = np.pi / 4, n: int = 2) -> DataFrame:
+    """``points`` (one component) with ``part`` 0 to n - 1 by decreasing size, cut where orientations differ."""
+    parts = divide_graph(weighted_edges(points, r, sigma), n)
+    return points.join(parts.withColumnRenamed("id", "idx"), "idx", "left").withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def two_components(points: DataFrame, r: float, least: int = 0, sigma: float = np.pi / 4, most_cuts: int = 20) -> DataFrame:

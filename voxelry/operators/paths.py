@@ -1,113 +1,54 @@
-"""Work on the points of one slice in order: shortest paths, contour matching, regions around a contour.
+"""Points of slices in order: shortest paths, contour matching, regions around a contour.
 
-A slice's contour is a few hundred points; each function handles one in numpy, and the operators run it by slice.
+Paths run over all slices at once, as rounds over tables. A contour to match or to draw a curve through is a few hundred
+points; those functions handle one in numpy, and the operators run them by slice.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.functions.columns import orients_absdiff
 from voxelry.functions.splines import Curve, wire_length
+from voxelry.operators.graph import connected_components
+from voxelry.operators.points import ordinal
+from voxelry.operators.shortest import between
+from voxelry.operators.spatial import neighbor_edges
+from voxelry.storage import cut
 
 
-def _neighbours(yx: np.ndarray, r: float) -> list[tuple[int, int, float]]:
-    cells: dict[tuple[int, int], list[int]] = {}
-    for k, (y, x) in enumerate(np.floor(yx / r).astype(int)):
-        cells.setdefault((y, x), []).append(k)
-    out = []
-    for (cy, cx), own in cells.items():
-        near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in cells.get((cy + dy, cx + dx), ())]
-        for i in own:
-            for j in near:
-                if i < j and (d := float(np.hypot(*(yx[i] - yx[j])))) <= r:
-                    out.append((i, j, d))
-    return out
-
-
-def components_of(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
-    root = list(range(n))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for i, j, _ in edges:
-        a, b = top(i), top(j)
-        root[max(a, b)] = min(a, b)
-    return np.array([top(i) for i in range(n)])
-
-
-def shortest_path(n: int, edges: list[tuple[int, int, float]], start: int, end: int) -> list[int]:
-    """The vertices of a cheapest path, by Dijkstra's algorithm; empty if there is none."""
-    near: dict[int, list[tuple[int, float]]] = {}
-    for i, j, w in edges:
-        near.setdefault(i, []).append((j, w))
-        near.setdefault(j, []).append((i, w))
-    best, before, queue = {start: 0.0}, {start: -1}, [(0.0, start)]
-    while queue:
-        d, i = heapq.heappop(queue)
-        if i == end:
-            path = []
-            while i >= 0:
-                path.append(i)
-                i = before[i]
-            return path[::-1]
-        if d > best[i]:
-            continue
-        for j, w in near.get(i, ()):
-            if d + w < best.get(j, np.inf):
-                best[j], before[j] = d + w, i
-                heapq.heappush(queue, (d + w, j))
-    return []
-
-
-def _absdiff(a: float, b: float) -> float:
-    d = (b - a) % np.pi
-    return min(d, np.pi - d)
+def _pairs_of_components(points: DataFrame, edges: DataFrame, inside: Column) -> DataFrame:
+    """``first, last``: of each component's points for which ``inside`` holds, the least and greatest ``id``."""
+    found = connected_components(edges)
+    named = points.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return named.where(inside).groupBy("component").agg(F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 def bridge_gaps(candidates: DataFrame, gapped: DataFrame, r: float) -> DataFrame:
     """In each slice and component of the candidates: the path of least turning from the first to the last one that is
-    a gapped point too. Candidates have ``idx, z, y, x, orient``; the result is the candidates on paths."""
-    keys = gapped.select("z", "y", "x").distinct().withColumn("__in", F.lit(True))
-    both = candidates.select("idx", "z", "y", "x", "orient").join(keys, ["z", "y", "x"], "left").withColumn("__in", F.coalesce("__in", F.lit(False)))
-    schema = candidates.select("idx", "z", "y", "x", "orient").schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        edges = _neighbours(pdf[["y", "x"]].to_numpy(float), r)
-        orient = pdf["orient"].to_numpy()
-        turning = [(i, j, _absdiff(orient[i], orient[j])) for i, j, _ in edges]
-        comp, kept = components_of(len(pdf), edges), set()
-        for c in np.unique(comp):
-            inside = np.flatnonzero((comp == c) & pdf["__in"].to_numpy())
-            if len(inside):
-                kept.update(shortest_path(len(pdf), turning, int(inside[0]), int(inside[-1])))
-        return pdf.loc[sorted(kept), schema.names]
+    a gapped point too. Candidates have ``idx, z, y, x, orient``; the result is the candidates on paths.
 
-    return both.groupBy("z").applyInPandas(one, schema)
+    Of equal paths the one of fewest steps counts, then, from its end backwards, the smallest ``idx``.
+    """
+    keys = gapped.select("z", "y", "x").distinct().withColumn("inside", F.lit(True))
+    both = ordinal(candidates.select("idx", "z", "y", "x", "orient"), "z", "idx").withColumnRenamed("ord", "id")
+    p = cut(both.join(keys, ["z", "y", "x"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
+    near = cut(neighbor_edges(p.select(F.col("id").alias("idx"), "z", "y", "x"), r, ("y", "x"), ("z",)))
+    of = lambda k: p.select(F.col("id").alias(k), F.col("orient").alias(f"o_{k}"))
+    turning = near.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", orients_absdiff(F.col("o_src"), F.col("o_dst")).alias("weight"))
+    on = between(turning, cut(_pairs_of_components(p, near, F.col("inside"))))
+    return p.join(on, "id", "left_semi").select("idx", "z", "y", "x", "orient")
 
 
 def simplify_by_path(points: DataFrame, r: float = 1.5) -> DataFrame:
-    """In each slice and component: the points on the shortest path from the first to the last."""
-    schema = points.select("idx", "z", "y", "x").schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        edges = _neighbours(pdf[["y", "x"]].to_numpy(float), r)
-        comp, kept = components_of(len(pdf), edges), set()
-        for c in np.unique(comp):
-            own = np.flatnonzero(comp == c)
-            kept.update(shortest_path(len(pdf), edges, int(own[0]), int(own[-1])))
-        return pdf.loc[sorted(kept)]
-
-    return points.select("idx", "z", "y", "x").groupBy("z").applyInPandas(one, schema)
+    """In each slice and component: the points on the shortest path from the first to the last; ties as for :func:`bridge_gaps`."""
+    p = cut(ordinal(points.select("idx", "z", "y", "x"), "z", "idx").withColumnRenamed("ord", "id"))
+    near = cut(neighbor_edges(p.select(F.col("id").alias("idx"), "z", "y", "x"), r, ("y", "x"), ("z",)))
+    on = between(near.select("src", "dst", F.col("dist").alias("weight")), cut(_pairs_of_components(p, near, F.lit(True))))
+    return p.join(on, "id", "left_semi").select("idx", "z", "y", "x")
 
 
 def time_warp(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:

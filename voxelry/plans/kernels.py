@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from voxelry import fixtures as fx
 from voxelry.functions.columns import orients_absdiff
 from voxelry.plans.catalogue import _D2, _RIDGE, r, rounded
-from voxelry.operators import division, evolution, image, matching, membrane, membranogram, mesh, paths, points, spatial, vote
+from voxelry.operators import division, evolution, forest, image, matching, membrane, membranogram, mesh, paths, points, spatial, vote
 
 SHAPE = (fx.NY, fx.NX)
 ORACLE: dict[str, str] = {}
@@ -101,11 +101,31 @@ def fixed_mean_em(spark, sf_dir):
     return spark.range(1).select(F.lit(limit).cast("double").alias("threshold"))
 
 
-def bridge_gaps(spark, sf_dir):
+def _ways(between: str, weight: str, inside: str) -> str:
+    """Cheapest ways in each slice and component, from the first to the last point that is ``inside``: tables kept by key."""
+    return f"""with recursive p as materialized (select row_number() over (partition by z order by x, y) idx, z, y, x, (v % 314) / 100.0e0 o from ({fx.VOX})),
+e as materialized (select z, src, dst, {weight} w from (select a.z, a.idx src, b.idx dst, {between} u from p a join p b on a.z = b.z and a.idx <> b.idx and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1)),
+c(z, idx, low) using key (z, idx) as (select z, idx, idx from p union
+  select e.z, e.dst, min(c.low) from c join e on c.z = e.z and c.idx = e.src join recurring.c k on k.z = e.z and k.idx = e.dst where c.low < k.low group by 1, 2),
+ends as materialized (select z, min(idx) a, max(idx) b from c where {inside} group by z, low),
+t(z, idx, d, h, b) using key (z, idx) as (select z, a, 0.0e0, 0, 0::bigint from ends union
+  select n.z, n.dst, m.d, m.h, m.b from (select e.z, e.dst, min({{'d': t.d + e.w, 'h': t.h + 1, 'b': e.src}}) m from t join e on t.z = e.z and t.idx = e.src group by 1, 2) n
+  left join recurring.t k on k.z = n.z and k.idx = n.dst where k.idx is null or m.d < k.d or (m.d = k.d and (m.h < k.h or (m.h = k.h and m.b < k.b)))),
+way(z, idx) as (select z, b from ends union select w.z, t.b from way w join t on t.z = w.z and t.idx = w.idx where t.b > 0)
+select p.idx, p.z, p.y, p.x from p join way w on w.z = p.z and w.idx = p.idx"""
+
+
+def _bridged(spark, sf_dir):
     p = fx.vox(spark, sf_dir).select(F.row_number().over(Window.partitionBy("z").orderBy("x", "y")).alias("idx"), "z", "y", "x", (F.col("v") % 314 / 100.0).alias("orient"))
     return paths.bridge_gaps(p, p.where("idx % 5 = 0"), 1.5)
 
 
+@query(_ways("case when a.idx < b.idx then b.o - a.o else a.o - b.o end", "least(case when u < 0 then u + pi() else u end, pi() - case when u < 0 then u + pi() else u end)", "idx % 5 = 0"))
+def bridge_gaps(spark, sf_dir):
+    return _bridged(spark, sf_dir).select("idx", "z", "y", "x")
+
+
+@query(_ways("(a.y - b.y) ** 2 + (a.x - b.x) ** 2", "sqrt(u)", "true"))
 def simplify_path(spark, sf_dir):
     p = fx.vox(spark, sf_dir).select(F.row_number().over(Window.partitionBy("z").orderBy("x", "y")).alias("idx"), "z", "y", "x")
     return paths.simplify_by_path(p)
@@ -130,7 +150,40 @@ def contour_regions(spark, sf_dir):
 
 
 def point_normals(spark, sf_dir):
-    return mesh.normals(_sheets(spark, sf_dir), 4.0, (0.0, -100.0, 0.0))
+    return forest.oriented_normals(_sheets(spark, sf_dir), 4.0, (0.0, -100.0, 0.0))
+
+
+#: Least axes in closed form: the least root of the characteristic polynomial, and the longest product of two rows of what is left.
+@query(f"""with p as materialized (select row_number() over (order by z, x, label) idx, * from ({SHEETS})),
+s as (select a.idx, a.label, count(*) n, sum(b.z - a.z)::double z, sum(b.y - a.y)::double y, sum(b.x - a.x)::double x, sum((b.z - a.z) * (b.z - a.z))::double zz, sum((b.z - a.z) * (b.y - a.y))::double zy,
+  sum((b.z - a.z) * (b.x - a.x))::double zx, sum((b.y - a.y) * (b.y - a.y))::double yy, sum((b.y - a.y) * (b.x - a.x))::double yx, sum((b.x - a.x) * (b.x - a.x))::double xx
+  from p a join p b on a.label = b.label and {_D2} <= 16 group by 1, 2 having count(*) >= 3),
+m as (select idx, label, zz - z * z / n a, yy - y * y / n b, xx - x * x / n c, zy - z * y / n d, zx - z * x / n e, yx - y * x / n f from s),
+q as (select *, (a + b + c) / 3 t, sqrt(greatest(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6, 0)) u from m),
+w as (select *, ((a - t) * ((b - t) * (c - t) - f * f) - d * (d * (c - t) - f * e) + e * (d * f - (b - t) * e)) / (u * u * u) / 2 h from q where u > 0),
+l as (select *, t + 2 * u * cos(acos(least(greatest(h, -1), 1)) / 3 + 2 * pi() / 3) k from w),
+v as (select idx, label, unnest([[d * f - e * (b - k), e * d - (a - k) * f, (a - k) * (b - k) - d * d], [d * (c - k) - e * f, e * e - (a - k) * (c - k), (a - k) * f - d * e], [(b - k) * (c - k) - f * f, f * e - d * (c - k), d * f - (b - k) * e]]) r, t + u * 2 * cos(acos(least(greatest(h, -1), 1)) / 3 + 4 * pi() / 3) - k gap, u from l),
+b as (select * from v qualify row_number() over (partition by idx order by r[1] ** 2 + r[2] ** 2 + r[3] ** 2 desc) = 1)
+select idx::int idx, label, {', '.join(r(f'r[{i}] * r[{j}] / (r[1] ** 2 + r[2] ** 2 + r[3] ** 2)', 4) + f' {n}' for n, i, j in (('zz', 1, 1), ('zy', 1, 2), ('yy', 2, 2), ('yx', 2, 3)))} from b where gap > 1e-3 * u""")
+def normal_axes(spark, sf_dir):
+    """Products of the axes' components, which have no sign, of points with one least axis."""
+    p = _sheets(spark, sf_dir)
+    numbered = points.ordinal(p, "label", "idx").withColumnRenamed("ord", "id")
+    near = spatial.neighbor_edges(numbered.select("label", F.col("id").alias("idx"), "z", "y", "x"), 4.0, by=("label",))
+    n = forest.local_axes(numbered, near).join(numbered.select("id", "idx", "label"), "id")
+    return rounded(n.where("gap > 1e-3 * spread").select("idx", "label", *((F.col(f"n{a}") * F.col(f"n{b}")).alias(a + b) for a, b in ("zz", "zy", "yy", "yx"))), 4, "zz", "zy", "yy", "yx")
+
+
+@query(f"""with recursive p as materialized (select row_number() over (order by z, y, x, idx) - 1 id, * from ({fx.CLOUD_DUCK})),
+e as materialized (select a.id src, b.id dst, {{'w': (a.id * b.id) % 97, 'a': a.id, 'b': b.id}} k from p a join p b on a.id < b.id and (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 36),
+bi as materialized (select src, dst, k from e union all select dst, src, k from e),
+reach(id, k) using key (id, k) as (select src, k from e union select b.dst, r.k from reach r join bi b on b.src = r.id and b.k < r.k)
+select src, dst from e where not exists (select 1 from reach r where r.k = e.k and r.id = e.dst)""")
+def spanning_forest(spark, sf_dir):
+    """An edge is in the least forest if no way of lesser edges joins its ends."""
+    p = points.ordinal(fx.cloud(spark, sf_dir), "z", "y", "x", "idx").select(F.col("ord").alias("idx"), "z", "y", "x")
+    edges = spatial.neighbor_edges(p, 6.0).select("src", "dst", (F.col("src") * F.col("dst") % 97).alias("weight"), F.lit(1).alias("sign"))
+    return forest.minimum_forest(edges)[1]
 
 
 @query(fx.CLOUD_DUCK)
@@ -226,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stick_vote, ball_vote, orientation_suppression, points_orientation, fixed_mean_em, bridge_gaps, simplify_path, contour_match, contour_spline, contour_regions,
-        point_normals, convex_hull, subdivide_mesh, meshpoints_surround, refine_surface, divide_graph, components_regions, evolve_surface, surface_areas, box_classify, detect_membrane, match_candidates,
+        point_normals, normal_axes, spanning_forest, convex_hull, subdivide_mesh, meshpoints_surround, refine_surface, divide_graph, components_regions, evolve_surface, surface_areas, box_classify, detect_membrane, match_candidates,
         component_contour, membranogram_cubic, embed_surface, box_pca,
     )
 }

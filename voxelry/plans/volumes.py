@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelry import fixtures as fx
-from voxelry.operators import blocks, image
+from voxelry.operators import blocks, division, image
 from voxelry.plans.catalogue import r, rounded
 from voxelry.sources import models
 from voxelry.sources import mrc_source as mrc_source_
-from voxelry.storage import new_folder
+from voxelry.storage import cut, new_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,25 @@ def model_source(spark, sf_dir):
     models.write_models(spark.sql(_VOL_GUIDE).select("vol", F.col("z").alias("object"), (F.col("x") + 1).alias("contour"), "x", "y", "z"), path)
     found = models.read_models(spark, path).where("problem is null")
     return found.select(F.regexp_extract("vol", r"(\d+)\.mod$", 1).cast("int").alias("vol"), "object", "contour", "x", "y", "z")
+
+
+_CUSTOMERS = "select c_custkey id, c_nationkey nation, n_regionkey region, row_number() over (partition by c_nationkey order by c_custkey) - 1 k, count(*) over (partition by c_nationkey) size from customer join nation on c_nationkey = n_nationkey"
+
+
+@query(f"""select id, (rank - 1)::int part from ({_CUSTOMERS}) c join (
+  select region, row_number() over (order by count(*) desc, min(id)) rank from ({_CUSTOMERS}) group by region) o on o.region = c.region""")
+def divide_regions(spark, sf_dir):
+    """Customers are linked within their nation, less to the nations of their region, and least to those of others: five parts."""
+    fx.load(spark, sf_dir, "customer", "nation")
+    c = cut(spark.sql(_CUSTOMERS))
+    to = lambda nation, k, w: F.struct(nation.cast("int").alias("nation"), k.cast("int").alias("k"), F.lit(w).alias("weight"))
+    # Nations are numbered 5 r + m here: region r's m-th.
+    place = spark.sql("select n_nationkey nation, n_regionkey region, row_number() over (partition by n_regionkey order by n_nationkey) - 1 m from nation")
+    number = F.col("region") * 5 + F.col("m")
+    named = cut(c.join(F.broadcast(place.drop("region")), "nation").select("id", "k", "size", number.cast("int").alias("nation")))
+    n, k = F.col("nation"), F.col("k")
+    links = [to(n, (k + d) % F.col("size"), 1.0) for d in (1, 2)] + [to(n, (k * m + 1) % F.col("size"), 1.0) for m in (5, 7, 11)]
+    links += [to(F.floor(n / 5) * 5 + (n + d) % 5, k, 0.1) for d in (1, 2)] + [to((n + 5) % 25, k, 0.002)]
+    ends = named.select("id", F.explode(F.array(*links)).alias("e")).select(F.col("id").alias("src"), "e.*")
+    edges = ends.join(named.select(F.col("id").alias("dst"), "nation", "k"), ["nation", "k"])
+    return division.divide_graph(edges.select("src", "dst", "weight"), 5)
