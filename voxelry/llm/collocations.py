@@ -2,10 +2,11 @@
 
 1. Words are counted by language. Two bitmaps of a fixed size, over hashes of words, then say which words may reach the
    least count and which are so common that their suffixes would fill a task. They may say yes too often, never no.
-2. The suffixes of each run of frequent words, cut after ``most`` words and pre-aggregated in the task, are shuffled by
-   language and first word; while a key ends in a very common word, the next word belongs to the key too.
-3. A task sorts its suffixes in reverse lexicographic order and counts all their prefixes with one stack. Prefixes of
-   very common words only can stand in several tasks and are added up; all others are counted whole in one.
+2. The suffixes of each run of frequent words, cut after ``most`` words, are counted in the task and dealt by language
+   and first word to buckets; while a key ends in a very common word, the next word belongs to the key too. What a task has
+   for a bucket is one row: its words, and the suffixes as numbers of these words.
+3. A bucket's suffixes (about ``BUCKET``) are sorted in reverse lexicographic order and all their prefixes counted with one
+   stack. Prefixes of very common words only can stand in several buckets and are added up; all others are whole in one.
 4. Counts of the parts are joined to the phrases, cut by cut.
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows count each time; ties go by
@@ -19,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,32 +29,46 @@ from pyspark.sql.window import Window
 from voxelry.llm.joins import MOST_BROADCAST
 from voxelry.storage import cut
 
-#: Bits of a bitmap of words; different words or suffixes that a task counts before it passes them on, and their bytes.
-BITS, HELD, HELD_BYTES = 1 << 22, 200_000, 1 << 26
-#: A word is very common if its suffixes are more than this share of what a shuffle partition has in the mean.
-SHARE = 0.25
+#: Bits of a bitmap of words; words that a task counts before it passes them on, and their bytes.
+BITS, HELD, HELD_BYTES = 1 << 22, 300_000, 1 << 26
+#: Suffixes that a task counts before it passes them on, words that it numbers, and bytes of a text split at once.
+SUFFIXES, NUMBERED, PART = 1 << 21, 1 << 19, 1 << 22
+#: Suffixes that a bucket has in the mean, at most. A word is very common if its own are more than this share of the mean.
+BUCKET, SHARE = 500_000, 0.25
 #: Bytes of phrases that are broadcast, at most.
 MOST_BYTES = 1 << 26
-#: What ends a piece, as one line end; Spark's own bitmaps have 32,768 bits.
-_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+#: What ends a piece, for the words alone and as line ends; Spark's own bitmaps have 32,768 bits.
+_SPACES, _ENDS = bytes.maketrans(b".,;:!?", b" " * 6), bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _MAP = 1 << 15
 
 
-def _escaped(text: bytes) -> bytes:
-    """Without the byte 0, which stands between words; told apart again by :func:`_plain`."""
-    if b"\0" in text or b"\1" in text:
-        text = text.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
-    return text
+def _lower(text: str | None) -> bytes:
+    """A-Z as a-z, without the byte 0, which stands between words; told apart again by :func:`_plain`."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    if b"\0" in data or b"\1" in data:
+        data = data.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
+    return data
 
 
 def _plain(word: bytes) -> bytes:
     return word.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1") if b"\1" in word else word
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """The words of each piece of a text, A-Z as a-z."""
-    data = _escaped((text or "").encode("utf-8", "surrogatepass").lower()).translate(_ENDS)
-    return [piece.split() for piece in data.split(b"\n")]
+def _parts(data: bytes) -> Iterator[bytes]:
+    """A text in parts, cut at a space or an end of a line."""
+    at = 0
+    while len(data) - at > PART:
+        end = at + PART
+        while end < len(data) and data[end] not in b" \n":
+            end += 1
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def tokens(data: bytes) -> list[bytes]:
+    """The words of a lower-cased text, with the byte 0 where a piece ends."""
+    return data.translate(_ENDS).replace(b"\n", b" \0 ").split()
 
 
 def _bit(lang: bytes, word: bytes) -> int:
@@ -60,18 +76,16 @@ def _bit(lang: bytes, word: bytes) -> int:
 
 
 class _Counts:
-    """Counts by language and key, passed on when there are many."""
+    """Counts by language and word, passed on when there are many."""
 
-    def __init__(self, names: list[str], extra=None):
-        self.names, self.extra, self.by, self.bytes = names, extra, {}, 0
+    def __init__(self):
+        self.by, self.bytes = {}, 0
 
     def flushed(self) -> Iterator[pa.RecordBatch]:
         for lang, counts in self.by.items():
             keys = list(counts)
-            columns = [pa.array([lang.decode()] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            if self.extra:
-                columns.append(pa.array([self.extra(lang, k) for k in keys], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=self.names)
+            columns = [pa.array([lang.decode()] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([_bit(lang, k) for k in keys], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "a", "bit"])
         self.by, self.bytes = {}, 0
 
     def full(self) -> bool:
@@ -88,14 +102,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, a, bit``: how often each word occurs, and its place in the bitmaps."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counts(["lang", "word", "a", "bit"], _bit)
+        held = _Counts()
         for lang, text in _texts(batches):
-            counts = held.by.setdefault(lang, Counter())
-            for words in pieces(text):
-                counts.update(words)
-            held.bytes += len(text or "")
-            if held.full():
-                yield from held.flushed()
+            for part in _parts(_lower(text).translate(_SPACES)):
+                held.by.setdefault(lang, Counter()).update(part.split())
+                held.bytes += len(part)
+                if held.full():
+                    yield from held.flushed()
         yield from held.flushed()
 
     parts = docs.select("lang", "text").mapInArrow(work, "lang string, word binary, a long, bit int")
@@ -124,89 +137,174 @@ class _Known:
         return found
 
 
-def suffixes(docs: DataFrame, frequent: dict[int, bytes], common: dict[int, bytes], most: int) -> DataFrame:
-    """``lang, suffix, n, part``: suffixes of two words or more, cut after ``most``, with what deals them to tasks."""
+class _Words(dict):
+    """Numbers of a language's words from 1; 0 is the end of a piece. For each number: may it count, is it very common, its hash."""
+
+    def __init__(self, lang: bytes, may: _Known, common: _Known):
+        super().__init__({b"\0": 0})
+        self.lang, self.may, self.common = lang, may, common
+        self.words, self.flags = [b"\0"], [(False, False, 0)]
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        self.flags.append((self.may(self.lang, word), self.common(self.lang, word), zlib.crc32(word, zlib.crc32(self.lang))))
+        return n
+
+
+def distinct(rows: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in lexicographic order, each once, with the sums of n (or their number)."""
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))) if len(rows) else np.empty(0, int)
+    counts = np.add.reduceat(n[order], first) if n is not None and len(rows) else np.diff(np.append(first, len(rows)))
+    return rows[first], counts
+
+
+def suffix_rows(stream: np.ndarray, starts: int, most: int) -> np.ndarray:
+    """The suffixes of two words or more that begin at the first ``starts`` places, as numbers of words, 0 after the end."""
+    padded = np.concatenate((stream, np.zeros(most, stream.dtype)))
+    rows = np.empty((starts, most), stream.dtype)
+    rows[:, 0] = stream[:starts]
+    for k in range(1, most):
+        np.multiply(padded[k : k + starts], rows[:, k - 1] != 0, out=rows[:, k])
+    return rows[rows[:, 1] != 0]
+
+
+def dealt(rows: np.ndarray, common: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each suffix, by its words up to the first that isn't very common."""
+    key, goes_on = hashes[rows[:, 0]], common[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        goes_on = goes_on & (rows[:, k] != 0)
+        key = np.where(goes_on, (key * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[rows[:, k]], key)
+        goes_on = goes_on & common[rows[:, k]]
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((key ^ (key >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _narrow(a: np.ndarray) -> bytes:
+    """A byte for the size of the numbers, then the numbers, column by column."""
+    kind = np.min_scalar_type(int(a.max(initial=0)))
+    return bytes((kind.itemsize,)) + np.asfortranarray(a.astype(kind)).tobytes("F")
+
+
+def _wide(data: bytes, columns: int) -> np.ndarray:
+    a = np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return a.reshape(columns, -1).T
+
+
+_BLOCK = "bucket int, lang string, words binary, suffixes binary, n binary"
+
+
+def suffixes(docs: DataFrame, frequent: dict[int, bytes], common: dict[int, bytes], most: int, buckets: int) -> DataFrame:
+    """``bucket, lang, words, suffixes, n``: what a task has for a bucket in a language, counted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may, is_common = _Known(frequent), _Known(common)
+        known: dict[bytes, _Words] = {}
+        streams: dict[bytes, list[np.ndarray]] = {}
+        held = 0
+
+        def flushed(open_lang: bytes | None = None) -> Iterator[pa.RecordBatch]:
+            """Blocks of all suffixes held; of an open text, the last words stay for the suffixes that they end."""
+            nonlocal held
+            for lang, parts in streams.items():
+                stream = np.concatenate(parts)
+                starts = max(0, len(stream) - most + 1) if lang == open_lang else len(stream)
+                words = known[lang]
+                allowed, very, hashes = (np.array(c) for c in zip(*words.flags, strict=True))
+                rows, n = distinct(suffix_rows(np.where(allowed[stream], stream, 0), starts, most))
+                parts[:] = [stream[starts:]]
+                bucket = dealt(rows, very, hashes.astype(np.uint64), buckets)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.flatnonzero(np.diff(bucket[order])) + 1
+                blocks = []
+                for own in np.split(order, ends) if len(order) else ():
+                    used, numbers = np.unique(rows[own], return_inverse=True)
+                    if used[0]:  # 0 stays the end
+                        used, numbers = np.concatenate(([0], used)), numbers + 1
+                    blocks.append((int(bucket[own[0]]), lang.decode(), b"\0".join(words.words[k] for k in used[1:]), _narrow(numbers.reshape(-1, most)), _narrow(n[own])))
+                if blocks:
+                    kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), kinds, strict=True)], names=["bucket", "lang", "words", "suffixes", "n"])
+            held = 0
+            for lang in [x for x in streams if x != open_lang]:
+                del streams[lang]
+            if sum(map(len, known.values())) > NUMBERED:
+                for lang in [x for x in known if x != open_lang]:
+                    del known[lang]
 
-        def key(lang: bytes, suffix: bytes) -> int:
-            words = suffix.split(b"\0")
-            n = next((k for k, w in enumerate(words, 1) if not is_common(lang, w)), len(words))
-            return zlib.crc32(b"\0".join(words[:n]), zlib.crc32(lang)) - (1 << 31)
-
-        held = _Counts(["lang", "suffix", "n", "part"], key)
         for lang, text in _texts(batches):
-            counts = held.by.setdefault(lang, Counter())
-            for words in pieces(text):
-                run: list[bytes] = []
-                for word in [*words, None]:
-                    if word is not None and may(lang, word):
-                        run.append(word)
-                    else:
-                        if len(run) > 1:
-                            counts.update([b"\0".join(run[k : k + most]) for k in range(len(run) - 1)])
-                        run = []
-                if held.full():
-                    yield from held.flushed()
-                    counts = held.by.setdefault(lang, Counter())
-            # A run's suffixes are at most as many times longer than the text.
-            held.bytes += most * len(text or "")
-        yield from held.flushed()
+            for part in _parts(_lower(text)):
+                words = known.get(lang) or known.setdefault(lang, _Words(lang, may, is_common))
+                found = tokens(part)
+                streams.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                held += len(found)
+                if held > SUFFIXES:
+                    yield from flushed(lang)
+            streams[lang].append(np.zeros(1, np.int64))
+        yield from flushed()
 
-    return docs.select("lang", "text").mapInArrow(work, "lang string, suffix binary, n long, part int")
+    return docs.select("lang", "text").mapInArrow(work, _BLOCK)
 
 
-def prefix_counts(sorted_suffixes: DataFrame, least: int, common: dict[int, bytes]) -> DataFrame:
-    """``lang, phrase, m, a``: prefixes of two words or more of suffixes in reverse order, with the number of words.
+def stack_counts(rows: np.ndarray, n: np.ndarray, end: int, least: int, common: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row that has it, number of words, count) of the prefixes of two words or more of sorted suffixes, with one stack.
 
-    Those under ``least`` are left out unless other tasks can have the same prefix.
+    ``end`` stands after a suffix's last word.
+    ``common`` has each row's number of very common words at its beginning: prefixes of these only are given whatever their count.
     """
+    lengths = (rows != end).sum(axis=1)
+    same = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+    same = np.minimum(np.minimum(same, lengths[1:]), lengths[:-1]) if len(rows) else same
+    out: list[tuple[int, int, int]] = []
+    counts: list[int] = []
+    for k, (length, total, after) in enumerate(zip(lengths.tolist(), n.tolist(), [*same.tolist(), 0], strict=True)):
+        counts += [0] * (length - len(counts))
+        counts[-1] += total
+        # What the next suffix doesn't share is complete.
+        while len(counts) > after:
+            m, c = len(counts), counts.pop()
+            if m > 1 and (c >= least or common[k] >= m):
+                out.append((k, m, c))
+            if counts:
+                counts[-1] += c
+    return out
+
+
+def prefix_counts(blocks: DataFrame, least: int, common: dict[int, bytes], most: int) -> DataFrame:
+    """``lang, phrase, m, a``: prefixes of two words or more of each bucket's suffixes, with the number of words.
+
+    Those under ``least`` are left out unless other buckets can have the same prefix. Blocks must come bucket by bucket.
+    """
+
+    def counted(lang: str, blocks: list[tuple[bytes, bytes, bytes]], is_common: _Known) -> pa.RecordBatch:
+        lists = [b[0].split(b"\0") for b in blocks]
+        # In reverse order, with the end after all words.
+        words = sorted({w for x in lists for w in x}, reverse=True)
+        number = {w: k for k, w in enumerate(words)}
+        rows = np.concatenate([np.array([len(words), *(number[w] for w in x)])[_wide(b[1], most)] for x, b in zip(lists, blocks, strict=True)])
+        rows, n = distinct(rows, np.concatenate([_wide(b[2], 1)[:, 0] for b in blocks]))
+        very = np.array([*(is_common(lang.encode(), w) for w in words), False])
+        found = stack_counts(rows, n, len(words), least, np.cumprod(very[rows], axis=1).sum(axis=1))
+        names = [_plain(w) for w in words]
+        phrase = [b" ".join([names[w] for w in rows[k, :m].tolist()]) for k, m, _ in found]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(phrase, pa.binary()), pa.array([m for _, m, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int64())], names=["lang", "phrase", "m", "a"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_common = _Known(common)
-        lang: str | None = None
-        stack: list[bytes] = []
-        counts: list[int] = []
-        out: list[tuple[str, bytes, int, int]] = []
-
-        def close(depth: int) -> None:
-            while len(stack) > depth:
-                n, m = counts.pop(), len(stack)
-                if m > 1 and (n >= least or all(is_common(lang.encode(), w) for w in stack)):
-                    out.append((lang, b" ".join(map(_plain, stack)), m, n))
-                stack.pop()
-                if counts:
-                    counts[-1] += n
-
-        def flushed() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "m", "a"])
-            out.clear()
-            return batch
-
+        now, held = None, []
         for batch in batches:
-            for name, suffix, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = suffix.split(b"\0")
-                if name != lang:
-                    close(0)
-                    lang = name
-                same = 0
-                for old, new in zip(stack, words, strict=False):
-                    if old != new:
-                        break
-                    same += 1
-                close(same)
-                for word in words[same:]:
-                    stack.append(word)
-                    counts.append(0)
-                counts[-1] += n
-            if len(out) > 10_000:
-                yield flushed()
-        close(0)
-        yield flushed()
-
-    parts = sorted_suffixes.select("lang", "suffix", "n").mapInArrow(work, "lang string, phrase binary, m int, a long")
+            for bucket, lang, *block in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (bucket, lang) != now:
+                    if held:
+                        yield counted(now[1], held, is_common)
+                    now, held = (bucket, lang), []
+                held.append(tuple(block))
+        if held:
+            yield counted(now[1], held, is_common)
+
+    parts = blocks.select(*(c.split()[0] for c in _BLOCK.split(", "))).mapInArrow(work, "lang string, phrase binary, m int, a long")
     return parts.select("lang", F.decode("phrase", "UTF-8").alias("phrase"), "m", "a")
 
 
@@ -223,9 +321,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most: int = 5) -> tuple[
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = words.agg(F.sum("a")).first()[0] or 0
-    common = bitmap(words, max(1, int(SHARE * total / tasks)))
-    dealt = suffixes(named, bitmap(words, least), common, most).repartition(tasks, "part")
-    longer = prefix_counts(dealt.sortWithinPartitions(F.desc("lang"), F.desc("suffix")), least, common).groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    buckets = max(tasks, -(-total // BUCKET))
+    common = bitmap(words, max(1, int(SHARE * total / buckets)))
+    blocks = suffixes(named, bitmap(words, least), common, most, buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket", "lang")
+    longer = prefix_counts(blocks, least, common, most).groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
