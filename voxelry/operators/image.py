@@ -1,9 +1,9 @@
 """Images as voxels: rows of ``z, y, x`` and values.
 
 An operator that works slice by slice takes ``by``, the columns that name a slice (for many volumes at once, the
-volume and z). Dense images have a row for each place, sparse ones only for places that are not zero. All but the
-tracing of outlines is Spark SQL; windows and joins run on the slice and a line or place in it, so no task holds more
-than one line.
+volume and z). Dense images have a row for each place, sparse ones only for places that are not zero. All is Spark SQL;
+windows run on a line of a slice, those of :func:`slice_value_filter` and of the border in
+:func:`non_maximum_suppression` on a whole slice.
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SLICE = ("z",)
@@ -244,47 +242,20 @@ def largest_image_components(pixels: DataFrame, n_keep: int = 1, connectivity: i
     return largest(named, n_keep)
 
 
-def trace(mask: np.ndarray) -> np.ndarray:
-    """The longest outline of a binary image, as (y, x) halfway between set places and those beside them, in order."""
-    a = np.pad(mask.astype(bool), 1)
-    following: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for y, x in np.argwhere(a[:-1, :-1] | a[1:, :-1] | a[:-1, 1:] | a[1:, 1:]):
-        c = (a[y, x], a[y, x + 1], a[y + 1, x + 1], a[y + 1, x])
-        sides = ((y, x + 0.5), (y + 0.5, x + 1), (y + 1, x + 0.5), (y + 0.5, x))
-        leave = [k for k in range(4) if c[k] and not c[(k + 1) % 4]]
-        enter = [k for k in range(4) if not c[k] and c[(k + 1) % 4]]
-        for k in leave:
-            to = min(enter, key=lambda e: (k - e) % 4)
-            following.setdefault(sides[k], []).append(sides[to])
-    best: list[tuple[float, float]] = []
-    while following:
-        start = min(following)
-        line, here = [start], start
-        while following.get(here):
-            there = following[here].pop()
-            if not following[here]:
-                del following[here]
-            line.append(there)
-            here = there
-        if len(line) > len(best):
-            best = line
-    return np.array(best, float).reshape(-1, 2) - 1
-
-
 def component_contour(pixels: DataFrame, erode_first: bool = True, by: tuple[str, ...] = SLICE) -> DataFrame:
-    """``by, idx, y, x``: the longest outline of each slice's set places, eroded by one place first; a slice at a time."""
-    kept = erode(pixels.select(*by, "y", "x"), by) if erode_first else pixels.select(*by, "y", "x")
-    schema = T.StructType([kept.schema[c] for c in by] + [T.StructField("idx", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.DoubleType())])
+    """``by, idx, y, x``: the longest outline of each slice's set places, halfway between set places and those beside them.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        yx = pdf[["y", "x"]].to_numpy(int)
-        low = yx.min(axis=0)
-        mask = np.zeros(yx.max(axis=0) - low + 1, bool)
-        mask[tuple((yx - low).T)] = True
-        line = trace(mask) + low
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "idx": np.arange(len(line)), "y": line[:, 0], "x": line[:, 1]})
+    With ``erode_first``, places are eroded by one first. An outline ends where it begins.
+    """
+    from voxelry.operators.isolines import iso_lines
+    from voxelry.storage import cut
 
-    return kept.groupBy(*by).applyInPandas(one, schema)
+    kept = erode(pixels.select(*by, "y", "x"), by) if erode_first else pixels.select(*by, "y", "x")
+    lines = cut(iso_lines(kept.withColumn("v", F.lit(1.0)), 0.5, by=by, outside=0.0))
+    first = lines.where("place = 0")
+    longest = first.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), "line")).alias("best")).select(*by, F.col("best.line").alias("line"))
+    again = first.select(*by, "line", F.col("n").alias("place"), "y", "x")
+    return lines.select(*by, "line", "place", "y", "x").unionByName(again).join(longest, [*by, "line"], "left_semi").select(*by, F.col("place").alias("idx"), "y", "x")
 
 
 def spread_slices(df: DataFrame, n: int) -> list[int]:

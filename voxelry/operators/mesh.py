@@ -67,17 +67,6 @@ def point_normals(p: np.ndarray, r: float, ref: np.ndarray | None = None, neighb
     return n
 
 
-def normals(points: DataFrame, r: float, ref: tuple[float, float, float] | None = None, by: str = "label") -> DataFrame:
-    """``points`` (``by, idx, z, y, x``) with unit normals ``nz, ny, nx``, a cloud at a time."""
-    schema = points.select(by, "idx", *(F.col(c).cast("double").alias(c) for c in COLUMNS), *(F.lit(0.0).alias(f"n{c}") for c in COLUMNS)).schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = point_normals(pdf[COLUMNS].to_numpy(float), r, None if ref is None else np.array(ref))
-        return pdf.assign(**{f"n{c}": n[:, k] for k, c in enumerate(COLUMNS)})[schema.names]
-
-    return points.select(by, "idx", *(F.col(c).cast("double").alias(c) for c in COLUMNS)).groupBy(by).applyInPandas(one, schema)
-
-
 def hull_facets(p: np.ndarray, eps: float = 1e-9) -> np.ndarray:
     """Outward planes (az, ay, ax, b) of the convex hull, points inside where a p + b <= 0; by adding points one by one."""
     p = np.unique(np.asarray(p, float), axis=0)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxelry.operators import division, evolution, image, matching, membrane, mesh, paths, points, spatial
+from voxelry.operators import division, evolution, forest, image, matching, membrane, mesh, paths, points, spatial
 from voxelry.sources.points import clouds_to_model
 from voxelry.storage import cut
 
@@ -152,7 +152,7 @@ def finish(out: Segmentation, matched: DataFrame, guide: DataFrame, lengths: tup
     ordered = cut(ordered)
     out.steps["refine"] = ordered
     ref = reference or points.reference_point(guide)
-    normals = mesh.normals(ordered, 2 * neigh, ref)
+    normals = forest.oriented_normals(ordered, 2 * neigh, ref)
     flip = F.when(F.col("label") == 2, -1.0).otherwise(1.0)
     out.results = cut(normals.withColumns({f"n{c}": F.col(f"n{c}") * flip for c in ZYX}))
     labels = F.explode(F.array(*(F.lit(k) for k in (1, 2)))).alias("label")

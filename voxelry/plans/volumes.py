@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelry import fixtures as fx
-from voxelry.operators import blocks, division, image
+from voxelry.operators import blocks, division, image, isolines
+from voxelry.operators import nearest_place as nearest
 from voxelry.plans.catalogue import r, rounded
 from voxelry.sources import models
 from voxelry.sources import mrc_source as mrc_source_
@@ -119,3 +120,46 @@ def divide_regions(spark, sf_dir):
     ends = named.select("id", F.explode(F.array(*links)).alias("e")).select(F.col("id").alias("src"), "e.*")
     edges = ends.join(named.select(F.col("id").alias("dst"), "nation", "k"), ["nation", "k"])
     return division.divide_graph(edges.select("src", "dst", "weight"), 5)
+
+
+_VOL_PLACES = f"select vol, z, row_number() over (partition by vol, z order by x) idx, y, x from ({_VOL_GUIDE}) where (x * 7 + z) % 5 = 0"
+
+
+@query(f"""with p as materialized ({_VOL_PLACES}), g as (select vol, z, b.y::int y, c.x::int x from (select distinct vol, z from p), range(0, {fx.NY}) b(y), range(0, {fx.NX}) c(x))
+select g.vol, g.z, g.y, g.x, min({{'d': (g.y - p.y) ** 2 + (g.x - p.x) ** 2, 'i': p.idx}}).i idx, min((g.y - p.y) ** 2 + (g.x - p.x) ** 2)::bigint d2 from g join p on p.vol = g.vol and p.z = g.z group by 1, 2, 3, 4""")
+def nearest_place(spark, sf_dir):
+    fx.load(spark, sf_dir, "lineitem")
+    return nearest.nearest_place(spark.sql(_VOL_PLACES), (fx.NY, fx.NX), ("vol", "z"))
+
+
+LEVEL = 300.5
+#: Cells with their corners in turn; a line enters over a side where high turns to low, and leaves where low turns to high.
+_SEGMENTS = f"""d as materialized ({_DENSE}),
+cell as materialized (select a.vol, a.z, a.y, a.x, [a.v, b.v, c.v, e.v] v, (a.v + b.v + c.v + e.v) / 4.0e0 > {LEVEL} middle from d a join d b on b.vol = a.vol and b.z = a.z and b.y = a.y and b.x = a.x + 1
+  join d c on c.vol = a.vol and c.z = a.z and c.y = a.y + 1 and c.x = a.x + 1 join d e on e.vol = a.vol and e.z = a.z and e.y = a.y + 1 and e.x = a.x),
+side as materialized (select vol, z, y, x, middle, k, v[k + 1] > {LEVEL} h0, v[(k + 1) % 4 + 1] > {LEVEL} h1, ({LEVEL} - v[k + 1]) / (v[(k + 1) % 4 + 1] - v[k + 1]) t from cell, (select unnest(range(0, 4)) k) where (v[k + 1] > {LEVEL}) <> (v[(k + 1) % 4 + 1] > {LEVEL})),
+place as (select *, count(*) over (partition by vol, z, y, x) n, {{'y': y + (k = 2)::int, 'x': x + (k = 1)::int, 'down': (k % 2)::int}} s, y + case k when 0 then 0 when 1 then t when 2 then 1 else 1 - t end py, x + case k when 0 then t when 1 then 1 when 2 then 1 - t else 0 end px from side),
+seg as materialized (select a.vol, a.z, a.s a, b.s b, a.py ay, a.px ax, b.py bty, b.px btx from place a join place b on a.vol = b.vol and a.z = b.z and a.y = b.y and a.x = b.x and a.h0 and b.h1 and (a.n = 2 or b.k = (a.k + case when a.middle then 1 else 3 end) % 4))"""
+
+
+@query(f"with {_SEGMENTS} select vol, z, a.y sy, a.x sx, a.down down, {r('ay', 6)} ay, {r('ax', 6)} ax, {r('bty', 6)} bty, {r('btx', 6)} btx from seg")
+def iso_segments(spark, sf_dir):
+    s = isolines.segments(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"))
+    s = s.select("vol", "z", F.col("a.y").alias("sy"), F.col("a.x").alias("sx"), F.col("a.down").alias("down"), "ay", "ax", F.col("by_").alias("bty"), F.col("bx").alias("btx"))
+    return rounded(s, 6, "ay", "ax", "bty", "btx")
+
+
+@query(f"""with recursive {_SEGMENTS},
+node as materialized (select vol, z, a, ay y, ax x from seg union all select vol, z, b, bty, btx from seg where not exists (select 1 from seg o where o.vol = seg.vol and o.z = seg.z and o.a = seg.b)),
+link as materialized (select vol, z, a s, b d from seg union all select vol, z, b, a from seg),
+c(vol, z, s, low) using key (vol, z, s) as (select vol, z, a, a from node union
+  select l.vol, l.z, l.d, min(c.low) from c join link l on l.vol = c.vol and l.z = c.z and l.s = c.s join recurring.c k on k.vol = l.vol and k.z = l.z and k.s = l.d where c.low < k.low group by 1, 2, 3),
+size as (select vol, z, low, count(*) n from c group by 1, 2, 3),
+first as (select c.vol, c.z, c.low, c.s from c where not exists (select 1 from seg o where o.vol = c.vol and o.z = c.z and o.b = c.s)),
+start as (select vol, z, low, s, false closed from first union all select vol, z, low, low, true from size where not exists (select 1 from first f where f.vol = size.vol and f.z = size.z and f.low = size.low)),
+walk(vol, z, low, closed, s, place) as (select vol, z, low, closed, s, 0::bigint from start union all
+  select w.vol, w.z, w.low, w.closed, seg.b, w.place + 1 from walk w join seg on seg.vol = w.vol and seg.z = w.z and seg.a = w.s where not (w.closed and seg.b = w.low))
+select w.vol, w.z, w.low.y sy, w.low.x sx, w.low.down down, w.place, w.closed, size.n, {r('node.y', 6)} y, {r('node.x', 6)} x from walk w join size using (vol, z, low) join node on node.vol = w.vol and node.z = w.z and node.a = w.s""")
+def iso_lines(spark, sf_dir):
+    found = isolines.iso_lines(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"))
+    return rounded(found.select("vol", "z", F.col("line.y").alias("sy"), F.col("line.x").alias("sx"), F.col("line.down").alias("down"), "place", "closed", "n", "y", "x"), 6, "y", "x")
