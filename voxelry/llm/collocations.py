@@ -34,7 +34,7 @@ BITS, HELD, HELD_BYTES = 1 << 22, 300_000, 1 << 26
 #: Suffixes that a task counts before it passes them on, words that it numbers, and bytes of a text split at once.
 SUFFIXES, NUMBERED, PART = 1 << 21, 1 << 19, 1 << 22
 #: Suffixes that a bucket has in the mean, at most. A word is very common if its own are more than this share of the mean.
-BUCKET, SHARE = 500_000, 0.25
+BUCKET, SHARE = 1_000_000, 1.0
 #: Bytes of phrases that are broadcast, at most.
 MOST_BYTES = 1 << 26
 #: What ends a piece, for the words alone and as line ends; Spark's own bitmaps have 32,768 bits.
@@ -84,8 +84,8 @@ class _Counts:
     def flushed(self) -> Iterator[pa.RecordBatch]:
         for lang, counts in self.by.items():
             keys = list(counts)
-            columns = [pa.array([lang.decode()] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array([_bit(lang, k) for k in keys], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "a", "bit"])
+            columns = [pa.array([lang.decode()] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "a"])
         self.by, self.bytes = {}, 0
 
     def full(self) -> bool:
@@ -99,7 +99,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, word, a, bit``: how often each word occurs, and its place in the bitmaps."""
+    """``lang, word, a, bit``: how often each word occurs, and its place in the bitmaps, as :func:`_bit` has it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
@@ -111,8 +111,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield from held.flushed()
         yield from held.flushed()
 
-    parts = docs.select("lang", "text").mapInArrow(work, "lang string, word binary, a long, bit int")
-    return parts.groupBy("lang", "word").agg(F.sum("a").alias("a"), F.first("bit").alias("bit"))
+    parts = docs.select("lang", "text").mapInArrow(work, "lang string, word binary, a long")
+    bit = F.crc32(F.concat(F.encode("lang", "UTF-8"), F.col("word"))) % BITS
+    return parts.groupBy("lang", "word").agg(F.sum("a").alias("a")).withColumn("bit", bit.cast("int"))
 
 
 def bitmap(words: DataFrame, least: int) -> dict[int, bytes]:
@@ -182,15 +183,23 @@ def dealt(rows: np.ndarray, common: np.ndarray, hashes: np.ndarray, buckets: int
     return ((key ^ (key >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+
+
 def _narrow(a: np.ndarray) -> bytes:
-    """A byte for the size of the numbers, then the numbers, column by column."""
+    """A byte for the size of the numbers, then the numbers, column by column; packed."""
     kind = np.min_scalar_type(int(a.max(initial=0)))
-    return bytes((kind.itemsize,)) + np.asfortranarray(a.astype(kind)).tobytes("F")
+    return _packed(bytes((kind.itemsize,)) + a.astype(kind).tobytes("F"))
 
 
 def _wide(data: bytes, columns: int) -> np.ndarray:
-    a = np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-    return a.reshape(columns, -1).T
+    data = _unpacked(data)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32).reshape(columns, -1).T
 
 
 _BLOCK = "bucket int, lang string, words binary, suffixes binary, n binary"
@@ -219,11 +228,19 @@ def suffixes(docs: DataFrame, frequent: dict[int, bytes], common: dict[int, byte
                 order = np.argsort(bucket, kind="stable")
                 ends = np.flatnonzero(np.diff(bucket[order])) + 1
                 blocks = []
+                seen, place, rank = np.zeros(len(words.words), bool), np.zeros(len(words.words), np.int32), np.empty(len(words.words), np.int32)
+                rank[sorted(range(len(rank)), key=words.words.__getitem__)] = np.arange(len(rank))
                 for own in np.split(order, ends) if len(order) else ():
-                    used, numbers = np.unique(rows[own], return_inverse=True)
-                    if used[0]:  # 0 stays the end
-                        used, numbers = np.concatenate(([0], used)), numbers + 1
-                    blocks.append((int(bucket[own[0]]), lang.decode(), b"\0".join(words.words[k] for k in used[1:]), _narrow(numbers.reshape(-1, most)), _narrow(n[own])))
+                    mine = rows[own]
+                    seen[:] = False
+                    seen[mine] = True
+                    seen[0] = False
+                    used = np.flatnonzero(seen)
+                    # Numbers of the words in their own order, so that like words lie side by side; 0 stays the end.
+                    used = used[np.argsort(rank[used])]
+                    place[used] = np.arange(1, len(used) + 1)
+                    numbers = place[mine]
+                    blocks.append((int(bucket[own[0]]), lang.decode(), _packed(b"\0".join([words.words[k] for k in used.tolist()])), _narrow(numbers), _narrow(n[own])))
                 if blocks:
                     kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), kinds, strict=True)], names=["bucket", "lang", "words", "suffixes", "n"])
@@ -238,11 +255,11 @@ def suffixes(docs: DataFrame, frequent: dict[int, bytes], common: dict[int, byte
             for part in _parts(_lower(text)):
                 words = known.get(lang) or known.setdefault(lang, _Words(lang, may, is_common))
                 found = tokens(part)
-                streams.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                streams.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 held += len(found)
                 if held > SUFFIXES:
                     yield from flushed(lang)
-            streams[lang].append(np.zeros(1, np.int64))
+            streams[lang].append(np.zeros(1, np.int32))
         yield from flushed()
 
     return docs.select("lang", "text").mapInArrow(work, _BLOCK)
@@ -279,12 +296,12 @@ def prefix_counts(blocks: DataFrame, least: int, common: dict[int, bytes], most:
     """
 
     def counted(lang: str, blocks: list[tuple[bytes, bytes, bytes]], is_common: _Known) -> pa.RecordBatch:
-        lists = [b[0].split(b"\0") for b in blocks]
+        lists = [_unpacked(b[0]).split(b"\0") for b in blocks]
         # In reverse order, with the end after all words.
         words = sorted({w for x in lists for w in x}, reverse=True)
         number = {w: k for k, w in enumerate(words)}
-        rows = np.concatenate([np.array([len(words), *(number[w] for w in x)])[_wide(b[1], most)] for x, b in zip(lists, blocks, strict=True)])
-        rows, n = distinct(rows, np.concatenate([_wide(b[2], 1)[:, 0] for b in blocks]))
+        rows = np.concatenate([np.array([len(words), *(number[w] for w in x)], np.int32)[_wide(b[1], most)] for x, b in zip(lists, blocks, strict=True)])
+        rows, n = distinct(rows, np.concatenate([_wide(b[2], 1)[:, 0] for b in blocks]).astype(np.int64))
         very = np.array([*(is_common(lang.encode(), w) for w in words), False])
         found = stack_counts(rows, n, len(words), least, np.cumprod(very[rows], axis=1).sum(axis=1))
         names = [_plain(w) for w in words]
