@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -198,14 +199,72 @@ def test_main_text_of_other_layouts():
     assert extraction.extract(f"<body><div><p>{para}</p></div><!-- c --><style>p{{}}</style>") == para
 
 
-def test_main_text_leaves_out_weak_paths_of_an_article():
+def test_main_text_leaves_out_links_in_an_article():
     para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
     links = '<ul><li><a href="/x">Other story</a></li></ul>'
     for tag in ("article", "main", "div id=main"):
-        page = f"<body><{tag}><h1>Title</h1>{links}<p>{para}</p><p>{para}</p><div>Buy now</div><p>{para}</p><p>{para}</p>{links}</{tag.split()[0]}></body>"
+        page = f"<body><{tag}><h1>Title</h1>{links}<p>{para}</p><p>{para}</p><div><a href=/y>Buy now</a></div><p>{para}</p><p>{para}</p>{links}</{tag.split()[0]}></body>"
         assert extraction.extract(page) == " ".join(["Title", *[para.strip()] * 4])
 
 
+LONG_PARA = "A sentence of the article, with commas, that goes on for a while, as such sentences do. Another one follows it, and is as long. " * 2 + "So ends the paragraph, at last, after all that."
+SHORT = "One more paragraph of the article, not as long as others, in a part of its own. It has two sentences."
+
+
+@pytest.mark.parametrize(
+    "more, text",
+    [
+        ("<div>Final words.</div>", "Final words."),
+        ("<figure><img src=x></figure><div>Byline tail, last.</div>", "Byline tail, last."),
+        (f"<details><summary>More</summary><p>{SHORT}</p></details>", f"More {SHORT}"),
+        (f"<section><h2>S</h2><p>{SHORT}</p></section><div class=byline>By A. Writer, editor.</div>", f"S {SHORT} By A. Writer, editor."),
+        ("<dl><dt>Term</dt><dd>What it means.</dd></dl><table><tr><th>Year</th><td>1999</td></tr></table>", "Term What it means. Year 1999"),
+        (f'<div class="legal-history"><p>{SHORT}</p></div>', SHORT),
+        (f'<section class="search-results-analysis"><p>{SHORT}</p></section>', SHORT),
+        (f'<section id="history-of-social-advertising"><p>{SHORT}</p></section>', SHORT),
+        ("<pre>a  b</pre><blockquote>Said so.</blockquote>", "a b Said so."),
+        ("<ol><li>One</li><li>Two <a href=x>b</a></li></ol>", "One Two b"),
+        (f"<div><div><div><span>{SHORT}</span></div></div></div>", SHORT),
+        ("<h4>End</h4>loose text", "End loose text"),
+    ],
+)
+@pytest.mark.parametrize("n", [1, 3, 20])
+def test_main_text_keeps_all_of_an_article(more, text, n):
+    nav, foot = "<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<footer>Imprint, and so on.</footer><div class='cookie-banner'>We use cookies.</div>"
+    away = "<div class='comment-list'><p>I like it, very much, and said so at length, thanks.</p></div><div class=share-buttons>Share it now</div><ul class=related-posts><li><a href=/z>Other</a></li></ul><div class=ad-slot>Buy, buy.</div>"
+    page = f"<html><body>{nav}<article><h1>T</h1>{f'<p>{LONG_PARA}</p>' * n}{more}{away}</article>{away}{foot}</body></html>"
+    assert extraction.extract(page) == " ".join(["T", *[LONG_PARA] * n, text])
+
+
+def test_path_scores_equal_plain_ones():
+    page = f"<body><div><h1>T!</h1><p>{LONG_PARA}<p>{SHORT} <a href=x>linked, text</a><ul><li><a href=y>Y.</a></ul><section><p>{SHORT}</section></div><article><p>x, y.</article>"
+    found, paths, _ = extraction.blocks(page)
+    named = [(paths.text(p), bool(places), t, linked) for p, places, t, linked, _ in found]
+    assert [n[0] for n in named] == ["body/div/h1", "body/div/p", "body/div/p", "body/div/ul/li", "body/div/section/p", "body/article/p"]
+    mean = lambda p, f: sum(f(t) for q, _, t, _ in named if q == p) / sum(q == p for q, *_ in named)
+    marks = lambda t: sum(c in ".,;:!?" for c in t)
+    line = [(mean(p, len), 1 + mean(p, marks)) for p, *_ in named]
+    wide = [line[0], *line, line[-1]]
+    expected = {}
+    for k, (p, placed, _, _) in enumerate(named):
+        a, b = (math.sqrt(wide[k + 1][i] * (wide[k][i] / 4 + wide[k + 1][i] / 2 + wide[k + 2][i] / 4)) for i in (0, 1))
+        linked, chars = (sum(x[i] if i == 3 else len(x[2]) for x in named if x[0] == p) for i in (3, 2))
+        expected.setdefault(p, []).append(a * b * (1 - linked / chars) * (4 if placed else 1))
+    got = {paths.text(p): s for p, s in extraction.path_scores(found).items()}
+    assert got == pytest.approx({p: sum(v) / len(v) for p, v in expected.items()})
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<script >", "<!-- ", '<a "', "<", "<a '\"", '<a ">" ', "</", "<div>x", "<p x='", "&a", "<li>", "</b x", "<td><x-y>", "<style>", "<a<", "<p '>' \"", "<div class='a b' ", "<ul><li>x"])
+def test_pages_of_open_markup_are_read_in_linear_time(piece):
+    import time
+
+    page = "<article><p>Some text, at first.</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    extraction.extract(page)
+    sum(map(len, language._parts(page, True)))
+    assert time.process_time() - began < 12
+
+
 def test_main_text_keeps_content_beside_the_best_path():
     para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
     lead = "The lead, in its own words, is told here at first. " * 6
@@ -229,8 +288,9 @@ def test_main_text_in_wrappers_and_beside_other_articles():
 
 def test_threshold_decides():
     para = "A sentence of the article, with commas, that goes on for a while. Another one follows it. " * 3
-    page = f"<body><div><p>{para}</p><p>{para}</p><div>Some words, not many</div><p>{para}</p></div></body>"
-    assert "Some words" not in extraction.extract(page) and "Some words" in extraction.extract(page, threshold=0.0001)
+    page = f"<body><div><p>{para}</p><p>{para}</p></div><div><div><span>Some words</span></div></div><section><h6>Few</h6></section></body>"
+    assert extraction.extract(page) == f"{para.strip()} {para.strip()}"
+    assert "Few" in extraction.extract(page, threshold=1e-9)
 
 
 def brute_distance(p, t):

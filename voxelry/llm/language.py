@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.llm.joins import sized
+from voxelry.llm.markup import without_markup
 from voxelry.storage import cut
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -45,7 +46,7 @@ ACCEPT = 0.6
 #: Country suffixes with one of the languages.
 COUNTRIES = {"de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "fr": "fr"}
 
-_MARKUP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
+_REFERENCE = re.compile(rb"&#?\w{1,64};")
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -63,8 +64,8 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def _parts(text: str | None, markup: bool) -> Iterator[bytes]:
     """The text between two spaces, in parts that overlap by two bytes: their trigrams are the text's."""
-    data = (text or "").encode()
-    data = b" " + (_MARKUP.sub(b" ", data) if markup else data) + b" "
+    data = (" ".join(without_markup(text or "")) if markup else text or "").encode()
+    data = b" " + (_REFERENCE.sub(b" ", data) if markup else data) + b" "
     for at in range(0, len(data) - 2, _AT_ONCE):
         yield data[at : at + _AT_ONCE + 2]
 
