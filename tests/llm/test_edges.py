@@ -46,6 +46,28 @@ def test_licenses(docs):
     assert "slot" in scanned.columns and scanned.where("get(matches, 0).label = 'mit'").count() == 2
 
 
+def test_sister_licenses_are_told_apart(spark):
+    work = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = {
+        work.format(""): "cc-by",
+        work.format("-ShareAlike"): "cc-by-sa",
+        work.format("-NoDerivatives"): "cc-by-nd",
+        work.format("-NonCommercial"): "cc-by-nc",
+        work.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        work.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        "Licensed under CC-BY-SA 4.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl",
+        "Licensed under the GNU Affero General Public License, version 3": "agpl,gpl",
+        "Dual licence: released under the MIT license, or licensed under the Apache License, Version 2.0": "apache,mit",
+        "A work under no license at all, of the common kind": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.licenses(docs).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_base_phrases_touch_and_repeat(spark):
     df = spark.createDataFrame([(1, "CC by CC-by, all RIGHTS reserved General public license x"), (2, "xcc by éall rights reserved")], "doc_id long, text string")
     a, b = sorted(licenses.licenses(df).collect())

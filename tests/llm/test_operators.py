@@ -505,10 +505,11 @@ def test_rules_follow_labels(spark):
 
 
 def test_templates_meet_themselves(spark):
-    df = spark.createDataFrame([(k, "x " * 40 + t + " y" * 40) for k, (_, t, _) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, "x " * 40 + t + " y" * 40) for k, (_, t, *_) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
     got = {r.doc_id: r.labels.split(",") for r in licenses.licenses(df).collect()}
     assert all(label in got[k] for k, (label, *_) in enumerate(licenses.TEMPLATES))
-    assert all(set(must.split()) <= set(t.split()) for _, t, must in licenses.TEMPLATES)
+    assert all(set(must.split()) <= set(t.split()) for _, t, must, _ in licenses.TEMPLATES)
+    assert not any(set(absent.split()) & set(t.split()) for _, t, _, absent in licenses.TEMPLATES)
 
 
 def test_sister_licenses_do_not_meet(spark):

@@ -5,7 +5,8 @@ whole. A block meets a template if it holds at least the threshold's share of th
 words of all templates are ordered by the number of documents that hold them, rarest first, over the whole corpus;
 a block can meet a template only if it holds one of the template's first few words (prefix filter), has words enough
 (length filter) and has enough of them left from the first hit on (positional filter). What passes is counted in full,
-and must hold the words that name the template's license, so that no sister license is met by its common wording.
+and must hold the words that name the template's license, and none that name a sister of it, so that no license is met by
+the wording that it shares with others.
 The templates' index is a literal of fixed size, so the join needs no shuffle; the corpus counts are one aggregation
 over the templates' vocabulary.
 
@@ -25,27 +26,35 @@ from voxelry.llm.quality import bound
 #: Phrases and labels that are always reported.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: One label and the wording of each license notice that is looked for, and the words that name the
-#: license and so tell it from its sisters: a block without one of them does not meet the notice.
+#: One label and the wording of each license notice that is looked for; the words that name the license, and
+#: the words that name a sister: a block without one of the former, or with one of the latter, does not meet the notice.
 TEMPLATES = (
-    ("agpl", "licensed under the gnu affero general public license version 3", "affero"),
-    ("apache", "licensed under the apache license version 2 0", "apache"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution permitted"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived copyright"),
-    ("eupl", "licensed under the european union public licence version 1 2", "european public"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose is hereby granted", "permission granted"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission granted charge"),
-    ("mpl", "subject to the terms of the mozilla public license version 2 0", "mozilla"),
-    ("public-domain", "this is free and unencumbered software released into the public domain", "public domain"),
-    ("reserved", "all rights reserved", "reserved"),
+    ("agpl", "licensed under the gnu affero general public license version 3", "affero", ""),
+    ("apache", "licensed under the apache license version 2 0", "apache", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution permitted", ""),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution", "sharealike noderivatives noderivs noncommercial"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", "sa nd"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial", "sharealike noderivatives noderivs"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd", ""),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons noncommercial noderivatives", ""),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa", ""),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "creative commons noncommercial sharealike", ""),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd", "nc"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons noderivatives", "noncommercial"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa", "nc"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike", "noncommercial"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived copyright", ""),
+    ("eupl", "licensed under the european union public licence version 1 2", "european public", ""),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license", "affero lesser"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license", "general public license", "affero lesser"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose is hereby granted", "permission granted", ""),
+    ("lgpl", "licensed under the gnu lesser general public license version 3", "lesser general public license", ""),
+    ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license", ""),
+    ("mit", "released under the mit license", "mit license", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission granted charge", ""),
+    ("mpl", "subject to the terms of the mozilla public license version 2 0", "mozilla", ""),
+    ("public-domain", "this is free and unencumbered software released into the public domain", "public domain", ""),
+    ("reserved", "all rights reserved", "reserved", ""),
 )
 THRESHOLD = 0.8
 STRIDE = 32
@@ -60,7 +69,7 @@ def spaced(text: Column) -> Column:
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, t, _ in templates for w in t.split()})
+    return sorted({w for _, t, _, absent in templates for w in f"{t} {absent}".split()})
 
 
 def word_ranks(words: DataFrame, templates=TEMPLATES) -> dict[str, int]:
@@ -76,8 +85,9 @@ def word_ranks(words: DataFrame, templates=TEMPLATES) -> dict[str, int]:
 
 def template_matches(words: Column, ranks: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """Every (label, block, containment) of a document's words that meets the threshold, as an array."""
-    sets = [sorted({ranks[w] for w in t.split()}) for _, t, _ in templates]
-    names = F.array(*(F.array(*(F.lit(ranks[w]) for w in must.split())) for *_, must in templates))
+    sets = [sorted({ranks[w] for w in t.split()}) for _, t, *_ in templates]
+    words_of = lambda texts: F.array(*(F.array(*(F.lit(ranks[w]) for w in t.split())).cast("array<int>") for t in texts))
+    names, sisters = words_of(must for *_, must, _ in templates), words_of(absent for *_, absent in templates)
     need = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
     entries: list[list[tuple[int, int]]] = [[] for _ in ranks]
     for k, s in enumerate(sets):
@@ -99,7 +109,7 @@ def template_matches(words: Column, ranks: dict[str, int], templates=TEMPLATES,
 
             candidates = F.array_distinct(F.flatten(F.transform(held, may)))
             overlap = lambda k: F.size(F.array_intersect(held, F.get(of_template, k)))
-            return F.transform(F.filter(candidates, lambda k: (overlap(k) >= F.get(needs, k)) & (F.size(F.array_except(F.get(names, k), held)) == 0)), lambda k: F.struct(F.get(labels, k).alias("label"), (overlap(k) / F.get(sizes, k)).alias("containment")))
+            return F.transform(F.filter(candidates, lambda k: (overlap(k) >= F.get(needs, k)) & (F.size(F.array_except(F.get(names, k), held)) == 0) & ~F.arrays_overlap(F.get(sisters, k), held)), lambda k: F.struct(F.get(labels, k).alias("label"), (overlap(k) / F.get(sizes, k)).alias("containment")))
 
         return bound(F.sort_array(F.transform(F.array_intersect(block, known), lambda w: (F.array_position(known, w) - 1).cast("int"))), met)
 
@@ -154,14 +164,14 @@ def licenses(docs: DataFrame) -> DataFrame:
 
 #: DuckDB's SQL for :func:`licenses`: every block against every template.
 ORACLE_SQL = rf"""
-with t(k, label, ws, must) as (values {", ".join(f"({k}, '{lb}', list_distinct(string_split('{t}', ' ')), string_split('{must}', ' '))" for k, (lb, t, must) in enumerate(TEMPLATES))}),
+with t(k, label, ws, must, sister) as (values {", ".join(f"({k}, '{lb}', list_distinct(string_split('{t}', ' ')), string_split('{must}', ' '), string_split('{sister}', ' '))" for k, (lb, t, must, sister) in enumerate(TEMPLATES))}),
 b(label, phrase) as (values {", ".join(f"('{lb}', string_split('{p}', ' '))" for p, lb in BASE)}),
 d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
 place as (select r, ws, unnest(range(0, len(ws))) p from d),
 base as (select r, p, label from place join b on ws[p + 1:p + len(phrase)] = phrase),
 bases as (select r, count(*) n, min(p) lo, max(p) hi, list_sort(list_distinct(list(label))) ls from base group by r),
 block as (select r, ws[s + 1:s + {2 * STRIDE}] bw from (select r, ws, unnest(range(0, len(ws), {STRIDE})) s from d)),
-met as (select r, label, len(list_intersect(t.ws, list_distinct(bw))) / len(t.ws) c from block join t on len(list_intersect(t.ws, list_distinct(bw))) >= ceil({THRESHOLD} * len(t.ws) - 1e-9) and list_has_all(bw, t.must)),
+met as (select r, label, len(list_intersect(t.ws, list_distinct(bw))) / len(t.ws) c from block join t on len(list_intersect(t.ws, list_distinct(bw))) >= ceil({THRESHOLD} * len(t.ws) - 1e-9) and list_has_all(bw, t.must) and not list_has_any(bw, t.sister)),
 mets as (select r, count(*) n, max(c) c, list(label) ls from met group by r)
 select doc_id, len(d.ws)::bigint n_words, coalesce(bases.n, 0)::bigint n_base, lo::bigint first_word, hi::bigint last_word,
  coalesce(array_to_string(bases.ls, ','), '') base_labels,
