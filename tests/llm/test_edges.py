@@ -113,10 +113,19 @@ def test_preferences(spark):
     assert (got[8].chosen, got[8].rejected) == ("<|assistant|>\ngood\n", "<|assistant|>\nbad\n") and (got[8].chosen_mask, got[8].rejected_mask) == ("14:18", "14:17")
     assert (got[9].prompt, got[9].chosen, got[9].rejected) == ("<|user|>\nq2\n", "<|assistant|>\nbad\n", "<|assistant|>\ngood\n")
     assert got[10].status == "no rejected side" and len(got[10].chosen) == len(LONG) + 15 and got[11].status == got[12].status == "no chosen side"
-    assert got[14].prompt == "<|assistant|>\none\n<|assistant|>\ntwo\n" and got[14].chosen == got[14].rejected == ""  # turns that share a number follow by text
+    # Turns that share a number follow by text; 14 parts at its first of two answers, the second agrees with the neighbour's.
+    assert (got[14].prompt, got[14].chosen, got[14].rejected) == ("", "<|assistant|>\none\n<|assistant|>\ntwo\n", "<|assistant|>\ntwo\n" * 2)
+    assert got[15].prompt == "<|assistant|>\ntwo\n" and got[15].chosen == got[15].rejected == ""
     assert preferences.preference_pairs(df.limit(0)).count() == 0
 
 
+def test_sides_part_anywhere(spark, sf):
+    """At other answers than the last, with several answers after."""
+    got = [r for r in preferences.preference_pairs(spark.read.parquet(f"{sf}/conversations.parquet")).collect() if r.status == "pair"]
+    after = [r.chosen.count("<|assistant|>") for r in got]
+    assert len({r.prompt_turns for r in got}) > 2 and max(after) > 1 and all(r.chosen_mask.count(":") == n for r, n in zip(got, after, strict=True))
+
+
 def test_equal_conversations_are_all_prompt(spark):
     df = spark.createDataFrame([(c, t, "user", f"t{t}") for c in (0, 1) for t in range(3)], "conv_id long, turn long, role string, text string")
     r = by_halves(df).first()

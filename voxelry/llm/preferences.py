@@ -72,11 +72,12 @@ def format_sides(pairs: DataFrame) -> DataFrame:
 
 
 def preference_pairs(conversations: DataFrame) -> DataFrame:
-    """A pair for each conversation, ``pair_id`` its id: its own last answer is chosen, its neighbour's rejected.
+    """A pair for each conversation, ``pair_id`` its id: its own answers are chosen, its neighbour's rejected from some turn on.
 
-    The chosen side is the conversation up to its last answer (the last turn of the assistant); the rejected side is
-    the same with the text of the last answer of conversation 2 k + 1 for 2 k, and the other way round. Without an
-    answer of its own a conversation has no chosen side, without one of its neighbour no rejected side.
+    The chosen side is the conversation up to its last answer (the last turn of the assistant). The rejected side is the same
+    with the text of the last answer of the neighbour (2 k + 1 for 2 k, and the other way round) in place of each answer
+    from the one of number id mod n on, of n answers from 0. So sides part anywhere, or not at all where texts agree. Without
+    an answer of its own a conversation has no chosen side, without one of its neighbour no rejected side.
     """
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     mine = lambda odd: _in_order(F.collect_list(F.when(F.pmod("conv_id", F.lit(2)) == odd, _turn())))
@@ -93,9 +94,11 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
 
     def sides(mine: str, other: str, odd: int) -> Column:
         a, b = F.col(mine), F.col(other)
-        last = F.get(a, F.size(a) - 1)
-        worse = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.get(b, F.size(b) - 1)["text"].alias("text"))
-        rejected = F.when(F.size(b) == 0, none).when(F.size(a) == 0, b).otherwise(F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(worse)))
+        answers = F.filter(F.transform(a, lambda x, k: F.when(x["role"] == TRAINED_ROLE, k)), lambda k: k.isNotNull())
+        parting = F.get(answers, F.pmod(F.col("half") * 2 + odd, F.greatest(F.size(answers), F.lit(1))).cast("int"))
+        answer = F.get(b, F.size(b) - 1)["text"]
+        worse = lambda x, k: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), F.when((x["role"] == TRAINED_ROLE) & (k >= parting), answer).otherwise(x["text"]).alias("text"))
+        rejected = F.when(F.size(b) == 0, none).when(F.size(a) == 0, b).otherwise(F.transform(a, worse))
         return F.when(F.col(f"is_{mine}"), F.struct((F.col("half") * 2 + odd).alias("pair_id"), a.alias("chosen"), rejected.alias("rejected")))
 
     pairs = cut.select(F.explode(F.array(sides("even", "odd", 0), sides("odd", "even", 1))).alias("p")).where("p is not null").select("p.*")
@@ -110,7 +113,9 @@ z as (select conv_id, coalesce(max(k) filter (where role = '{TRAINED_ROLE}'), 0)
 e as (select o.conv_id, o.text as answer from o join z on o.conv_id = z.conv_id and k = last),
 chosen as (select o.conv_id as pair_id, k, role, text from o join z on o.conv_id = z.conv_id where k <= last),
 near as (select z.conv_id, z.last, e.answer, y.last as other from z left join e on e.conv_id = xor(z.conv_id, 1) left join z y on y.conv_id = xor(z.conv_id, 1)),
-rejected as (select o.conv_id as pair_id, k, role, case when k = last then answer else text end as text from o join near on o.conv_id = near.conv_id where k <= last and answer is not null
+answers as (select conv_id, k, row_number() over (partition by conv_id order by k) - 1 as number, count(*) over (partition by conv_id) as n from o where role = '{TRAINED_ROLE}'),
+parting as (select conv_id, k as parting from answers where number = (conv_id % n + n) % n),
+rejected as (select o.conv_id as pair_id, k, role, case when role = '{TRAINED_ROLE}' and k >= parting then answer else text end as text from o join near on o.conv_id = near.conv_id join parting on o.conv_id = parting.conv_id where k <= last and answer is not null
   union all select near.conv_id, k, role, text from near join o on o.conv_id = xor(near.conv_id, 1) where near.last = 0 and k <= other),
 r as (select pair_id, 0 as side, k, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) as line from chosen
   union all select pair_id, 1, k, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) from rejected),
