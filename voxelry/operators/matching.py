@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -182,7 +181,3 @@ def _log_densities(x: np.ndarray, means: np.ndarray, var: np.ndarray, weights: n
 def class_averages(cells: DataFrame, classes: DataFrame) -> DataFrame:
     """``class, i, j`` and the mean value of the boxes of the class."""
     return cells.join(classes, "idx").groupBy("class", "i", "j").agg(F.avg("value").alias("mean"))
-
-
-def grid_places(shape: tuple[int, ...]) -> list[tuple[int, ...]]:
-    return list(itertools.product(*map(range, shape)))

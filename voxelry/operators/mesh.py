@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.operators.points import ZYX, in_hull
+from voxelry.operators.points import ZYX
 
 COLUMNS = list(ZYX)
 
@@ -253,7 +253,3 @@ def refine_surface(points: DataFrame, sigma_normal: float, sigma_mesh: float, si
 
     out = points.select(by, *COLUMNS).groupBy(by).applyInPandas(one, f"{by} {kind}, z int, y int, x int")
     return out.join(bound.select(*COLUMNS).distinct(), COLUMNS, "left_semi") if bound is not None else out
-
-
-def within(points: DataFrame, facets: list[tuple[float, float, float, float]]) -> DataFrame:
-    return in_hull(points, facets)
