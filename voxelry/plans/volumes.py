@@ -132,12 +132,12 @@ def nearest_place(spark, sf_dir):
     return nearest.nearest_place(spark.sql(_VOL_PLACES), (fx.NY, fx.NX), ("vol", "z"))
 
 
-LEVEL = 300.5
+LEVEL = 300.37
 #: Cells with their corners in turn; a line enters over a side where high turns to low, and leaves where low turns to high.
 _SEGMENTS = f"""d as materialized ({_DENSE}),
-cell as materialized (select a.vol, a.z, a.y, a.x, [a.v, b.v, c.v, e.v] v, (a.v + b.v + c.v + e.v) / 4.0e0 > {LEVEL} middle from d a join d b on b.vol = a.vol and b.z = a.z and b.y = a.y and b.x = a.x + 1
+cell as materialized (select a.vol, a.z, a.y, a.x, [a.v, b.v, c.v, e.v] v, (a.v + b.v + c.v + e.v) / 4.0e0 > {LEVEL}e0 middle from d a join d b on b.vol = a.vol and b.z = a.z and b.y = a.y and b.x = a.x + 1
   join d c on c.vol = a.vol and c.z = a.z and c.y = a.y + 1 and c.x = a.x + 1 join d e on e.vol = a.vol and e.z = a.z and e.y = a.y + 1 and e.x = a.x),
-side as materialized (select vol, z, y, x, middle, k, v[k + 1] > {LEVEL} h0, v[(k + 1) % 4 + 1] > {LEVEL} h1, ({LEVEL} - v[k + 1]) / (v[(k + 1) % 4 + 1] - v[k + 1]) t from cell, (select unnest(range(0, 4)) k) where (v[k + 1] > {LEVEL}) <> (v[(k + 1) % 4 + 1] > {LEVEL})),
+side as materialized (select vol, z, y, x, middle, k, v[k + 1] > {LEVEL}e0 h0, v[(k + 1) % 4 + 1] > {LEVEL}e0 h1, ({LEVEL}e0 - v[k + 1]) / (v[(k + 1) % 4 + 1] - v[k + 1]) t from cell, (select unnest(range(0, 4)) k) where (v[k + 1] > {LEVEL}e0) <> (v[(k + 1) % 4 + 1] > {LEVEL}e0)),
 place as (select *, count(*) over (partition by vol, z, y, x) n, {{'y': y + (k = 2)::int, 'x': x + (k = 1)::int, 'down': (k % 2)::int}} s, y + case k when 0 then 0 when 1 then t when 2 then 1 else 1 - t end py, x + case k when 0 then t when 1 then 1 when 2 then 1 - t else 0 end px from side),
 seg as materialized (select a.vol, a.z, a.s a, b.s b, a.py ay, a.px ax, b.py bty, b.px btx from place a join place b on a.vol = b.vol and a.z = b.z and a.y = b.y and a.x = b.x and a.h0 and b.h1 and (a.n = 2 or b.k = (a.k + case when a.middle then 1 else 3 end) % 4))"""
 
