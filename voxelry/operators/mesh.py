@@ -68,7 +68,15 @@ def point_normals(p: np.ndarray, r: float, ref: np.ndarray | None = None, neighb
 
 
 def hull_facets(p: np.ndarray, eps: float = 1e-9) -> np.ndarray:
-    """Outward planes (az, ay, ax, b) of the convex hull, points inside where a p + b <= 0; by adding points one by one."""
+    """Outward planes (az, ay, ax, b) of the convex hull, points inside where a p + b <= 0."""
+    return _hull(p, eps)[0]
+
+
+def _hull(p: np.ndarray, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """The hull's planes and the corners they were drawn through; by adding the furthest point outside, one by one.
+
+    A point inside once is so for good, so few are left to look at after a few steps.
+    """
     p = np.unique(np.asarray(p, float), axis=0)
     scale = float(np.ptp(p, axis=0).max()) if len(p) else 0.0
     tol = eps * max(scale, 1.0)
@@ -99,11 +107,17 @@ def hull_facets(p: np.ndarray, eps: float = 1e-9) -> np.ndarray:
         return (t, n, b) if n @ inside + b < 0 else ((t[0], t[2], t[1]), -n, -b)
 
     facets = [facet(t) for t in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)) for t in [tuple(first[i] for i in t)]]
-    for k in range(len(p)):
-        planes = np.array([[*n, b] for _, n, b in facets])
-        seen = planes[:, :3] @ p[k] + planes[:, 3] > tol
-        if not seen.any():
-            continue
+    planes = np.array([[*n, b] for _, n, b in facets])
+    rest = np.arange(len(p))
+    while True:
+        above = p[rest] @ planes[:, :3].T + planes[:, 3]
+        top = above.max(axis=1, initial=-np.inf)
+        if not (top > tol).any():
+            break
+        far = int(top.argmax())
+        k, seen = int(rest[far]), above[far] > tol
+        top[far] = -np.inf
+        rest = rest[top > tol]
         edges: dict[tuple[int, int], int] = {}
         for (t, _, _), s in zip(facets, seen, strict=True):
             if s:
@@ -114,7 +128,8 @@ def hull_facets(p: np.ndarray, eps: float = 1e-9) -> np.ndarray:
         for e in rim:
             if np.linalg.norm(np.cross(p[e[1]] - p[e[0]], p[k] - p[e[0]])) > tol * tol:
                 facets.append(facet((*e, k)))
-    return np.array([[*n, b] for _, n, b in facets])
+        planes = np.array([[*n, b] for _, n, b in facets])
+    return planes, p[sorted({i for t, _, _ in facets for i in t})]
 
 
 def convex_hull(points: DataFrame, sigma: float = 0.0, limit: int = 200_000) -> list[tuple[float, float, float, float]]:
@@ -131,18 +146,14 @@ def convex_hull(points: DataFrame, sigma: float = 0.0, limit: int = 200_000) ->
     def corners(batches):
         kept = np.empty((0, 3))
         for pdf in batches:
-            kept = np.concatenate([kept, pdf[COLUMNS].to_numpy(float)])
+            kept = np.unique(np.concatenate([kept, pdf[COLUMNS].to_numpy(float)]), axis=0)
             try:
-                f = hull_facets(kept)
-                on = np.zeros(len(kept), bool)
-                for a in f:
-                    on |= np.abs(kept @ a[:3] + a[3]) < 1e-7
-                kept = kept[on]
+                kept = _hull(kept)[1]
             except ValueError:
                 pass
         yield pd.DataFrame(kept, columns=COLUMNS)
 
-    got = moved.mapInPandas(corners, "z double, y double, x double").limit(limit + 1).toPandas().to_numpy(float)
+    got = moved.dropna().distinct().mapInPandas(corners, "z double, y double, x double").limit(limit + 1).toPandas().to_numpy(float)
     if len(got) > limit:
         raise ValueError("the cloud has too many corners for one hull")
     return [tuple(float(v) for v in f) for f in hull_facets(got)]

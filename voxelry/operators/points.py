@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,10 +71,17 @@ def normals_tangent(points: DataFrame) -> DataFrame:
 
 
 def in_hull(points: DataFrame, facets: list[tuple[float, float, float, float]], eps: float = 1e-9) -> DataFrame:
-    """Points on the inner side of all facets (az, ay, ax, b); facets are a parameter and become one condition."""
-    for az, ay, ax, b in facets:
-        points = points.where(az * F.col("z") + ay * F.col("y") + ax * F.col("x") + b < eps)
-    return points
+    """Points on the inner side of all facets (az, ay, ax, b); facets are a parameter, tried in one pass over the rows."""
+
+    @F.pandas_udf("boolean")
+    def inside(z: pd.Series, y: pd.Series, x: pd.Series) -> pd.Series:
+        z, y, x = (c.to_numpy(float) for c in (z, y, x))
+        ok = np.ones(len(z), bool)
+        for az, ay, ax, b in facets:
+            ok &= az * z + ay * y + ax * x + b < eps
+        return pd.Series(ok)
+
+    return points.where(inside(*(F.col(c).cast("double") for c in ZYX)))
 
 
 def sort_clouds_by_ref(points: DataFrame, ref: tuple[float, float, float], cloud: str = "cloud") -> DataFrame:
@@ -102,8 +111,6 @@ def covariance(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def reference_point(points: DataFrame, dist: float | None = None) -> tuple[float, float, float]:
     """A point beside the cloud: its centre plus ``dist`` (by default the size of its box) times PC1 x z."""
-    import numpy as np
-
     r = covariance(points).join(points.agg(*(F.max(c) - F.min(c) for c in ZYX)).toDF("rz", "ry", "rx")).first()
     m = np.array([[r[f"c{min(a, b, key=ZYX.index)}{max(a, b, key=ZYX.index)}"] for b in ZYX] for a in ZYX])
     pc1 = np.linalg.eigh(m)[1][:, -1]
