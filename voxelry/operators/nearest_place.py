@@ -1,59 +1,93 @@
 """The nearest of given places for every place of an image, at any distance.
 
 Squared distances are separable: along each column the places are shared out among its own, then along each row among the
-columns' values. Both steps are lower envelopes of parabolas, folded over an array in order, in whole numbers: an element
-keeps the range of places where it is least, a new one cuts those before it. An image's line is one array of at most as
-many elements as it has places.
+columns' values. Both steps are lower envelopes of parabolas, in whole numbers: an element keeps the range of places where
+it is least, a new one cuts those before it. An image's line is one row with an array of at most as many elements as it has
+places; a task takes the lines of a batch of rows in step, element by element.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.operators.image import SLICE
 
-
-def _least_from(a: Column, b: Column) -> Column:
-    """The first place from which b (further on) is nearer than a; on equal distance, the smaller ``idx`` is."""
-    rise = b["g"] + b["at"] * b["at"] - a["g"] - a["at"] * a["at"]
-    step = 2 * (b["at"] - a["at"])
-    # Floor division, also of negative numbers.
-    whole = F.floor((rise - F.pmod(rise, step)) / step)
-    exact = (F.pmod(rise, step) == 0) & (b["idx"] < a["idx"])
-    return F.when(exact, whole).otherwise(whole + 1).cast("long")
+#: Places of the lines that a task works on at once.
+AT_ONCE = 1 << 19
 
 
-def envelope(parabolas: Column, n: int) -> Column:
-    """Of parabolas (``at, g, idx``) in order of ``at``, those least somewhere on [0, n), with ``low`` and ``high`` (not included)."""
-    element = lambda p, low: F.struct(p["at"].alias("at"), p["g"].alias("g"), p["idx"].alias("idx"), low.cast("long").alias("low"))
+def _least_from(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The first place from which b (``at, g, idx``, further on) is nearer than a; on equal distance, the smaller ``idx`` is."""
+    rise = b[1] + b[0] * b[0] - a[1] - a[0] * a[0]
+    step = 2 * (b[0] - a[0])
+    whole, rest = np.divmod(rise, step)
+    return np.where((rest == 0) & (b[2] < a[2]), whole, whole + 1)
 
-    def add(held: Column, p: Column) -> Column:
-        kept = F.filter(held, lambda e: _least_from(e, p) > e["low"])
-        low = F.when(F.size(kept) == 0, F.lit(0)).otherwise(_least_from(F.element_at(kept, -1), p))
-        return F.when(low < n, F.concat(kept, F.array(element(p, low)))).otherwise(kept)
 
-    first = F.slice(F.transform(parabolas, lambda p: element(p, F.lit(0))), 1, 0)
-    found = F.aggregate(parabolas, first, add)
-    return F.transform(found, lambda e, k: F.struct(e["at"].alias("at"), e["g"].alias("g"), e["idx"].alias("idx"), e["low"].alias("low"), F.coalesce(F.get(found, k + 1)["low"], F.lit(n)).alias("high")))
+def envelopes(at: np.ndarray, g: np.ndarray, idx: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each line (a row, its first ``counts`` parabolas in order of ``at``) the parabola that is least at 0, 1, ..., n - 1."""
+    lines, most = at.shape
+    held, low = np.zeros((lines, most), np.int64), np.zeros((lines, most), np.int64)
+    size = np.zeros(lines, np.int64)
+    for j in range(most):
+        rows = np.flatnonzero(counts > j)
+        while len(rows):
+            top = size[rows] - 1
+            e = held[rows, top]
+            begin = _least_from((at[rows, e], g[rows, e], idx[rows, e]), (at[rows, j], g[rows, j], idx[rows, j])) if j else np.zeros(len(rows), np.int64)
+            begin[top < 0] = 0
+            gone = (top >= 0) & (begin <= low[rows, top])
+            new = rows[~gone & (begin < n)]
+            held[new, size[new]], low[new, size[new]] = j, begin[~gone & (begin < n)]
+            size[new] += 1
+            rows = rows[gone]
+            size[rows] -= 1
+    first = np.zeros((lines, n), np.int64)
+    line, k = np.nonzero(np.arange(most) < size[:, None])
+    first[line, low[line, k]] = k
+    return held[np.arange(lines)[:, None], np.maximum.accumulate(first, axis=1)]
 
 
 def nearest_place(places: DataFrame, shape: tuple[int, int], by: tuple[str, ...] = SLICE) -> DataFrame:
     """``by, y, x, idx, d2``: for every place of an image of ``shape`` the nearest of ``by, idx, y, x``; ties go to the smallest ``idx``.
 
-    Places may lie anywhere in the image; a slice without any gives no rows.
+    Places may lie anywhere in the image; a slice without any gives no rows. ``idx`` is a whole number.
     """
+    kind = places.schema["idx"].dataType.simpleString()
 
     def along(points: DataFrame, line: str, axis: str, n: int) -> DataFrame:
-        """Each line's places with the element that is least there."""
-        # Of elements at one place only the least can count.
-        best = points.groupBy(*by, line, axis).agg(F.min(F.struct("g", "idx")).alias("b"))
-        lines = best.groupBy(*by, line).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).cast("long").alias("at"), F.col("b.g").alias("g"), F.col("b.idx").alias("idx")))).alias("p"))
-        parts = lines.select(*by, line, F.explode(envelope(F.col("p"), n)).alias("e"))
-        cells = parts.select(*by, line, "e", F.explode(F.sequence("e.low", F.col("e.high") - 1)).alias("k"))
-        return cells.select(*by, line, F.col("k").cast("int").alias(axis), F.col("e.idx").alias("idx"), (F.col("e.g") + (F.col("k") - F.col("e.at")) * (F.col("k") - F.col("e.at"))).alias("g"))
-
-    seeds = places.select(*by, "idx", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(0).cast("long").alias("g"))
-    columns = along(seeds, "x", "y", shape[0])
-    rows = along(columns, "y", "x", shape[1])
-    return rows.select(*by, "y", "x", "idx", F.col("g").alias("d2"))
+        """Each line's places with the element that is least there; a line has one element at a place."""
+        lines = points.groupBy(*by, line).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).cast("long").alias("at"), "g", F.col("idx").cast("long").alias("idx")))).alias("p"))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts = np.diff(batch.column("p").offsets.to_numpy())
+                step = max(1, AT_ONCE // max(n, int(counts.max(initial=1))))
+                for k in range(0, batch.num_rows, step):
+                    part = batch.slice(k, step)
+                    m, flat = counts[k : k + step], part.column("p").flatten()
+                    filled = np.arange(m.max()) < m[:, None]
+                    at, g, idx = (np.zeros(filled.shape, np.int64) for _ in range(3))
+                    for a, c in ((at, "at"), (g, "g"), (idx, "idx")):
+                        a[filled] = flat.field(c).to_numpy()
+                    best = envelopes(at, g, idx, m, n)
+                    row = np.arange(len(m))[:, None]
+                    place = np.arange(n, dtype=np.int64)
+                    d2 = g[row, best] + (place - at[row, best]) ** 2
+                    every = pa.array(np.repeat(np.arange(len(m)), n))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c).take(every) for c in (*by, line)), pa.array(np.tile(place.astype(np.int32), len(m))), pa.array(idx[row, best].ravel()), pa.array(d2.ravel())], names=[*by, line, axis, "idx", "g"]
+                    )
+
+        keys = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
+        return lines.mapInArrow(work, f"{keys}{', ' if by else ''}{line} int, {axis} int, idx long, g long")
+
+    # Of places that are the same only the least can count.
+    seeds = places.select(*by, "idx", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).groupBy(*by, "x", "y").agg(F.min("idx").alias("idx")).withColumn("g", F.lit(0).cast("long"))
+    rows = along(along(seeds, "x", "y", shape[0]), "y", "x", shape[1])
+    return rows.select(*by, "y", "x", F.col("idx").cast(kind).alias("idx"), F.col("g").alias("d2"))
