@@ -133,6 +133,13 @@ def nearest_place(spark, sf_dir):
 
 
 LEVEL = 300.37
+
+
+def _millionths(df, *columns: str):
+    """Columns rounded to six digits as DuckDB does it: of the product, not of the decimal digits, which differ where those end in 5."""
+    return df.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 + F.lit(0.0) for c in columns})
+
+
 #: Cells with their corners in turn; a line enters over a side where high turns to low, and leaves where low turns to high.
 _SEGMENTS = f"""d as materialized ({_DENSE}),
 cell as materialized (select a.vol, a.z, a.y, a.x, [a.v, b.v, c.v, e.v] v, (a.v + b.v + c.v + e.v) / 4.0e0 > {LEVEL}e0 middle from d a join d b on b.vol = a.vol and b.z = a.z and b.y = a.y and b.x = a.x + 1
@@ -146,7 +153,7 @@ seg as materialized (select a.vol, a.z, a.s a, b.s b, a.py ay, a.px ax, b.py bty
 def iso_segments(spark, sf_dir):
     s = isolines.segments(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"))
     s = s.select("vol", "z", F.col("a.y").alias("sy"), F.col("a.x").alias("sx"), F.col("a.down").alias("down"), "ay", "ax", F.col("by_").alias("bty"), F.col("bx").alias("btx"))
-    return rounded(s, 6, "ay", "ax", "bty", "btx")
+    return _millionths(s, "ay", "ax", "bty", "btx")
 
 
 @query(f"""with recursive {_SEGMENTS},
@@ -162,4 +169,4 @@ walk(vol, z, low, closed, s, place) as (select vol, z, low, closed, s, 0::bigint
 select w.vol, w.z, w.low.y sy, w.low.x sx, w.low.down down, w.place, w.closed, size.n, {r('node.y', 6)} y, {r('node.x', 6)} x from walk w join size using (vol, z, low) join node on node.vol = w.vol and node.z = w.z and node.a = w.s""")
 def iso_lines(spark, sf_dir):
     found = isolines.iso_lines(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"))
-    return rounded(found.select("vol", "z", F.col("line.y").alias("sy"), F.col("line.x").alias("sx"), F.col("line.down").alias("down"), "place", "closed", "n", "y", "x"), 6, "y", "x")
+    return _millionths(found.select("vol", "z", F.col("line.y").alias("sy"), F.col("line.x").alias("sx"), F.col("line.down").alias("down"), "place", "closed", "n", "y", "x"), "y", "x")
