@@ -82,6 +82,8 @@ def mrc_source(spark, sf_dir):
     mrc_source_.register(spark)
     path = new_folder(spark)
     voxels = fx.vol_vox(spark, sf_dir).select("vol", "z", "y", "x", F.expr("v div 10000").alias("v"))
+    # A volume's rows in one run of one task: few writes of long stretches.
+    voxels = voxels.repartition("vol").sortWithinPartitions("vol", "z", "y", "x")
     voxels.write.format("mrc").option("shape", f"8,{fx.NY},{fx.NX}").option("pixel", "2.5").mode("overwrite").save(path)
     box = mrc_source_.read_volumes(spark, path).where("z between 3 and 5 and y < 20 and x >= 40")
     return box.withColumn("vol", F.regexp_extract("vol", r"(\d+)\.mrc$", 1).cast("int"))

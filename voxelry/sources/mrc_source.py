@@ -161,23 +161,29 @@ class MrcWriter(DataSourceArrowWriter):
         by: dict[str | None, list] = {}
         size = self.kind.itemsize
         for batch in iterator:
-            vols = [None] * batch.num_rows if "vol" not in self.columns else batch.column(self.columns.index("vol")).cast(pa.string()).to_pylist()
             z, y, x = (batch.column(self.columns.index(c)).to_numpy(zero_copy_only=False) for c in AXES)
             v = batch.column(self.columns.index("v")).to_numpy(zero_copy_only=False).astype(self.kind)
-            names = np.array(vols, object)
-            for vol in dict.fromkeys(vols):
-                own = (names == vol if vol is not None else np.ones(len(v), bool)) & (z >= 0) & (z < nz) & (y >= 0) & (y < ny) & (x >= 0) & (x < nx)
-                place = ((z[own].astype(np.int64) * ny + y[own]) * nx + x[own])
-                order = np.argsort(place, kind="stable")
-                place, value = place[order], v[own][order]
-                if not len(place):
-                    continue
+            inside = (z >= 0) & (z < nz) & (y >= 0) & (y < ny) & (x >= 0) & (x < nx)
+            place = (z.astype(np.int64) * ny + y) * nx + x
+            if "vol" in self.columns:
+                coded = batch.column(self.columns.index("vol")).cast(pa.string()).dictionary_encode()
+                names, code = coded.dictionary.to_pylist(), coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+                names.append(None)
+            else:
+                names, code = [None], np.zeros(batch.num_rows, np.int64)
+            # By volume and place, so that a volume's rows are one range, however many volumes a batch has.
+            rows = np.flatnonzero(inside)
+            rows = rows[np.lexsort((place[rows], code[rows]))]
+            starts = np.flatnonzero(np.diff(code[rows], prepend=-1))
+            for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+                vol, own = names[code[rows[first]]], rows[first:last]
+                place_of, value = place[own], v[own]
                 os.makedirs(os.path.dirname(self.waiting(vol)) or ".", exist_ok=True)
                 handle = os.open(self.waiting(vol), os.O_WRONLY | os.O_CREAT)
                 try:
-                    ends = np.flatnonzero(np.diff(place) != 1) + 1
-                    for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(place)], strict=True):
-                        os.pwrite(handle, value[a:b].tobytes(), HEADER + int(place[a]) * size)
+                    ends = np.flatnonzero(np.diff(place_of) != 1) + 1
+                    for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(place_of)], strict=True):
+                        os.pwrite(handle, value[a:b].tobytes(), HEADER + int(place_of[a]) * size)
                 finally:
                     os.close(handle)
                 real = np.abs(value).astype(float) if self.kind.kind == "c" else value.astype(float)
