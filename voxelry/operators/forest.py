@@ -32,13 +32,63 @@ def _followed(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
+#: Edges that a task gathers before it looks which of them can be in a forest.
+GATHERED = 1 << 18
+
+
+def _least(e: np.ndarray) -> np.ndarray:
+    """Of edges ``a, b, sign, w`` (a record array), those of their own least forest."""
+    order = np.lexsort((e["sign"], e["b"], e["a"], e["w"]))
+    names, ends = np.unique(np.concatenate([e["a"][order], e["b"][order]]), return_inverse=True)
+    root, kept = list(range(len(names))), []
+    for k, (u, v) in enumerate(zip(ends[: len(order)].tolist(), ends[len(order) :].tolist(), strict=True)):
+        while root[u] != u:
+            root[u] = u = root[root[u]]
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        if u != v:
+            root[v] = u
+            kept.append(k)
+            if len(kept) == len(names) - 1:
+                break
+    return e[order[kept]]
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """``w, a, b, sign`` without edges that are the greatest of a ring of their task's edges: such a one is in no least forest.
+
+    A task keeps fewer edges than it has vertices, whatever their number.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("w", float), ("a", np.int64), ("b", np.int64), ("sign", np.int32)]
+        held, more, n = np.empty(0, kinds), [], 0
+        for batch in batches:
+            part = np.empty(batch.num_rows, kinds)
+            for c, _ in kinds:
+                part[c] = batch.column(c).to_numpy(zero_copy_only=False)
+            more.append(part)
+            n += len(part)
+            if n >= max(GATHERED, len(held)):
+                held, more, n = _least(np.concatenate([held, *more])), [], 0
+        held = _least(np.concatenate([held, *more]))
+        for k in range(0, len(held), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c][k : k + (1 << 16)])) for c, _ in kinds], names=[c for c, _ in kinds])
+
+    return edges.mapInArrow(work, "w double, a long, b long, sign int")
+
+
 def minimum_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``id, root, sign`` of every vertex, ``src, dst`` of the forest's edges) of ``src, dst, weight, sign`` (1 or -1).
 
     ``sign`` of a vertex is the product of the edges' on its path to ``root``, some vertex of its tree.
     """
-    key = F.struct(F.col("weight").cast("double").alias("w"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    left = cut(edges.where("src <> dst").select(key.alias("key"), "src", "dst", F.col("sign").cast("int").alias("sign")))
+    ends = edges.where("src <> dst").select(F.col("weight").cast("double").alias("w"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("sign").cast("int").alias("sign"))
+    kind = ends.schema["a"].dataType.simpleString()
+    if kind in ("int", "bigint"):
+        ends = _thinned(ends.withColumns({c: F.col(c).cast("long") for c in "ab"}))
+    a, b = (F.col(c).cast(kind) for c in "ab")
+    left = cut(ends.select(F.struct("w", a.alias("a"), b.alias("b")).alias("key"), a.alias("src"), b.alias("dst"), "sign"))
     vertices = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     state = cut(vertices.select("id", F.col("id").alias("root"), F.lit(1).alias("sign")))
     # What is left of an edge: the trees at its ends, and how their roots stand to each other.
