@@ -87,8 +87,8 @@ def _kinds(image: DataFrame, by: tuple[str, ...]) -> tuple[str, str]:
     return "".join(f"`{c}` {image.schema[c].dataType.simpleString()}, " for c in by), f"struct<y:{whole['y']},x:{whole['x']},down:int>"
 
 
-def _tiled(image: DataFrame, level: float, value: str, by: tuple[str, ...], outside: float | None, work: Callable, columns: str) -> DataFrame:
-    """What ``work`` makes of each tile's segments: arrays by name, one row for each of ``n``."""
+def _tiled(image: DataFrame, level: float, value: str, by: tuple[str, ...], outside: float | None, work: Callable, columns: str, parts: int | None) -> DataFrame:
+    """What ``work`` makes of each tile's segments: arrays by name, one row for each of ``n``. ``parts``: partitions of tiles, else Spark's number."""
     tile = TILE
     keys, name = _kinds(image, by)
     kinds = [pa.int64() if k.endswith("bigint") else pa.int32() for k in name[7:-1].split(",")]
@@ -98,6 +98,9 @@ def _tiled(image: DataFrame, level: float, value: str, by: tuple[str, ...], outs
     tiles = F.explode(F.array_distinct(F.array(*(F.struct(of("y", dy).alias("ty"), of("x", dx).alias("tx")) for dy, dx in CORNERS)))).alias("t")
     dealt = rows.select(*by, "y", "x", "v", tiles).select(*by, "y", "x", "v", "t.ty", "t.tx")
 
+    if parts:
+        dealt = dealt.repartition(parts, *by, "ty", "tx")
+
     def one(table: pa.Table) -> pa.Table:
         found = work(_in_tile(table, level, outside, tile))
         n = len(next(iter(found.values())))
@@ -115,16 +118,16 @@ def _tiled(image: DataFrame, level: float, value: str, by: tuple[str, ...], outs
     return dealt.groupBy(*by, "ty", "tx").applyInArrow(one, keys + columns.format(name=name))
 
 
-def segments(image: DataFrame, level: float, value: str = "v", by: tuple[str, ...] = SLICE, outside: float | None = None) -> DataFrame:
+def segments(image: DataFrame, level: float, value: str = "v", by: tuple[str, ...] = SLICE, outside: float | None = None, parts: int | None = None) -> DataFrame:
     """``by, a, b, ay, ax, by_, bx``: segments from side ``a`` to side ``b`` (names of sides) with their ends' places.
 
-    Cells need four values; with ``outside``, places without one have that value.
+    Cells need four values; with ``outside``, places without one have that value. ``parts``: partitions that tiles are dealt to.
     """
 
     def work(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return {"a": s["a"], "b": s["b"], "ay": s["pa"][:, 0], "ax": s["pa"][:, 1], "by_": s["pb"][:, 0], "bx": s["pb"][:, 1]}
 
-    return _tiled(image, level, value, by, outside, work, "a {name}, b {name}, ay double, ax double, by_ double, bx double")
+    return _tiled(image, level, value, by, outside, work, "a {name}, b {name}, ay double, ax double, by_ double, bx double", parts)
 
 
 def _first(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,13 +228,13 @@ def _joined(pieces: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return placed.select(*by, "head", F.col("line").alias("whole"), F.col("closed").alias("ring"), "total", start.alias("start"))
 
 
-def iso_lines(image: DataFrame, level: float, value: str = "v", by: tuple[str, ...] = SLICE, outside: float | None = None) -> DataFrame:
+def iso_lines(image: DataFrame, level: float, value: str = "v", by: tuple[str, ...] = SLICE, outside: float | None = None, parts: int | None = None) -> DataFrame:
     """``by, line, place, closed, n, y, x``: lines with their places in order from 0; ``line`` is named by its least side.
 
     A closed line begins at its least side and doesn't come back to it, an open one goes from end to end; ``n`` is its number of places.
     """
     columns = "a {name}, y double, x double, line {name}, place bigint, n bigint, closed boolean, done boolean, first boolean, to {name}, to_y double, to_x double, low {name}, low_at bigint"
-    places = cut(_tiled(image, level, value, by, outside, _pieces, columns))
+    places = cut(_tiled(image, level, value, by, outside, _pieces, columns, parts))
     out = [*by, "line", "place", "closed", "n", "y", "x"]
     whole, rest = places.where("done").select(*out), places.where("not done")
     if rest.isEmpty():

@@ -153,7 +153,7 @@ seg as materialized (select a.vol, a.z, a.s a, b.s b, a.py ay, a.px ax, b.py bty
 
 @query(f"with {_SEGMENTS} select vol, z, a.y sy, a.x sx, a.down down, {r('ay', 6)} ay, {r('ax', 6)} ax, {r('bty', 6)} bty, {r('btx', 6)} btx from seg")
 def iso_segments(spark, sf_dir):
-    s = isolines.segments(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"))
+    s = isolines.segments(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"), parts=fx.vol_parts(spark, sf_dir))
     s = s.select("vol", "z", F.col("a.y").alias("sy"), F.col("a.x").alias("sx"), F.col("a.down").alias("down"), "ay", "ax", F.col("by_").alias("bty"), F.col("bx").alias("btx"))
     return _millionths(s, "ay", "ax", "bty", "btx")
 
@@ -170,5 +170,5 @@ walk(vol, z, low, closed, s, place) as (select vol, z, low, closed, s, 0::bigint
   select w.vol, w.z, w.low, w.closed, seg.b, w.place + 1 from walk w join seg on seg.vol = w.vol and seg.z = w.z and seg.a = w.s where not (w.closed and seg.b = w.low))
 select w.vol, w.z, w.low.y sy, w.low.x sx, w.low.down down, w.place, w.closed, size.n, {r('node.y', 6)} y, {r('node.x', 6)} x from walk w join size using (vol, z, low) join node on node.vol = w.vol and node.z = w.z and node.a = w.s""")
 def iso_lines(spark, sf_dir):
-    found = isolines.iso_lines(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"))
+    found = isolines.iso_lines(fx.vol_dense(spark, sf_dir), LEVEL, by=("vol", "z"), parts=fx.vol_parts(spark, sf_dir))
     return _millionths(found.select("vol", "z", F.col("line.y").alias("sy"), F.col("line.x").alias("sx"), F.col("line.down").alias("down"), "place", "closed", "n", "y", "x"), "y", "x")
