@@ -110,12 +110,11 @@ _CUSTOMERS = "select c_custkey id, c_nationkey nation, n_regionkey region, row_n
 def divide_regions(spark, sf_dir):
     """Customers are linked within their nation, less to the nations of their region, and least to those of others: five parts."""
     fx.load(spark, sf_dir, "customer", "nation")
-    c = cut(spark.sql(_CUSTOMERS))
     to = lambda nation, k, w: F.struct(nation.cast("int").alias("nation"), k.cast("int").alias("k"), F.lit(w).alias("weight"))
     # Nations are numbered 5 r + m here: region r's m-th.
     place = spark.sql("select n_nationkey nation, n_regionkey region, row_number() over (partition by n_regionkey order by n_nationkey) - 1 m from nation")
     number = F.col("region") * 5 + F.col("m")
-    named = cut(c.join(F.broadcast(place.drop("region")), "nation").select("id", "k", "size", number.cast("int").alias("nation")))
+    named = cut(spark.sql(_CUSTOMERS).join(F.broadcast(place.drop("region")), "nation").select("id", "k", "size", number.cast("int").alias("nation")))
     n, k = F.col("nation"), F.col("k")
     links = [to(n, (k + d) % F.col("size"), 1.0) for d in (1, 2)] + [to(n, (k * m + 1) % F.col("size"), 1.0) for m in (5, 7, 11)]
     links += [to(F.floor(n / 5) * 5 + (n + d) % 5, k, 0.1) for d in (1, 2)] + [to((n + 5) % 25, k, 0.002)]
